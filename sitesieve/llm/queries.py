@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesieve.llm import exact_dedup, mixing, packing, simhash, toxicity
-from sitesieve.llm.common import table
+from sitesieve.llm import exact_dedup, html_crf, media, mixing, packing, pseudonyms, simhash, token_counts, token_store, toxicity
+from sitesieve.llm.common import new_folder, table
 
 #: Target weights of the mixing query: sources form four domains by their number.
 DOMAIN_WEIGHTS, LANG_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, {"en": 5, "de": 2, "fr": 2, "es": 1}
@@ -27,6 +27,14 @@ def mixing_weights():
     return _weight("domain", DOMAIN_WEIGHTS), _weight("lang", LANG_WEIGHTS), F.lit(1)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.text_media(table(spark, sf_dir, "documents"))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +48,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "store")
+    token_store.write_store(table(spark, sf_dir, "documents"), folder)
+    return token_store.read_digests(spark, folder)
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_histogram(token_counts.lengths(table(spark, sf_dir, "documents")))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "n_replaced")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -92,6 +114,6 @@ e AS (SELECT *, unnest(range(whole_ + CASE WHEN rest_ > 0 AND upto <= rest_ THEN
 SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, domain, lang, source, n_tokens, leaf_budget FROM e
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_toxicity, op4_mixing, op5_exact_dedup, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing)}
 
 ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL}

@@ -61,7 +61,8 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     flips = [1 << k for k in range(63)] + [-(1 << 63)]
     # the bitmap of a key says which of its neighbours are there: bit k for the one with bit k flipped
-    probes = distinct.select("fp", F.explode(F.transform(F.lit([0, *flips]), lambda flip: F.struct(F.col("fp").bitwiseXOR(flip).alias("key"), flip.alias("flip")))).alias("p"))
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes 65
+    probes = spread.select("fp", F.explode(F.transform(F.lit([0, *flips]), lambda flip: F.struct(F.col("fp").bitwiseXOR(flip).alias("key"), flip.alias("flip")))).alias("p"))
     table = probes.groupBy("p.key").agg(F.bit_or("p.flip").alias("there"), F.bool_or(F.col("p.flip") == 0).alias("itself"))
     met = table.filter(F.bit_count("there") + F.col("itself").cast("int") > 1)
     members = F.concat(

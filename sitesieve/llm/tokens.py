@@ -53,7 +53,7 @@ class Encoder:
         for w in new:
             found = old.get(w)
             if found is None:
-                if w[-1:] in (".", ",") and w[-2:-1].isalpha():  # a letter and a mark are never one piece
+                if w[-1:] in (".", ",") and w[-2:-1].lower().isalpha():  # a letter and a mark are never one piece
                     for part in (w[:-1], w[-1]):
                         if part not in young:
                             young[part] = old.get(part) or self._ids(part)

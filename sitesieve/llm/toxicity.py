@@ -8,7 +8,6 @@ classifier is linear over the presence of words and is fitted in numpy.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample that the classifier is fitted on: rows of labels that are read, and texts of each kind.
-POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 9000
+#: Bounds of the sample that the classifier is fitted on.
+POSITIVE_ROWS, UNLABELLED_ROWS = 10_000, 40_000
 #: Words of the classifier at most, and how many standard errors more common among positives they have to be.
 FEATURES, SURPRISE = 256, 4.0
 THRESHOLD = 0.7
@@ -45,36 +44,28 @@ class Classifier:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, steps: int = 600, rate: float = 0.1, l2: float = 1e-4) -> Classifier:
-    """Minimise the non-negative risk with the logistic loss by Adam over all rows."""
-    if not positive or not unlabelled:
-        return Classifier({}, float(np.log(prior / (1 - prior))) if 0 < prior < 1 else -4.0)
-    in_p, in_u = Counter(w for x in positive for w in x), Counter(w for x in unlabelled for w in x)
-    n_p, n_u = len(positive), len(unlabelled)
+def fit(positive: list[tuple[frozenset[str], int]], unlabelled: list[tuple[frozenset[str], int]], prior: float, steps: int = 600, rate: float = 0.1, l2: float = 1e-5) -> Classifier:
+    """Minimise the non-negative risk with the logistic loss by Adam; rows are (words of the classifier, how often)."""
+    start = float(np.log(prior / (1 - prior)))
+    at = {w: k for k, w in enumerate(sorted({w for x, _ in (*positive, *unlabelled) for w in x}))}
+    if not positive or not unlabelled or not at:
+        return Classifier({}, start)
 
-    def surprise(w: str) -> float:
-        p, u = in_p[w] / n_p, in_u[w] / n_u
-        return (p - u) / np.sqrt((in_p[w] + in_u[w]) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+    def matrix(rows: list[tuple[frozenset[str], int]]) -> tuple[np.ndarray, np.ndarray]:
+        out, weight = np.zeros((len(rows), len(at)), np.float32), np.array([n for _, n in rows], float)
+        for r, (x, _) in enumerate(rows):
+            out[r, [at[w] for w in x]] = 1
+        return out, weight / weight.sum()
 
-    ranked = sorted(((-surprise(w), w) for w, n in in_p.items() if n >= 3), key=lambda x: x)
-    vocabulary = [w for s, w in ranked[:FEATURES] if -s >= SURPRISE]
-    at = {w: k for k, w in enumerate(vocabulary)}
-
-    def matrix(rows: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(at)), np.float32)
-        for r, x in enumerate(rows):
-            out[r, [at[w] for w in x & at.keys()]] = 1
-        return out
-
-    p, u = matrix(positive), matrix(unlabelled)
-    w, b = np.zeros(len(at)), float(np.log(prior / (1 - prior)))
+    (p, of_p), (u, of_u) = matrix(positive), matrix(unlabelled)
+    w, b = np.zeros(len(at)), start
     m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for step in range(1, steps + 1):
         z_p, z_u = p @ w + b, u @ w + b
         s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
-        as_negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        g_u, g_p = s_u / n_u, prior * s_p / n_p  # gradients of the two terms of that risk
-        d_u, d_p = (g_u, prior * (s_p - 1) / n_p - g_p) if as_negative >= 0 else (-g_u, g_p)
+        as_negative = of_u @ np.logaddexp(0, z_u) - prior * (of_p @ np.logaddexp(0, z_p))
+        g_u, g_p = of_u * s_u, prior * of_p * s_p  # gradients of the two terms of that risk
+        d_u, d_p = (g_u, prior * of_p * (s_p - 1) - g_p) if as_negative >= 0 else (-g_u, g_p)
         gradient = np.append(u.T @ d_u + p.T @ d_p + l2 * w, d_u.sum() + d_p.sum())
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -86,7 +77,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     """Fit on a bounded sample of the rows that are not held out; the sample is the same on every run.
 
     Only labels of 1 are read as such: every other text of the sample is unlabelled. The class prior is the share
-    of confirmed toxic rows among the labelled ones that are not held out.
+    of confirmed toxic rows among the labelled ones that are not held out. Spark counts in how many texts of either
+    kind a word is, and of each text only the words of the classifier come to the driver, equal sets together.
     """
     ids = F.col("doc_id").cast("bigint").alias("doc_id")
     known = labels.select(ids, F.col("toxic").cast("int").alias("toxic")).filter("toxic is not null and doc_id is not null").filter(~held_out(F.col("doc_id")))
@@ -96,10 +88,24 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     some_p = known.filter("toxic = 1").select("doc_id").distinct().orderBy(mixed, "doc_id").limit(positives)
     bodies = docs.select(ids, F.col(text).cast("string").alias("text")).filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
     some_u = bodies.select("doc_id").distinct().orderBy(mixed, "doc_id").limit(unlabelled)
-    wanted = some_p.withColumn("kind", F.lit("p")).union(some_u.withColumn("kind", F.lit("u")))
-    word_lists = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    rows = bodies.join(F.broadcast(wanted), "doc_id").select("kind", word_lists.alias("words")).collect()  # both limits bound it
-    return fit([set(r.words) for r in rows if r.kind == "p"], [set(r.words) for r in rows if r.kind == "u"], prior)
+    wanted = some_p.withColumn("p", F.lit(1)).union(some_u.withColumn("p", F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    sample = bodies.join(F.broadcast(wanted), "doc_id").select("p", found.alias("words"))  # the limits bound what is sent
+    size = {r.p: r.n for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = size.get(1, 0), size.get(0, 0)
+    if not n_p or not n_u:
+        return fit([], [], prior)
+    in_p, in_u = F.col("in_p") / n_p, F.col("in_u") / n_u
+    spread = F.sqrt((F.col("in_p") + F.col("in_u")) / (n_p + n_u) * (1 / n_p + 1 / n_u))
+    common = (
+        sample.select("p", F.explode("words").alias("word")).groupBy("word").agg(F.sum("p").alias("in_p"), F.sum(1 - F.col("p")).alias("in_u"))
+        .filter("in_p >= 3").withColumn("surprise", (in_p - in_u) / spread).filter(F.col("surprise") >= SURPRISE).orderBy(F.desc("surprise"), "word").limit(FEATURES)
+    )
+    vocabulary = [r.word for r in common.collect()]
+    if not vocabulary:
+        return fit([], [], prior)
+    sets = sample.groupBy("p", F.array_sort(F.array_intersect("words", F.lit(vocabulary))).alias("words")).agg(F.count(F.lit(1)).alias("n")).orderBy("p", "words").collect()
+    return fit(*([(frozenset(r.words), r.n) for r in sets if r.p == p] for p in (1, 0)), prior)
 
 
 def scored(docs: DataFrame, model: Classifier, text: str = "text", name: str = "score") -> DataFrame:
