@@ -18,14 +18,18 @@ from pyspark.sql import functions as F
 
 #: Bounds of the sample that the classifier is fitted on.
 POSITIVE_ROWS, UNLABELLED_ROWS = 10_000, 40_000
-#: Words of the classifier at most, and how many standard errors more common among positives they have to be.
+#: Features of the classifier at most, and how many standard errors more common among positives they have to be.
 FEATURES, SURPRISE = 256, 4.0
+#: Lengths of the beginnings of words.
+STEMS = (4, 5, 6)
 THRESHOLD = 0.7
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> set[str]:
-    return set(_WORDS.findall((text or "").lower()))
+def features_of(text: str | None) -> set[str]:
+    """Words of letters in lower case, and the beginnings of longer ones, which words of one stem share."""
+    words = set(_WORDS.findall((text or "").lower()))
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,11 +44,11 @@ class Classifier:
 
     def score(self, text: str | None) -> float:
         found = self.weights
-        z = self.bias + sum(found[w] for w in sorted(words_of(text) & found.keys()))
+        z = self.bias + sum(found[w] for w in sorted(features_of(text) & found.keys()))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(positive: list[tuple[frozenset[str], int]], unlabelled: list[tuple[frozenset[str], int]], prior: float, steps: int = 600, rate: float = 0.1, l2: float = 1e-5) -> Classifier:
+def fit(positive: list[tuple[frozenset[str], int]], unlabelled: list[tuple[frozenset[str], int]], prior: float, steps: int = 600, rate: float = 0.1, l2: float = 0.5) -> Classifier:
     """Minimise the non-negative risk with the logistic loss by Adam; rows are (words of the classifier, how often)."""
     start = float(np.log(prior / (1 - prior)))
     at = {w: k for k, w in enumerate(sorted({w for x, _ in (*positive, *unlabelled) for w in x}))}
@@ -58,6 +62,7 @@ def fit(positive: list[tuple[frozenset[str], int]], unlabelled: list[tuple[froze
         return out, weight / weight.sum()
 
     (p, of_p), (u, of_u) = matrix(positive), matrix(unlabelled)
+    l2 /= sum(n for _, n in (*positive, *unlabelled))
     w, b = np.zeros(len(at)), start
     m, v = np.zeros(len(at) + 1), np.zeros(len(at) + 1)
     for step in range(1, steps + 1):
@@ -89,7 +94,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     bodies = docs.select(ids, F.col(text).cast("string").alias("text")).filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
     some_u = bodies.select("doc_id").distinct().orderBy(mixed, "doc_id").limit(unlabelled)
     wanted = some_p.withColumn("p", F.lit(1)).union(some_u.withColumn("p", F.lit(0)))
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+    found = F.array_distinct(F.concat(words, *map(stem, STEMS)))
     sample = bodies.join(F.broadcast(wanted), "doc_id").select("p", found.alias("words"))  # the limits bound what is sent
     size = {r.p: r.n for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = size.get(1, 0), size.get(0, 0)
