@@ -1,0 +1 @@
+"""DataFrame operators over page, link, keyword, result and run tables."""
