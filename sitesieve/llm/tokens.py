@@ -8,12 +8,11 @@ encoded by the tokenizers library once and then looked up; the cache has a fixed
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
 #: Words that a worker remembers at most, in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -27,54 +26,44 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
-    #: A space beside other white space: there a piece may take in both.
-    _RUN = re.compile(r"\s |[ ]\s")
-    _CUT = re.compile(r"(?<=\S)(?= )")
-
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True  # the strings of special tokens in a text are ordinary text
-        self.drops_space = "Whitespace" in str(self.model.pre_tokenizer) or "Lowercase" in str(self.model.normalizer)
+        self.drops_space = "Lowercase" in str(self.model.normalizer)
+        self.gap = "" if self.drops_space else " "
         self.limit, self.young, self.old = limit, {}, {}
 
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.model.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str]) -> bool:
+        """Put words that stand behind a space into the cache; False if a word can't be taken on its own."""
         young = self.young
-        new = [w for w in set(words) if w not in young]
+        new = {w for w in words if w not in young}
         if len(young) + len(new) > self.limit:
             self.old, self.young = young, {}
             young, new = self.young, set(words)
-        old = self.old
+        old, gap = self.old, self.gap
         for w in new:
             found = old.get(w)
             if found is None:
+                if gap and (not w or w[0].isspace() or w[-1].isspace()):
+                    return False  # next to more white space, with which it may be one piece
                 if w[-1:] in (".", ",") and w[-2:-1].lower().isalpha():  # a letter and a mark are never one piece
-                    for part in (w[:-1], w[-1]):
-                        if part not in young:
-                            young[part] = old.get(part) or self._ids(part)
-                    found = young[w[:-1]] + young[w[-1]]
+                    stem = w[:-1]
+                    ids = young.get(stem) or old.get(stem)
+                    if ids is None:
+                        ids = young[stem] = self._ids(gap + stem)
+                    found = ids + self._ids(w[-1])
                 else:
-                    found = self._ids(w)
+                    found = self._ids(gap + w)
             young[w] = found
+        return True
 
-    def _words(self, text: str) -> list[str]:
-        if self.drops_space:
-            return text.split(" ")
-        if self._RUN.search(text):
-            return self._CUT.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of one whole text; none for null."""
-        if not text:
-            return b""
-        words = self._words(text)
+    def _encode_words(self, words: list[str]) -> bytes | None:
         try:
             return b"".join(map(self.young.__getitem__, words))
         except KeyError:
@@ -82,10 +71,23 @@ class Encoder:
         out = []
         for at in range(0, len(words), 50_000):
             part = words[at : at + 50_000]
-            self._learn(part)
+            if not self._learn(part):
+                return None
             out.append(b"".join(map(self.young.__getitem__, part)))
         return b"".join(out)
 
+    def encode(self, text: str | None) -> bytes:
+        """The ids of one whole text; none for null."""
+        if not text:
+            return b""
+        words = text.split(" ")
+        if self.drops_space:
+            return self._encode_words(words)
+        rest = self._encode_words(words[1:])
+        if rest is not None and not words[0][-1:].isspace() and words[0]:
+            return self._ids(words[0]) + rest
+        return self._ids(text)
+
 
 def encoder(path: str) -> Encoder:
     """One encoder for each file in a worker."""
