@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitesieve.functions.shared import shared_folder
 from sitesieve.functions.urls import normalise_node
 
 DAMPING, ROUNDS, CONVERGED = 0.85, 40, 1e-9
@@ -104,6 +105,7 @@ def authority(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     spread theirs evenly. Each round is one shuffle of ranks; the edges stay partitioned by their source. Rounds stop
     when no site moves by ``converged`` in all. Lineage is cut in the shared checkpoint folder.
     """
+    shared_folder(nodes.sparkSession)
     urls = nodes.select("site", "url").distinct()
     size = urls.groupBy("site").agg(F.count(F.lit(1)).cast("double").alias("n"))
     inside = edges.join(urls.select("site", F.col("url").alias("target")), ["site", "target"], "left_semi")
@@ -128,6 +130,7 @@ def authority(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
 
 def click_depth(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame:
     """Least number of clicks from a start: site, url, depth. ``starts``: site, url, depth (0 for start pages, 1 for sitemap urls)."""
+    shared_folder(edges.sparkSession)
     steps = edges.select("site", F.col("source").alias("url"), "target").distinct()
     found = starts.groupBy("site", "url").agg(F.min("depth").alias("depth")).checkpoint()
     for depth in range(max_depth):
