@@ -282,7 +282,7 @@ def text_normalise(spark, d):
     return b.read(spark, d, "documents").select("doc_id", t.normalise(F.col("text")).alias("folded"))
 
 
-@query("SELECT doc_id, lower(text) AS folded FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, replace(lower(text), 'ß', 'ss') AS folded FROM documents WHERE lang = 'en'")
 def arrow_udf_text(spark, d):
     return b.read(spark, d, "documents").filter("lang = 'en'").select("doc_id", t.nfkc_casefold(F.col("text")).alias("folded"))
 
