@@ -37,13 +37,17 @@ def content_hash(text: Column) -> Column:
     return F.sha1(F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}_]+", " ")))
 
 
-@F.pandas_udf("string")
-def nfkc_casefold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Compatibility composition and case folding; Spark has neither built in."""
-    import unicodedata
+def nfkc_casefold(text: Column) -> Column:
+    """Compatibility composition and case folding by an Arrow UDF; Spark has neither built in."""
 
-    for batch in batches:
-        yield batch.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+    @F.pandas_udf("string")
+    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import unicodedata
+
+        for batch in batches:
+            yield batch.map(lambda t: unicodedata.normalize("NFKC", t).casefold(), na_action="ignore")
+
+    return folded(text)
 
 
 def fold(text: Column) -> Column:

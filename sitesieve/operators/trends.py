@@ -12,14 +12,13 @@ METRICS = {
 }
 COUNTING = ("total_issues", "orphan_pages")
 CATEGORY_THRESHOLD, TOLERANCE, HISTORY = 3.0, 0.2, 12
-#: Null-safe as a partition key: null is one group.
-_RUNS = Window.partitionBy("site", "goal", "tenant").orderBy("created_at", "run_id")
 
 
 def with_previous(runs: DataFrame, *columns: str) -> DataFrame:
     """Completed runs with the given columns of the run before, of the same site, goal and tenant, as previous_<name>."""
     done = runs.filter("status = 'completed'")
-    return done.withColumns({f"previous_{c}": F.lag(c).over(_RUNS) for c in ("run_id", *columns)})
+    earlier = Window.partitionBy("site", "goal", "tenant").orderBy("created_at", "run_id")  # null is one group
+    return done.withColumns({f"previous_{c}": F.lag(c).over(earlier) for c in ("run_id", *columns)})
 
 
 def previous_run(runs: DataFrame) -> DataFrame:
