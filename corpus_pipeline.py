@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sitesieve.llm import exact_dedup, mixing, packing, simhash, toxicity
 from sitesieve.llm.common import new_folder, table, without_ids
 from sitesieve.llm.queries import domain_of_source, mixing_weights
+from sitesieve.llm.tokens import CACHE_WORDS
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +32,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 tokens."""
-    return packing.pack(docs)
+    """The pieces of all documents in sequences of 2048 tokens; the workers of the stages before hold memory too."""
+    return packing.pack(docs, cache_words=CACHE_WORDS)
 
 
 STAGES = [

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitesieve.llm.common import small_batches
 from sitesieve.llm.html_blocks import Block, blocks
 from sitesieve.llm.labelled_pages import labelled_pages
 
@@ -129,6 +130,7 @@ def extract(pages: DataFrame, html: str = "html", model: Field | None = None) ->
     Main blocks in page order are joined by a blank line. Null ids and urls stay null, repeated rows each get a
     row, further columns are not read. An empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     model = model or field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import new_folder
+from sitesieve.llm.common import new_folder, small_batches
 
 #: Bytes in a row of a payload image; tiles are square; the difference hash compares 8 x 9 areas.
 WIDTH, TILE, HASH_SHAPE = 64, 16, (8, 9)
@@ -134,6 +134,7 @@ def store_texts(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
 
     Null texts are stored as empty ones, repeated rows once each; null doc_ids stay null.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows.mapInArrow(_encode, "doc_id bigint, media binary").write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema("doc_id bigint, media binary").parquet(folder)

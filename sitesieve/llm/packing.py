@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import materialise
-from sitesieve.llm.tokens import encoder, vocabulary
+from sitesieve.llm.common import materialise, small_batches
+from sitesieve.llm.tokens import CACHE_WORDS_ALONE, encoder, vocabulary
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
 #: Tokens of a shard: each shard leaves at most about one sequence partly filled, so 1 in 4000.
@@ -36,13 +36,13 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def _pieces_of(path: str, capacity: int, end_id: int):
+def _pieces_of(path: str, capacity: int, end_id: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = encoder(path).encode(text) + end
+                ids = encoder(path, words).encode(text) + end
                 rows += [(doc, row, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -132,15 +132,16 @@ def _pack_shard(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", cache_words: int = CACHE_WORDS_ALONE) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and ``end_id``; null and empty texts are the end id alone. Documents of more than
     ``capacity`` ids are cut into pieces of ``capacity``, of which the first may be shorter. Repeated rows and null
     doc_ids are packed like any other row. An empty table gives no rows; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text).cast("string").alias("text"))
-    pieces = materialise(rows.mapInArrow(_pieces_of(path or vocabulary(VOCABULARY), capacity, end_id), _PIECES), "pieces")
+    pieces = materialise(rows.mapInArrow(_pieces_of(path or vocabulary(VOCABULARY), capacity, end_id, cache_words), _PIECES), "pieces")
     tokens = pieces.agg(F.sum("length")).first()[0] or 0
     shards = max(1, round(tokens / (SHARD_TOKENS * capacity / CAPACITY)))
     # piece lengths of equal texts spread too: the hash takes the row in

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import materialise
+from sitesieve.llm.common import materialise, small_batches
 
 #: Words in a shingle and differing bits of a link.
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -51,6 +51,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id and fingerprint (its 64 bits as a signed long) of every row."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
 
 

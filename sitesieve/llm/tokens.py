@@ -8,11 +8,13 @@ encoded by the tokenizers library once and then looked up; the cache has a fixed
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 
-#: Words that a worker remembers at most, in each of two generations.
-CACHE_WORDS = 1_000_000
+#: Words that a worker remembers at most, in each of two generations; some 200 bytes each. The larger number is for
+#: jobs that have the executors for themselves.
+CACHE_WORDS, CACHE_WORDS_ALONE = 400_000, 1_000_000
 _ENCODERS: dict = {}
 
 
@@ -80,17 +82,20 @@ class Encoder:
         """The ids of one whole text; none for null."""
         if not text:
             return b""
-        words = text.split(" ")
         if self.drops_space:
-            return self._encode_words(words)
+            # the model lower-cases character by character; a sigma at a word's end is where that differs from lower()
+            if text.isascii() or ("Σ" not in text and unicodedata.is_normalized("NFC", text)):
+                text = text.lower()
+            return self._encode_words(text.split(" "))
+        words = text.split(" ")
         rest = self._encode_words(words[1:])
         if rest is not None and not words[0][-1:].isspace() and words[0]:
             return self._ids(words[0]) + rest
         return self._ids(text)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int = CACHE_WORDS) -> Encoder:
     """One encoder for each file in a worker."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, limit)
     return _ENCODERS[path]

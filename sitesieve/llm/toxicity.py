@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitesieve.llm.common import small_batches
+
 #: Bounds of the sample that the classifier is fitted on.
 POSITIVE_ROWS, UNLABELLED_ROWS = 10_000, 40_000
 #: Features of the classifier at most, and how many standard errors more common among positives they have to be.
@@ -118,6 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
 def scored(docs: DataFrame, model: Classifier, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1 of every whole text; null counts as empty and gets the score of one."""
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
