@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesieve.llm.tokens import encoder, vocabulary
+from sitesieve.llm.common import small_batches
+from sitesieve.llm.tokens import CACHE_WORDS_ALONE, encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Lengths that are summed up together first, so that no task holds all lengths.
@@ -22,13 +23,14 @@ SPAN = 1024
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encoder(path).encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(encoder(path, CACHE_WORDS_ALONE).encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["n_tokens"])
 
     return run
 
 
 def lengths(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
     """Encoded length of every row; null texts have none."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_lengths(path or vocabulary(VOCABULARY)), "n_tokens bigint")
 
 

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesieve.llm.tokens import encoder, vocabulary
+from sitesieve.llm.common import small_batches
+from sitesieve.llm.tokens import CACHE_WORDS_ALONE, encoder, vocabulary
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
 #: Ids in a chunk: at least, about, at most; ids that the rolling hash looks back on.
@@ -45,14 +46,15 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return h
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a document; the last is its length."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    marks = np.flatnonzero(rolling_hash(ids) % np.uint64(ABOUT) == 0) + 1
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end."""
+    return np.flatnonzero(rolling_hash(ids) % np.uint64(ABOUT) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids, from the marks in it."""
     ends, last = [], 0
-    for m in marks.tolist():
+    for m in marks:
         while m - last > MOST:
             last += MOST
             ends.append(last)
@@ -64,6 +66,11 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends if last == n else [*ends, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of a document; the last is its length."""
+    return _ends(_marks(ids).tolist(), len(ids))
+
+
 def digest(body: bytes) -> bytes:
     return hashlib.blake2b(body, digest_size=DIGEST).digest()
 
@@ -80,24 +87,33 @@ def _objects(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # of one input partition
         end = np.array([end_id], "<u4").tobytes()
+        wide = np.dtype(kind).itemsize
         for batch in batches:
-            rows = []
-            for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = np.frombuffer(encoder(path).encode(text) + end, "<u4")
-                stored, names, at = ids.astype(kind), [], 0
-                for to in cuts(ids):
-                    body = stored[at:to].tobytes()
+            docs, numbers, texts = (batch.column(k).to_pylist() for k in range(3))
+            encode = encoder(path, CACHE_WORDS_ALONE).encode
+            encoded = [encode(t) + end for t in texts]
+            # One pass over the batch: a chunk has more ids than the hash looks back on, so a mark that counts never
+            # depends on the document before.
+            ids = np.frombuffer(b"".join(encoded), "<u4")
+            stops = np.cumsum([len(e) // 4 for e in encoded])
+            marks = _marks(ids) if len(ids) else np.zeros(0, int)
+            first = np.searchsorted(marks, np.concatenate([[0], stops[:-1]]), "right").tolist()
+            last = np.searchsorted(marks, stops, "right").tolist()
+            marks, stored, begin, rows = marks.tolist(), ids.astype(kind).tobytes(), 0, []
+            for doc, row, lo, hi, stop in zip(docs, numbers, first, last, stops.tolist(), strict=True):
+                names, at = [], 0
+                for to in _ends([m - begin for m in marks[lo:hi]], stop - begin):
+                    body = stored[(begin + at) * wide : (begin + to) * wide]
                     names.append(key := digest(body))
                     if key not in seen:
                         seen.add(key)
                         rows.append(("chunk", key, None, None, to - at, body, None))
                     at = to
-                recipe = b"".join(names)
-                rows.append(("recipe", digest(recipe + str((doc, row)).encode()), doc, row, len(ids), recipe, merkle(names)))
+                rows.append(("recipe", digest(b"%d" % row), doc, row, stop - begin, b"".join(names), merkle(names)))
+                begin = stop
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            for at in range(0, len(rows), 20_000):
-                columns = zip(*rows[at : at + 20_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "key", "doc_id", "row_id", "n_tokens", "body", "root"])
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "key", "doc_id", "row_id", "n_tokens", "body", "root"])
 
     return run
 
@@ -119,6 +135,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     recipe. An empty table makes an empty store; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(_objects(path or vocabulary(VOCABULARY), end_id, id_type), _OBJECTS)
     unique = found.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_once, _OBJECTS)

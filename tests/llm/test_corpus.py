@@ -147,7 +147,7 @@ def test_encoder_equals_the_library(docs, name):
     model, ours = Tokenizer.from_file(path), Encoder(path, limit=300)
     model.encode_special_tokens = True
     rng = random.Random(7)
-    bits = [" ", " ", "\n", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "\u200b", "a", "'s", "É", "é", "12", "!", ".", ",", "x.", "漢", "<|endoftext|>", "ſ", "İ", "e\u0301", "\u0301"]
+    bits = [" ", " ", "\n", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "\u200b", "a", "'s", "É", "é", "12", "!", ".", ",", "x.", "漢", "<|endoftext|>", "ſ", "İ", "e\u0301", "\u0301", "Σ", "ΑΣ", "A\u030a", "Ⅷ"]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(4000)] + [r.text for r in docs.limit(60).collect()] + [t for _, t, *_ in ODD if t]
     for t, e in zip(texts, model.encode_batch(texts, add_special_tokens=False), strict=True):
         assert ours.encode(t) == np.array(e.ids, "<u4").tobytes(), t
