@@ -25,13 +25,14 @@ PER_SPLITTER = 32
 def _splitters(keys: DataFrame, ranges: int, seed: int) -> list:
     """At most ``ranges - 1`` keys that cut the rows into ranges of about the same size."""
     rows = keys.count()
-    if rows == 0 or ranges < 2:
+    if rows < ranges or ranges < 2:
         return []
     share = min(1.0, PER_SPLITTER * ranges / rows)
     sample = keys.sample(fraction=share, seed=seed) if share < 1 else keys
     found = sorted(tuple(r) for r in sample.collect())  # about PER_SPLITTER * ranges short keys
-    step = max(1, len(found) // ranges)
-    return list(dict.fromkeys(found[step::step]))[: ranges - 1]
+    if not found:
+        return []
+    return list(dict.fromkeys(found[k * len(found) // ranges] for k in range(1, ranges)))
 
 
 def _range_of(splitters: list) -> Column:
