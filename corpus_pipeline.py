@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitesieve.llm import exact_dedup, mixing, packing, simhash, toxicity
+from sitesieve.llm import exact_dedup, mixing, near_copies, packing, toxicity
 from sitesieve.llm.common import new_folder, table, without_ids
 from sitesieve.llm.queries import domain_of_source, mixing_weights
 from sitesieve.llm.tokens import CACHE_WORDS
@@ -21,8 +21,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id."""
+    found = near_copies.near_copies(docs)
     return without_ids(docs, found.filter("doc_id <> component_id"))
 
 
@@ -44,7 +44,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier, the fingerprints and the packing can't be said in SQL; tests hold run() against brute force.
+#: The classifier, the min-hashes and the packing can't be said in SQL; tests hold the stages against brute force, each on its own.
 ORACLE_SQL = None
 
 
