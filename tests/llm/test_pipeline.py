@@ -1,6 +1,7 @@
 """The stages of the pipeline against brute force."""
 
 import random
+from collections import Counter
 
 import corpus_pipeline
 from sitesieve.llm import near_copies
@@ -59,3 +60,11 @@ def test_near_copies(spark):
     odd = spark.createDataFrame([(3, "a b", None, None, 0), (3, "a b", None, None, 0), (None, "A b", None, None, 0), (None, "c", None, None, 0)], DOCS)
     assert sorted(near_copies.near_copies(odd).collect(), key=str) == sorted([(3, 3), (3, 3), (None, 3), (None, None)], key=str)
     assert near_copies.near_copies(docs.limit(0)).count() == 0
+
+
+def test_mix_meets_its_targets(spark):
+    rows = [(i, "a b c d e", "en", f"src{i % 4}", 9) for i in range(2000)]  # four domains of the same size
+    taken = Counter(r.source for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), "").collect())
+    shares = {s: n / sum(taken.values()) for s, n in taken.items()}
+    assert all(abs(shares[f"src{k}"] - want) < 0.005 for k, want in enumerate((0.4, 0.3, 0.2, 0.1)))
+    assert 1790 <= sum(taken.values()) <= 1800
