@@ -41,8 +41,9 @@ def _pieces_of(path: str, capacity: int, end_id: int, words: int):
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, row, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids = encoder(path, words).encode(text) + end
+            encoded = encoder(path, words).encode_all(batch.column(2).to_pylist())
+            for doc, row, ids in zip(*(batch.column(k).to_pylist() for k in range(2)), encoded, strict=True):
+                ids += end
                 rows += [(doc, row, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])) for k, (at, n) in enumerate(cut(len(ids) // 4, capacity))]
             columns = list(zip(*rows, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())

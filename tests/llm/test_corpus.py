@@ -145,7 +145,6 @@ def test_links_of_random_fingerprints(spark):
 def test_encoder_equals_the_library(docs, name):
     path = public_tokenizers.path(name)
     model, ours = Tokenizer.from_file(path), Encoder(path, limit=300)
-    model.encode_special_tokens = True
     rng = random.Random(7)
     bits = [" ", " ", "\n", "\t", "\u00a0", "\u3000", "\x85", "\x1c", "\u200b", "a", "'s", "É", "é", "12", "!", ".", ",", "x.", "漢", "<|endoftext|>", "ſ", "İ", "e\u0301", "\u0301", "Σ", "ΑΣ", "A\u030a", "Ⅷ"]
     texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(4000)] + [r.text for r in docs.limit(60).collect()] + [t for _, t, *_ in ODD if t]
@@ -156,7 +155,6 @@ def test_encoder_equals_the_library(docs, name):
 def test_packing(docs, odd, none):
     for df, texts in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, [(d, t) for d, t, *_ in ODD])):
         model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-        model.encode_special_tokens = True
         want = Counter()
         for d, t in texts:
             ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -267,7 +265,6 @@ def test_token_store(spark, docs, odd, none):
         folder = new_folder(spark, "test-store")
         token_store.write_store(df, folder)
         model = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-        model.encode_special_tokens = True
         ids = [(d, np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")) for d, t in texts]
         got = token_store.read_digests(spark, folder).collect()
         assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((d, len(i), zlib.crc32(i.tobytes())) for d, i in ids)
