@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import small_batches
+from sitesieve.llm.common import materialise, small_batches
 from sitesieve.llm.tokens import CACHE_WORDS_ALONE, encoder, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -23,7 +23,8 @@ SPAN = 1024
 def _lengths(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(encoder(path, CACHE_WORDS_ALONE).encode(t)) // 4 for t in batch.column(0).to_pylist()], pa.int64())], ["n_tokens"])
+            ids = encoder(path, CACHE_WORDS_ALONE).encode_all(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([len(x) // 4 for x in ids], pa.int64())], ["n_tokens"])
 
     return run
 
@@ -42,6 +43,7 @@ def length_histogram(counted: DataFrame) -> DataFrame:
     the q-quantile is the first length whose share is at least q. No rows for an empty table.
     """
     bars = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).withColumns({"span": F.floor(F.col("n_tokens") / SPAN), "tokens": F.col("n_tokens") * F.col("docs")})
+    bars = materialise(bars, "lengths")  # read twice; the texts are encoded once
     spans = bars.groupBy("span").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     down = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy(F.desc("span")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
