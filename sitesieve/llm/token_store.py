@@ -2,10 +2,12 @@
 
 A rolling hash over the ids of a document cuts it into chunks where the content says so; equal chunks of any two
 documents get the same digest and are stored once. A document is a recipe: the digests of its chunks in order and
-their Merkle root. A manifest row for each range of documents holds the root over the range.
+their Merkle root. The recipes are written in ascending doc_id order, in ranges of about RANGE_DOCS documents; the
+manifest holds the Merkle root over the roots of each range, which reading computes again from the chunks' contents.
 
 Files below the store's folder, all Parquet: ``objects/kind=chunk`` (digest, ids as little-endian unsigned 16- or
-32-bit integers), ``objects/kind=recipe`` (doc_id, row_id, n_tokens, chunks, root) and ``manifest``.
+32-bit integers), ``objects/kind=recipe`` (recipes as they were made), ``recipes`` (the same in order, with their
+range) and ``manifest``.
 """
 
 from __future__ import annotations
@@ -16,12 +18,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import small_batches
+from sitesieve.llm.common import materialise, small_batches
 from sitesieve.llm.tokens import CACHE_WORDS_ALONE, encoder, vocabulary
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 2
@@ -90,8 +91,7 @@ def _objects(path: str, end_id: int, kind: str):
         wide = np.dtype(kind).itemsize
         for batch in batches:
             docs, numbers, texts = (batch.column(k).to_pylist() for k in range(3))
-            encode = encoder(path, CACHE_WORDS_ALONE).encode
-            encoded = [encode(t) + end for t in texts]
+            encoded = [e + end for e in encoder(path, CACHE_WORDS_ALONE).encode_all(texts)]
             # One pass over the batch: a chunk has more ids than the hash looks back on, so a mark that counts never
             # depends on the document before.
             ids = np.frombuffer(b"".join(encoded), "<u4")
@@ -99,50 +99,52 @@ def _objects(path: str, end_id: int, kind: str):
             marks = _marks(ids) if len(ids) else np.zeros(0, int)
             first = np.searchsorted(marks, np.concatenate([[0], stops[:-1]]), "right").tolist()
             last = np.searchsorted(marks, stops, "right").tolist()
-            marks, stored, begin, rows = marks.tolist(), ids.astype(kind).tobytes(), 0, []
-            for doc, row, lo, hi, stop in zip(docs, numbers, first, last, stops.tolist(), strict=True):
+            marks, stored, begin = marks.tolist(), memoryview(ids.astype(kind).tobytes()), 0
+            keys, sizes, bodies, totals, lists, roots = [], [], [], [], [], []
+            for lo, hi, stop in zip(first, last, stops.tolist(), strict=True):
                 names, at = [], 0
                 for to in _ends([m - begin for m in marks[lo:hi]], stop - begin):
                     body = stored[(begin + at) * wide : (begin + to) * wide]
                     names.append(key := digest(body))
                     if key not in seen:
                         seen.add(key)
-                        rows.append(("chunk", key, None, None, to - at, body, None))
+                        keys.append(key)
+                        sizes.append(to - at)
+                        bodies.append(bytes(body))
                     at = to
-                rows.append(("recipe", digest(b"%d" % row), doc, row, stop - begin, b"".join(names), merkle(names)))
+                totals.append(stop - begin)
+                lists.append(b"".join(names))
+                roots.append(merkle(names))
                 begin = stop
+            none, no = [None] * len(keys), len(docs)
+            columns = (
+                ["chunk"] * len(keys) + ["recipe"] * no, keys + [digest(b"%d" % r) for r in numbers], none + docs, none + numbers, sizes + totals, bodies + lists, none + roots,
+            )
             kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["kind", "key", "doc_id", "row_id", "n_tokens", "body", "root"])
 
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in the order of kind and key, the first of each."""
-    last = None
-    for batch in batches:
-        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-        keep = [k != p for k, p in zip(keys, [last, *keys], strict=False)]
-        last = keys[-1] if keys else last
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, text: str = "text", id_type: str = "<u2") -> None:
     """Encode every whole text, append ``end_id`` and write the store. Null texts count as empty.
 
     ``id_type`` is "<u2" for vocabularies below 65,536 ids, else "<u4". Repeated rows and null doc_ids each get a
-    recipe. An empty table makes an empty store; other columns are not read.
+    recipe. An empty table makes an empty store; other columns are not read. Executors that are lost don't change the
+    store: row numbers and digests are the same when a task runs again.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_id"), F.col(text).cast("string").alias("text"))
     found = rows.mapInArrow(_objects(path or vocabulary(VOCABULARY), end_id, id_type), _OBJECTS)
-    unique = found.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_once, _OBJECTS)
+    # equal objects meet in one task, and the first of each stays; a neighbour's key is enough to tell
+    same = Window.partitionBy("kind", "key").orderBy("row_id")
+    unique = found.withColumn("_before", F.lag("key").over(same)).filter("_before is null").drop("_before")
     unique.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/objects")
-    ranges = _ranged(recipes(spark, folder))
-    node = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "row_id", "root"))), lambda x: F.hex(x["root"]))
-    ranges.groupBy("range").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", node), 256).alias("root")).write.parquet(f"{folder}/manifest")
+    made = _objects_of(spark, folder, "recipe").select("doc_id", "row_id", "n_tokens", F.col("body").alias("chunks"), "root")
+    in_order = made.repartitionByRange(max(1, made.count() // RANGE_DOCS), "doc_id", "row_id").sortWithinPartitions("doc_id", "row_id")
+    in_order.withColumn("range", F.spark_partition_id()).write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    range_roots(recipes(spark, folder)).write.parquet(f"{folder}/manifest")
 
 
 def _objects_of(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -151,35 +153,34 @@ def _objects_of(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 
 def recipes(spark: SparkSession, folder: str) -> DataFrame:
-    return _objects_of(spark, folder, "recipe").select("doc_id", "row_id", "n_tokens", F.col("body").alias("chunks"), "root")
+    return spark.read.schema("doc_id bigint, row_id bigint, n_tokens bigint, chunks binary, root binary, range int").parquet(f"{folder}/recipes")
 
 
 def chunks(spark: SparkSession, folder: str) -> DataFrame:
     return _objects_of(spark, folder, "chunk").select(F.col("key").alias("digest"), F.col("body").alias("ids"))
 
 
-def _ranged(rows: DataFrame) -> DataFrame:
-    """Rows with the number of their range of doc_ids, in ascending order; ranges hold about RANGE_DOCS documents."""
-    n = rows.count()
-    parts = max(1, n // RANGE_DOCS)
-    marks = rows.select(F.percentile_approx("doc_id", F.lit([k / parts for k in range(1, parts)]), 10 * parts)).first()[0] if parts > 1 else None
-    bounds = sorted(set(marks or []))
-    if not bounds:
-        return rows.withColumn("range", F.lit(0))
-    at = F.array_size(F.filter(F.lit(bounds), lambda b: b <= F.col("doc_id")))
-    return rows.withColumn("range", F.coalesce(at, F.lit(0)))
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
-def starts(rows: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, row_id, n_tokens) with start: the ids of all documents before, in ascending doc_id order.
+_MANIFEST = "range int, first_doc bigint, last_doc bigint, n_docs bigint, n_tokens bigint, root binary"
+_MANIFEST_ARROW = pa.schema([("range", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary())])
 
-    Sums of the ranges first, then within each range: no task orders more than one range.
-    """
-    ranged = _ranged(rows)
-    sums = ranged.groupBy("range").agg(F.sum("n_tokens").alias("in_range"))
-    ahead = sums.withColumn("ahead", F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_range")).drop("in_range")
-    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "row_id").rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(F.broadcast(ahead), "range").withColumn("start", F.col("ahead") + F.sum("n_tokens").over(order) - F.col("n_tokens")).drop("range", "ahead")
+
+def _range_root(rows: pa.Table) -> pa.Table:
+    order = pa.table({"d": rows["doc_id"].fill_null(-(2**63)), "r": rows["row_id"]}).sort_by([("d", "ascending"), ("r", "ascending")])
+    at = {r: k for k, r in enumerate(order["r"].to_pylist())}
+    roots: list[bytes] = [b""] * rows.num_rows
+    for r, root in zip(rows["row_id"].to_pylist(), rows["root"].to_pylist(), strict=True):
+        roots[at[r]] = root
+    ids = [d for d in rows["doc_id"].to_pylist() if d is not None]
+    return pa.table([[rows["range"][0].as_py()], [min(ids, default=None)], [max(ids, default=None)], [rows.num_rows], [sum(rows["n_tokens"].to_pylist())], [merkle(roots)]], schema=_MANIFEST_ARROW)
+
+
+def range_roots(rows: DataFrame) -> DataFrame:
+    """A row of the manifest for each range of ``rows`` (range, doc_id, row_id, n_tokens, root); a range is bounded by RANGE_DOCS."""
+    return rows.select("range", "doc_id", "row_id", "n_tokens", "root").groupBy("range").applyInArrow(_range_root, _MANIFEST)
 
 
 def _read_chunks(kind: str):
@@ -189,8 +190,11 @@ def _read_chunks(kind: str):
             for k, b in zip(keys, bodies, strict=True):
                 if digest(b) != k:
                     raise ValueError(f"chunk {k.hex()} does not have the content that its name says")
-            wide = [np.frombuffer(b, kind).astype("<u4").tobytes() for b in bodies]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([len(w) // 4 for w in wide], pa.int64()), pa.array([zlib.crc32(w) for w in wide], pa.int64())], ["digest", "n", "crc"])
+            wide = memoryview(np.frombuffer(b"".join(bodies), kind).astype("<u4").tobytes())
+            sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) // np.dtype(kind).itemsize
+            ends = (4 * np.cumsum(sizes)).tolist()
+            crcs = [zlib.crc32(wide[begin:end]) for begin, end in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
     return run
 
@@ -207,59 +211,82 @@ def _times(a: int, b: int) -> int:
 
 
 @lru_cache(maxsize=4096)
-def _shift(n_bytes: int) -> int:
-    out, power, n = 1 << 31, 1 << 30, 8 * n_bytes
+def _shift(n_bytes: int) -> list[list[int]]:
+    """What bytes 0 behind a part do to its CRC-32, as a table for each of the CRC's four bytes."""
+    power, square, n = 1 << 31, 1 << 30, 8 * n_bytes
     while n:
         if n & 1:
-            out = _times(power, out)
-        power, n = _times(power, power), n >> 1
-    return out
+            power = _times(square, power)
+        square, n = _times(square, square), n >> 1
+    bits = [_times(1 << k, power) for k in range(32)]
+    tables = []
+    for low in (0, 8, 16, 24):
+        table = [0]
+        for k in range(8):
+            table += [x ^ bits[low + k] for x in table]
+        tables.append(table)
+    return tables
 
 
 def joined_crc(parts: list[tuple[int, int]]) -> int:
     """CRC-32 of the concatenation of parts, from the bytes and the CRC-32 of each."""
     out = 0
     for n_bytes, crc in parts:
-        out = _times(_shift(n_bytes), out) ^ crc
+        a, b, c, d = _shift(n_bytes)
+        out = a[out & 255] ^ b[out >> 8 & 255] ^ c[out >> 16 & 255] ^ d[out >> 24] ^ crc
     return out
 
 
+def _chunk_names() -> Column:
+    count = F.octet_length("chunks") / DIGEST
+    return F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda k: F.substring(F.col("chunks"), k * DIGEST + 1, F.lit(DIGEST)))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents put together from what their chunks hold."""
+    for batch in batches:
+        parts = batch.column(5)
+        ends, flat = parts.offsets.to_pylist(), parts.values
+        names, n, crc = (flat.field(k).to_pylist() for k in ("digest", "n", "crc"))
+        crcs = []
+        for row, total, root, begin, end in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), ends, ends[1:], strict=False):
+            if None in n[begin:end] or sum(n[begin:end]) != total or merkle(names[begin:end]) != root:
+                raise ValueError(f"a document cannot be put together: row {row}")
+            crcs.append(joined_crc([(4 * x, c) for x, c in zip(n[begin:end], crc[begin:end], strict=True)]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(crcs, pa.int64())], ["range", "doc_id", "row_id", "n_tokens", "root", "ids_crc32"])
+
+
 def read_digests(spark: SparkSession, folder: str, id_type: str = "<u2") -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, n_chunks, root of every document, from the stored files.
+    """doc_id, start, n_tokens, ids_crc32, root of every document, from the stored files.
 
     Each chunk is read once and checked against its digest. Its length and CRC-32 go to the recipes that name it,
-    where the CRC-32 of the whole document is put together; the Merkle root of the digests has to be the stored one.
+    where the CRC-32 of the whole document is put together; the Merkle root of the digests has to be the stored one,
+    and the root over each range of documents the manifest's. ``start`` sums ranges first, then within each range,
+    so no task orders more than one range.
     """
     facts = chunks(spark, folder).mapInArrow(_read_chunks(id_type), "digest binary, n bigint, crc bigint")
-    rows = starts(recipes(spark, folder).select("doc_id", "row_id", "n_tokens", "root", "chunks"))
-    count = F.octet_length("chunks") / DIGEST
-    parts = rows.select("row_id", F.posexplode(F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda k: F.substring(F.col("chunks"), k * DIGEST + 1, F.lit(DIGEST)))).alias("pos", "digest"))
-    found = parts.join(facts, "digest").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "n", "crc", "digest"))).alias("parts"))
-
-    @F.pandas_udf("ids_crc32 long, found long, root binary")
-    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for x in batch:
-                out.append((joined_crc([(4 * p["n"], p["crc"]) for p in x]), sum(p["n"] for p in x), merkle([bytes(p["digest"]) for p in x])))
-            yield pd.DataFrame(out, columns=["ids_crc32", "found", "root"])
-
-    checked = found.select("row_id", whole("parts").alias("w")).select("row_id", "w.*").withColumnRenamed("root", "found_root")
-    joined = rows.drop("chunks").join(checked, "row_id", "left")
-    sound = (F.col("root") == F.col("found_root")) & (F.col("n_tokens") == F.col("found"))
-    crc = F.when(F.coalesce(sound, F.lit(False)), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("a document cannot be put together: row "), "row_id")).cast("bigint"))
-    return joined.select("doc_id", "start", "n_tokens", crc.alias("ids_crc32"), F.lower(F.hex("root")).alias("root"))
+    parts = recipes(spark, folder).select("range", "doc_id", "row_id", "n_tokens", "root", F.posexplode(_chunk_names()).alias("pos", "digest")).join(facts, "digest", "left")
+    listed = parts.groupBy("range", "doc_id", "row_id", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "n", "crc"))).alias("parts"))
+    docs = materialise(listed.mapInArrow(_whole, "range int, doc_id bigint, row_id bigint, n_tokens bigint, root binary, ids_crc32 bigint"), "digests")
+    said = manifest(spark, folder).select("range", F.col("root").alias("said"), F.col("n_tokens").alias("in_range"), F.col("n_docs").alias("docs_said"))
+    found = range_roots(docs).select("range", F.col("root").alias("found"), F.col("n_docs").alias("docs_found"))
+    ahead = F.sum("in_range").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_range")  # one row for each range
+    sound = F.coalesce((F.col("said") == F.col("found")) & (F.col("docs_said") == F.col("docs_found")), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("the manifest does not hold for range "), F.col("range").cast("string"))).cast("bigint")
+    ranges = said.join(found, "range", "full").select("range", F.when(sound, ahead).otherwise(failed).alias("ahead"))
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "row_id").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("ahead") + F.sum("n_tokens").over(order) - F.col("n_tokens")
+    return docs.join(ranges, "range").select("doc_id", start.alias("start"), "n_tokens", "ids_crc32", F.lower(F.hex("root")).alias("root"))
 
 
 def read_ids(spark: SparkSession, folder: str, id_type: str = "<u2") -> DataFrame:
     """doc_id, row_id, ids (array) of every document, put together from its chunks."""
-    count = F.octet_length("chunks") / DIGEST
-    parts = recipes(spark, folder).select("doc_id", "row_id", F.posexplode(F.transform(F.sequence(F.lit(0), (count - 1).cast("int")), lambda k: F.substring(F.col("chunks"), k * DIGEST + 1, F.lit(DIGEST)))).alias("pos", "digest"))
+    parts = recipes(spark, folder).select("doc_id", "row_id", F.posexplode(_chunk_names()).alias("pos", "digest"))
     bodies = parts.join(chunks(spark, folder), "digest").groupBy("doc_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([np.frombuffer(b"".join(bytes(p["ids"]) for p in x), id_type).astype("int32") for x in batch])
+            ids = [np.frombuffer(b"".join(p["ids"] for p in x), id_type).astype("int32") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "row_id", "ids"])
 
-    return bodies.select("doc_id", "row_id", ids("parts").alias("ids"))
+    return bodies.mapInArrow(whole, "doc_id bigint, row_id bigint, ids array<int>")
