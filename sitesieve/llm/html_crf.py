@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ def features(page: list[Block]) -> list[list[str]]:
         on = ["bias", f"own:{b.own}", f"words:{_bucket(words, (2, 4, 8, 16, 32, 64, 128))}", f"links:{_bucket(link, (0.01, 0.25, 0.5, 0.9))}", f"commas:{_bucket(b.text.count(','), (1, 3, 8))}"]
         on.append("end" if b.text[-1:] in ".!?…:;\"”»" else "no-end")
         on.append("sign" if b.text[0] in "©|›»•·" or b.text.isdigit() else "no-sign")
-        on += [f"in:{t}" for t in set(b.tags)] + [f"name:{n}" for n in b.names]
+        on += [f"in:{t}" for t in b.tags] + [f"name:{n}" for n in b.names]
         on.append(f"size:{_bucket(len(b.text) / longest, (0.02, 0.1, 0.3))}")
-        if k and page[k - 1].tags[:-1] == b.tags[:-1] and page[k - 1].names == b.names:
+        if k and page[k - 1].parent == b.parent:
             on.append("same-parent")
         out.append(on)
     return out
@@ -49,6 +49,11 @@ class Field:
     weights: dict[str, float]
     pairs: np.ndarray
 
+    @cached_property
+    def names(self) -> frozenset[str]:
+        """Names of elements that the field has weights for."""
+        return frozenset(f.removeprefix("name:") for f in self.weights if f.startswith("name:"))
+
     def decode(self, page: list[Block]) -> list[bool]:
         """The most likely labels (Viterbi)."""
         if not page:
@@ -120,7 +125,7 @@ def field() -> Field:
 
 
 def main_text(html: str | None, model: Field) -> str:
-    page = blocks(html)
+    page = blocks(html, model.names)
     return "\n\n".join(b.text for b, keep in zip(page, model.decode(page), strict=True) if keep)
 
 
@@ -128,7 +133,8 @@ def extract(pages: DataFrame, html: str = "html", model: Field | None = None) ->
     """page_id, url, text, n_chars of every page; text is empty where there is no main text, as for null html.
 
     Main blocks in page order are joined by a blank line. Null ids and urls stay null, repeated rows each get a
-    row, further columns are not read. An empty table gives no rows.
+    row, further columns are not read. An empty table gives no rows. A page takes time and memory in proportion to its
+    length, however deep its elements are nested and whatever is left unclosed.
     """
     small_batches(pages.sparkSession)
     model = model or field()
