@@ -1,10 +1,10 @@
 """Exact de-duplication by content sort.
 
 Sampled splitters cut the order of the normalised texts into ranges, each range is sorted on its own and
-neighbours are compared in full. The order is (first bytes, hash, text, doc_id), so the splitters stay short
-however long the texts are, and a text with very many copies spreads over as many ranges as its rows need. Runs
-that a splitter cut in two are joined again from one summary row each; their number is bound by the number of
-splitters and not by the input.
+neighbours are compared in full. The order is (first bytes, hash, text, doc_id, salt), so the splitters stay short
+however long the texts are, and a text with very many copies spreads over as many ranges as its rows need, even if
+they share a doc_id or have none. Runs that a splitter cut in two are joined again from one summary row each; their
+number is bound by the number of splitters and not by the input.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import ascii_lower, text_bytes
+from sitesieve.llm.common import ascii_lower, materialise, text_bytes
 
 #: Characters of a text that its sort key starts with.
 HEAD = 48
 #: Stands for a null doc_id in the order.
 LOWEST = -(2**63)
+#: Columns of the order that splitters are made of.
+KEY = ("_head", "_hash", "_doc", "_salt")
 #: Sampled rows for each splitter.
 PER_SPLITTER = 32
 
@@ -40,32 +42,37 @@ def _range_of(splitters: list) -> Column:
     if not splitters:
         return F.lit(0)
     n = len(splitters)
-    heads, hashes, docs = (F.lit([s[k] for s in splitters]) for k in range(3))
-    key = F.struct(F.col("_head").alias("head"), F.col("_hash").alias("hash"), F.col("_doc").alias("doc"))
+    columns = [F.lit([s[k] for s in splitters]) for k in range(len(KEY))]
+    key = F.struct(*KEY)
 
     def step(at: Column, width: Column) -> Column:
         k = F.least(at + width, F.lit(n)) - 1
-        bound = F.struct(F.get(heads, k).alias("head"), F.get(hashes, k).alias("hash"), F.get(docs, k).alias("doc"))
+        bound = F.struct(*(F.get(c, k).alias(name) for c, name in zip(columns, KEY, strict=True)))
         return F.when((at + width <= n) & (bound <= key), at + width).otherwise(at)
 
     widths = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
     return F.aggregate(F.lit(widths), F.lit(0), step)
 
 
-def _sorted_runs(docs: DataFrame, ranges: int | None, seed: int, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """Rows in their ranges with _first and _last of a run of equal neighbours, and what is known of cut texts."""
+def _sorted_runs(docs: DataFrame, ranges: int | None, seed: int, text: str) -> tuple[DataFrame, DataFrame | None, bool]:
+    """Rows (as _row) in their ranges with _first and _last of a run of equal neighbours, what is known of cut texts, and
+    whether rows with the largest doc_id of one of these may lie in several ranges."""
     spark = docs.sparkSession
     ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     norm = ascii_lower(text_bytes(text))
-    keyed = docs.withColumns({"_head": F.substring(norm, 1, HEAD), "_hash": F.xxhash64(norm), "_doc": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST))})
-    splitters = _splitters(keyed.select("_head", "_hash", "_doc"), ranges, seed)
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.substring(norm, 1, HEAD).alias("_head"), F.xxhash64(norm).alias("_hash"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LOWEST)).alias("_doc"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"),
+    )
+    norm = ascii_lower(F.coalesce(F.col("_row")[text], F.lit("")))
+    splitters = _splitters(keyed.select(*KEY), ranges, seed)
     # the one shuffle of the texts; the window sorts each range and spills to disk as it needs
     placed = keyed.withColumn("_range", _range_of(splitters)).repartition("_range").withColumn("_norm", norm)
     order = Window.partitionBy("_range").orderBy("_head", "_hash", "_norm", "_doc")
     differs = lambda other: ~F.coalesce(other.over(order) == F.col("_norm"), F.lit(False))
     runs = placed.withColumns({"_first": differs(F.lag("_norm")), "_last": differs(F.lead("_norm"))})
     if not splitters:
-        return runs, None
+        return runs, None, False
     # texts that a splitter cuts: about one row for each splitter
     cut = spark.createDataFrame(list({s[:2] for s in splitters}), "_head string, _hash bigint")
     parts = (
@@ -73,7 +80,8 @@ def _sorted_runs(docs: DataFrame, ranges: int | None, seed: int, text: str) -> t
         .groupBy("_head", "_hash", F.sha2(norm, 256).alias("_sha"))
         .agg(F.max("_doc").alias("_cut_most"), F.count(F.lit(1)).alias("_cut_size"))
     )
-    return runs, parts
+    known, bounds = parts.collect(), {s[:3] for s in splitters}
+    return runs, spark.createDataFrame(known, parts.schema), any((r._head, r._hash, r._cut_most) in bounds for r in known)
 
 
 def content_groups(docs: DataFrame, ranges: int | None = None, seed: int = 5, text: str = "text") -> DataFrame:
@@ -84,10 +92,10 @@ def content_groups(docs: DataFrame, ranges: int | None = None, seed: int = 5, te
     values. A null doc_id sorts below every other, so it stays only where a group has nothing else. An empty table
     gives no rows. Other columns are not read.
     """
-    runs, parts = _sorted_runs(docs.select("doc_id", text), ranges, seed, text)
+    runs, parts, _ = _sorted_runs(docs.select("doc_id", text), ranges, seed, text)
     order = Window.partitionBy("_range").orderBy("_head", "_hash", "_norm", "_doc")
     number = F.sum(F.col("_first").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    thin = runs.withColumn("_run", number).select("doc_id", "_range", "_run", "_doc", "_head", "_hash", F.sha2("_norm", 256).alias("_sha"))
+    thin = runs.withColumn("_run", number).select("_row.doc_id", "_range", "_run", "_doc", "_head", "_hash", F.sha2("_norm", 256).alias("_sha"))
     run = Window.partitionBy("_range", "_run")
     found = thin.withColumns({"_most": F.max("_doc").over(run), "_size": F.count(F.lit(1)).over(run)})
     if parts is not None:
@@ -104,10 +112,15 @@ def content_groups(docs: DataFrame, ranges: int | None = None, seed: int = 5, te
 def distinct_texts(docs: DataFrame, ranges: int | None = None, seed: int = 5, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the largest doc_id.
 
-    As ``content_groups``, and of repeated rows with that doc_id one stays. The texts are shuffled once.
+    As ``content_groups``, and of repeated rows with that doc_id one stays. The texts are shuffled once. Columns may have
+    any name.
     """
-    runs, parts = _sorted_runs(docs, ranges, seed, text)
+    runs, parts, several = _sorted_runs(docs, ranges, seed, text)
     last = runs.filter("_last")
     if parts is not None:
         last = last.withColumn("_sha", F.sha2("_norm", 256)).join(F.broadcast(parts), ["_head", "_hash", "_sha"], "left").filter(F.coalesce(F.col("_doc") == F.col("_cut_most"), F.lit(True)))
-    return last.select(*docs.columns)
+    if several:  # about one row for each splitter, of which one for each text stays
+        last = materialise(last, "distinct")
+        cut = F.col("_cut_most").isNotNull()
+        last = last.filter(~cut).unionByName(last.filter(cut).dropDuplicates(["_head", "_hash", "_sha"]))
+    return last.select("_row.*")
