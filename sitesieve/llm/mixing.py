@@ -76,9 +76,10 @@ def mix(
     max_epochs: int = MAX_EPOCHS,
     seed: int = SEED,
     text: str = "text",
+    details: bool = True,
 ) -> DataFrame:
-    """The chosen rows, each once for every epoch that takes it: the columns of ``docs``, and _domain, _lang, _source,
-    _epoch, _tokens, _budget (of the leaf).
+    """The chosen rows, each once for every epoch that takes it: the columns of ``docs`` and, with ``details``, _domain,
+    _lang, _source, _epoch, _tokens, _budget (of the leaf), which take the place of columns of these names.
 
     ``weights`` are whole numbers for domain, language and source, made of the columns domain, lang and source. The
     budget is the share ``budget_share`` (numerator, denominator) of all tokens, which are words between white space.
@@ -87,13 +88,14 @@ def mix(
     the same place and are taken or left together. An empty table gives no rows. Further columns are carried along.
     """
     unknown = F.lit("?")
-    rows = docs.withColumns({
-        "_domain": F.coalesce(domain.cast("string"), unknown),
-        "_lang": F.coalesce(F.col("lang").cast("string"), unknown),
-        "_source": F.coalesce(F.col("source").cast("string"), unknown),
-        "_tokens": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint"),
-    })
-    thin = materialise(rows.select(*_LEAF, F.col("doc_id").cast("string").alias("_doc"), "_tokens"), "leaves")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"),
+        F.coalesce(domain.cast("string"), unknown).alias("_domain"),
+        F.coalesce(F.col("lang").cast("string"), unknown).alias("_lang"),
+        F.coalesce(F.col("source").cast("string"), unknown).alias("_source"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("_tokens"),
+    )
+    thin = materialise(rows.select(*_LEAF, F.col("_row.doc_id").cast("string").alias("_doc"), "_tokens"), "leaves")
     by = {"w_domain": weights[0], "w_lang": weights[1], "w_source": weights[2]}
     leaves = (
         thin.groupBy(*_LEAF).agg(F.sum("_tokens").alias("tokens"))
@@ -124,9 +126,12 @@ def mix(
         .agg(F.max(F.when(F.col("_sum") <= F.col("_rest"), F.struct("_key", F.coalesce("_doc", F.lit("")).alias("_doc")))).alias("_last"))
     )
     plan = given.join(last, _LEAF, "left").checkpoint()
-    own_key = order_key(seed, F.col("_whole"), F.col("doc_id"))
-    place = F.struct(own_key.alias("_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"))
+    own_key = order_key(seed, F.col("_whole"), F.col("_row.doc_id"))
+    place = F.struct(own_key.alias("_key"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")).alias("_doc"))
     in_part = F.coalesce((F.substring(own_key, 1, SLICE) < F.col("_end")) | (place <= F.col("_last")), F.lit(False))
     epochs = F.filter(F.sequence(F.lit(0), F.col("_whole")), lambda e: (e < F.col("_whole")) | F.col("_part"))
     chosen = rows.join(_small(plan, many), _LEAF).withColumn("_part", in_part).withColumn("_epoch", F.explode(epochs))
-    return chosen.select(*docs.columns, *_LEAF, "_epoch", "_tokens", "_budget")
+    if not details:
+        return chosen.select("_row.*")
+    more = [*_LEAF, "_epoch", "_tokens", "_budget"]
+    return chosen.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c.lower() not in more), *more)
