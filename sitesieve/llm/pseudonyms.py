@@ -4,11 +4,12 @@ A value is found by its format, validated and permuted within that format by a k
 of a number are changed in turn by a keyed hash of the other. The same value gets the same pseudonym in every
 document, different values get different ones, and whoever has the key can turn them back.
 
-Formats: payment card numbers (Luhn; the issuer's first digit and the spacing stay, the check digit is computed
+Formats: payment card numbers of 16 digits (Luhn; the issuer's first digit and the spacing stay, the check digit is computed
 again), dates (a real day from 1900 to 2099 as yyyy-mm-dd, yyyy/mm/dd or dd.mm.yyyy; stay in that range),
 telephone numbers of the North American plan (the country and exchange codes' first digits stay in range),
 social security numbers, IPv4 addresses, and the local part of e-mail addresses (letters and digits keep their
-kind). Values that don't validate are left as they are. Everything is native Spark SQL.
+kind). Values that don't validate, cards of other lengths and telephone numbers of other plans are left as they are.
+Whoever knows the key can undo it, so it comes from the caller. Everything is native Spark SQL.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY, ROUNDS = "sitesieve-pseudonyms-1", 8
+from sitesieve.llm.common import unused
+
+ROUNDS = 8
 #: Fixed formats. The order is that of precedence where two could start at the same place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
@@ -178,7 +181,7 @@ def kind_of(value: Column) -> Column:
     )
 
 
-def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of one found value (or with ``back`` the value of a pseudonym)."""
     kind = kind_of(value)
     out = value
@@ -187,16 +190,19 @@ def pseudonym(value: Column, key: str = KEY, back: bool = False) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with every valid value in the whole ``text`` replaced by its pseudonym, and n_found, n_replaced.
 
     Null texts stay null with counts of zero; all other columns are kept. A value that is permuted to itself counts
-    as not replaced. Existing columns of the names of the counts are replaced.
+    as not replaced. Existing columns of the names of the counts are replaced. An empty table gives no rows.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    put_aside, in_turn = unused("found", docs), unused("other", docs)
     found = F.when(F.col(text).rlike(r"\d|@"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
     between = F.split(F.col(text), ANY, -1)
-    out = docs.withColumns({"_found": F.coalesce(found, F.array().cast("array<string>"))})
-    out = out.withColumn("_other", F.transform("_found", lambda v: pseudonym(v, key, back)))
-    put = F.array_join(F.zip_with(between, "_other", lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
-    changed = F.array_size(F.filter(F.arrays_zip("_found", "_other"), lambda p: p["_found"] != p["_other"]))
-    return out.withColumns({text: F.when(F.array_size("_found") > 0, put).otherwise(F.col(text)), "n_found": F.array_size("_found"), "n_replaced": changed}).drop("_found", "_other")
+    out = docs.withColumns({put_aside: F.coalesce(found, F.array().cast("array<string>"))})
+    out = out.withColumn(in_turn, F.transform(put_aside, lambda v: pseudonym(v, key, back)))
+    put = F.array_join(F.zip_with(between, in_turn, lambda gap, v: F.concat(gap, F.coalesce(v, F.lit("")))), "")
+    changed = F.aggregate(F.zip_with(put_aside, in_turn, lambda a, b: (a != b).cast("int")), F.lit(0), lambda n, x: n + x)
+    return out.withColumns({text: F.when(F.array_size(put_aside) > 0, put).otherwise(F.col(text)), "n_found": F.array_size(put_aside), "n_replaced": changed}).drop(put_aside, in_turn)

@@ -357,7 +357,7 @@ def test_pseudonyms(spark, odd, none):
     plain = {"31/12", "29.02.2023", "4041894974608796", "2001-13-01", "666-12-3456", "300.1.1.1"}
     rows = [(k, f"é{v}," if 0 else f"see {v}, and {v} or x") for k, v in enumerate(values)] + [(100, None), (101, ""), (102, "no numbers"), (103, " ".join(values))]
     df = spark.createDataFrame(rows, "doc_id int, text string").withColumn("n_found", F.lit("clash"))
-    hidden = pseudonyms.pseudonymise(df)
+    hidden = pseudonyms.pseudonymise(df, "k")
     out = {r.doc_id: r for r in hidden.collect()}
     for k, v in enumerate(values):
         text = out[k].text
@@ -368,9 +368,9 @@ def test_pseudonyms(spark, odd, none):
             assert luhn(re.sub(r"\D", "", m[1])) and m[1][0] == v[0]
     assert out[103].text == " ".join(re.fullmatch(r"see (.+), and (.+) or x", out[k].text)[1] for k in range(len(values)))
     assert (out[100].text, out[101].text, out[102].text, out[102].n_found) == (None, "", "no numbers", 0)
-    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(hidden, back=True).collect()}
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymise(hidden, "k", back=True).collect()}
     assert back == dict(rows)
-    assert pseudonyms.pseudonymise(odd).count() == len(ODD) and pseudonyms.pseudonymise(none).count() == 0
+    assert pseudonyms.pseudonymise(odd, "k").count() == len(ODD) and pseudonyms.pseudonymise(none, "k").count() == 0
 
 
 def test_feistel_is_a_permutation(spark):
