@@ -14,28 +14,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import new_folder, small_batches
+from sitesieve.llm.common import materialise, new_folder, small_batches
 
-#: Bytes in a row of a payload image; tiles are square; the difference hash compares 8 x 9 areas.
+#: Bytes in a row of a payload image (every second number of rows is stored as a bitmap); tiles are square; the difference hash compares 8 x 9 areas.
 WIDTH, TILE, HASH_SHAPE = 64, 16, (8, 9)
 _TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 _COMMENT = re.compile(rb"#\s*bytes\s+(\d+)")
 
 
 def encode_payload(text: str | None) -> bytes:
-    """A whole text as an 8-bit graymap: its UTF-8 bytes, then bytes 0 up to a positive multiple of 64.
+    """A whole text as 8-bit samples: its UTF-8 bytes, then bytes 0 up to a positive multiple of 64.
 
-    The comment in the header holds how many bytes the text has.
+    An odd number of rows is stored as a graymap, an even one as a bitmap. A comment of the graymap, the reserved field of
+    the bitmap, holds how many bytes the text has or how many bytes 0 follow it.
     """
     body = (text or "").encode("utf-8", "surrogatepass")
     rows = max(1, -(-len(body) // WIDTH))
+    if rows % 2 == 0:
+        image = np.frombuffer(body.ljust(rows * WIDTH, b"\0"), np.uint8).reshape(rows, WIDTH)
+        return encode_bmp(image, rows * WIDTH - len(body))
     return b"P5\n# bytes %d\n%d %d\n255\n" % (len(body), WIDTH, rows) + body.ljust(rows * WIDTH, b"\0")
 
 
 def decode_payload(media: bytes) -> tuple[np.ndarray, int]:
     """The samples of a payload image and the bytes that its text has."""
-    said = _COMMENT.search(media, 0, 64)
-    return decode(media), int(said[1])
+    image = decode(media)
+    if media[:2] == b"BM":
+        return image, image.size - struct.unpack_from("<I", media, 6)[0]
+    return image, int(_COMMENT.search(media, 0, 64)[1])
 
 
 def decode(media: bytes) -> np.ndarray:
@@ -55,12 +61,18 @@ def decode(media: bytes) -> np.ndarray:
         digits = re.sub(rb"#[^\n]*\n|\s", b"", media[at:])[: width * height]
         return (1 - (np.frombuffer(digits, np.uint8) - 48)).reshape(shape).astype(np.uint8) * 255
     if kind in (2, 3):
-        return np.array(re.sub(rb"#[^\n]*\n", b" ", media[at:]).split()[: int(np.prod(shape))], np.int64).astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
+        return _scaled(np.array(re.sub(rb"#[^\n]*\n", b" ", media[at:]).split()[: int(np.prod(shape))], np.int64).reshape(shape), most)
     at += 1  # one white space ends the header
     if kind == 4:
         rows = np.frombuffer(media, np.uint8, height * -(-width // 8), at).reshape(height, -1)
         return (1 - np.unpackbits(rows, axis=1)[:, :width]) * np.uint8(255)
-    return np.frombuffer(media, np.uint8 if most < 256 else ">u2", int(np.prod(shape)), at).reshape(shape)
+    return _scaled(np.frombuffer(media, np.uint8 if most < 256 else ">u2", int(np.prod(shape)), at).reshape(shape), most)
+
+
+def _scaled(samples: np.ndarray, most: int) -> np.ndarray:
+    """Samples up to ``most`` as 8-bit ones, or as 16-bit ones beyond 255."""
+    kind, top = (np.uint8, 255) if most < 256 else (np.uint16, 65535)
+    return samples.astype(kind) if most in (0, top) else ((samples.astype(np.int64) * top + most // 2) // most).clip(0, top).astype(kind)
 
 
 def _decode_bmp(media: bytes) -> np.ndarray:
@@ -78,16 +90,19 @@ def _decode_bmp(media: bytes) -> np.ndarray:
     return palette[rows][:, :, 0] if gray else palette[rows]
 
 
-def encode_bmp(gray: np.ndarray) -> bytes:
-    """An 8-bit grayscale BMP of a two-dimensional array."""
+_PALETTE = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(-1, 4).copy()
+_PALETTE[:, 3] = 0
+_PALETTE = _PALETTE.tobytes()
+
+
+def encode_bmp(gray: np.ndarray, reserved: int = 0) -> bytes:
+    """An 8-bit grayscale BMP of a two-dimensional array; ``reserved`` goes to the header's reserved field."""
     height, width = gray.shape
     stride = (width + 3) // 4 * 4
     rows = np.zeros((height, stride), np.uint8)
     rows[:, :width] = gray[::-1]
-    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(-1, 4).copy()
-    palette[:, 3] = 0
     start = 54 + 1024
-    return struct.pack("<2sIHHI", b"BM", start + rows.size, 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 0, 0, 256, 0) + palette.tobytes() + rows.tobytes()
+    return struct.pack("<2sIII", b"BM", start + rows.size, reserved, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, rows.size, 0, 0, 256, 0) + _PALETTE + rows.tobytes()
 
 
 def area_resize(image: np.ndarray, rows: int, columns: int) -> np.ndarray:
@@ -142,11 +157,14 @@ def store_texts(docs: DataFrame, folder: str, text: str = "text") -> DataFrame:
 
 def _features(media: bytes) -> tuple[int | None, int | None, int | None, str, bytes]:
     image = decode(media)
+    if not image.size:
+        return image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, None, None
     return image.shape[0], image.shape[1], image.shape[2] if image.ndim == 3 else 1, difference_hash(image), npy_tile(image)
 
 
 def tiles(media: DataFrame, column: str = "media") -> DataFrame:
-    """``media`` with rows, columns, channels, dhash and tile (an NPY file) of each image; all null for null and for what is no image."""
+    """``media`` with rows, columns, channels, dhash and tile (an NPY file) of each image; all null for null and for what is no image;
+    dhash and tile null for an image without pixels. Samples of less depth are scaled to 8 bits, deeper ones to 16."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,23 +183,25 @@ def tiles(media: DataFrame, column: str = "media") -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
     for batch in batches:
         out = []
         for media in batch.column(1).to_pylist():
             image, n = decode_payload(media)
             payload = image.tobytes()
-            out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), hashlib.sha256(npy_tile(image)).hexdigest()))
+            out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy_tile(image)))
         columns = list(zip(*out, strict=True)) or [()] * len(kinds)
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
 
 
 def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Digests of the stored images of every whole text, computed from what is read back.
 
     doc_id, n_bytes (of the text), payload_bytes, payload_sha256, tail_crc32 (of the last 64 bytes), media_bytes,
-    media_sha256, feature (difference hash), tile_sha256. One row per row of ``docs``; null texts count as empty.
+    media_sha256, feature (difference hash), tile_sha256 (of the tile as it is stored beside the media). One row per row of ``docs``; null texts count as empty.
     An empty table gives no rows; other columns are not read.
     """
     stored = store_texts(docs, new_folder(docs.sparkSession, "media"), text)
-    return stored.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile_sha256 string")
+    found = stored.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile binary")
+    written = materialise(found, "tiles")
+    return written.select(*(c for c in written.columns if c != "tile"), F.sha2("tile", 256).alias("tile_sha256"))
