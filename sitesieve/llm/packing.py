@@ -4,7 +4,8 @@ The pieces are dealt by a hash into shards of a bounded number of tokens, so a s
 corpus holds. In a shard, large pieces are sorted by length and cut into groups of equal cardinality; each is
 rounded up to the longest of its group, and the few sizes that are left are combined into configurations that
 fill a sequence best. The configurations then get actual pieces, and small pieces go, longest first, to the
-sequence whose remaining room fits them most tightly.
+sequence whose remaining room fits them most tightly. Rounding up leaves gaps; so while there are more sequences
+than the lengths call for, the least filled are dissolved and their pieces put into the others by best fit.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from sitesieve.llm.common import materialise, small_batches
 from sitesieve.llm.tokens import CACHE_WORDS_ALONE, encoder, vocabulary
 
 CAPACITY, END_ID, VOCABULARY = 2048, 0, "byte_bpe_50k.json"
-#: Tokens of a shard: each shard leaves at most about one sequence partly filled, so 1 in 4000.
+#: Tokens of a shard, so that it fits in a task.
 SHARD_TOKENS = 4096 * CAPACITY
 #: Equal-cardinality groups of large pieces, and the length from which a piece is large.
 GROUPS, LARGE = 192, 256
@@ -120,6 +121,50 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GR
         used[s] += want
         if room > want:
             insort(free, (room - want, s))
+    return _refitted(lengths, sequence, capacity) or (sequence, offset)
+
+
+def least_sequences(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    """A bound below which no packing can go: by the sum, and by pieces of which no two fit together."""
+    return max(-(-int(lengths.sum()) // capacity), int((2 * lengths > capacity).sum()))
+
+
+def _refitted(lengths: np.ndarray, sequence: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The packing after the least filled sequences are dissolved, ever more of them until nothing is left to gain; None if it is as good."""
+    members: list[list[int]] = [[] for _ in range(int(sequence.max(initial=-1)) + 1)]
+    for piece, s in enumerate(sequence.tolist()):
+        members[s].append(piece)
+    size = lengths.tolist()
+    least, start, wanted = least_sequences(lengths, capacity), len(members), 2
+    while len(members) > least:
+        members.sort(key=lambda m: -sum(size[p] for p in m))  # fullest first
+        from_ = max(0, len(members) - wanted * (len(members) - least))
+        kept = [list(m) for m in members[:from_]]
+        used = [sum(size[p] for p in m) for m in kept]
+        free = sorted((capacity - u, s) for s, u in enumerate(used) if u < capacity)
+        for p in sorted((p for m in members[from_:] for p in m), key=lambda p: (-size[p], p)):
+            at = bisect_left(free, (size[p], -1))
+            if at < len(free):
+                room, s = free.pop(at)
+            else:
+                room, s = capacity, len(kept)
+                kept.append([])
+            kept[s].append(p)
+            if room > size[p]:
+                insort(free, (room - size[p], s))
+        if len(kept) < len(members):
+            members = kept
+        elif from_ == 0:
+            break
+        wanted *= 2
+    if len(members) == start:
+        return None
+    sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    for s, pieces in enumerate(members):
+        at = 0
+        for p in pieces:
+            sequence[p], offset[p] = s, at
+            at += size[p]
     return sequence, offset
 
 
