@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import small_batches
+from sitesieve.llm.common import materialise, small_batches, unused
 
 #: Bounds of the sample that the classifier is fitted on.
 POSITIVE_ROWS, UNLABELLED_ROWS = 10_000, 40_000
@@ -34,6 +35,11 @@ def features_of(text: str | None) -> set[str]:
     return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(features_of(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], ["p", "words"])
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) mod 3 is 1: their labels are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -96,10 +102,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", positives: int
     bodies = docs.select(ids, F.col(text).cast("string").alias("text")).filter("doc_id is not null").filter(~held_out(F.col("doc_id")))
     some_u = bodies.select("doc_id").distinct().orderBy(mixed, "doc_id").limit(unlabelled)
     wanted = some_p.withColumn("p", F.lit(1)).union(some_u.withColumn("p", F.lit(0)))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
-    stem = lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
-    found = F.array_distinct(F.concat(words, *map(stem, STEMS)))
-    sample = bodies.join(F.broadcast(wanted), "doc_id").select("p", found.alias("words"))  # the limits bound what is sent
+    small_batches(docs.sparkSession)
+    sample = bodies.join(F.broadcast(wanted), "doc_id").select("p", "text").mapInArrow(_words, "p int, words array<string>")  # the limits bound what is sent
+    sample = materialise(sample, "toxicity")  # read three times
     size = {r.p: r.n for r in sample.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_p, n_u = size.get(1, 0), size.get(0, 0)
     if not n_p or not n_u:
@@ -134,7 +139,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     Labels of held-out rows, of null doc_ids and null labels are not read; with no positives at all every text gets
-    the same low score. Repeated rows are each scored. Languages, sources and ids are never inputs.
+    the same low score. Repeated rows are each scored. Languages, sources and ids are never inputs. An empty table
+    gives no rows; columns other than doc_id and the text are not read.
     """
     model = train(docs, labels, text)
     out = scored(docs.select(F.col("doc_id"), F.col(text).alias("text")), model)
@@ -142,5 +148,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns."""
-    return scored(docs, train(docs, labels, text), text, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """The rows of ``docs`` that score below ``threshold``, with all their columns and no others."""
+    name = unused("toxicity", docs)
+    return scored(docs, train(docs, labels, text), text, name).filter(F.col(name) < threshold).drop(name)
