@@ -1,8 +1,10 @@
 """Near copies by the similarity of whole shingle sets.
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more. Candidates come from
-min-hashes: 50 bands of 6, a key for each. Two sets of similarity s share a key with probability 1 - (1 - s^6)^50: all
-but 3 in ten million at 0.8, fewer still above. Every candidate is verified on the complete sets.
+SimHash fingerprints of the sets first, by the multi-index table of ``simhash``: those within two bits. At a similarity
+of 0.8 fingerprints differ in about ten of 64 bits, and no ball of that radius can be enumerated, so what they leave
+apart comes from min-hashes: 50 bands of 6, a key for each. Two sets of similarity s share a key with probability
+1 - (1 - s^6)^50: all but 3 in ten million at 0.8, fewer still above. Every candidate is verified on the complete sets.
 
 A key that many sets have is not paired each with each. Its sets are compared with one of them first (another one for
 each key); only sets that are still in different components after that are compared with each other.
@@ -19,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitesieve.llm.common import materialise, small_batches
-from sitesieve.llm.simhash import components
+from sitesieve.llm.simhash import components, fingerprint
+from sitesieve.llm.simhash import links as fingerprint_links
 
 #: Words in a shingle and the least similarity of a link, as a ratio of whole numbers.
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -71,9 +74,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
+        prints = pa.array(np.array([fingerprint([s]) for s in sets], np.uint64).view(np.int64), pa.int64())
         keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64) if sets else []
         bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(keys, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([len(s) for s in sets], pa.int32()), shingles, bands], ["doc_id", "id", "n", "shingles", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([len(s) for s in sets], pa.int32()), prints, shingles, bands], ["doc_id", "id", "n", "fp", "shingles", "bands"])
 
 
 def _alike(common, n, m):
@@ -92,6 +96,15 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(_alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
 
 
+def _of_prints(distinct: DataFrame) -> DataFrame:
+    """Candidates (a, n, b, m) by fingerprints: each set with the first of its own, and first sets within two bits."""
+    first = distinct.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("f")).select("fp", F.col("f.id").alias("b"), F.col("f.n").alias("m"))
+    same = distinct.select(F.col("id").alias("a"), "n", "fp").join(first, "fp").filter("a <> b").select("a", "n", "b", "m")
+    near = fingerprint_links(first.select("fp"))
+    near = near.join(first.toDF("a", "ida", "n"), "a").join(first.toDF("b", "idb", "m"), "b").select(F.col("ida").alias("a"), "n", F.col("idb").alias("b"), "m")
+    return same.unionByName(near)
+
+
 def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, component_id (the smallest doc_id that links reach).
 
@@ -100,11 +113,11 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = materialise(rows.mapInArrow(_sets, "doc_id bigint, id bigint, n int, shingles array<bigint>, bands array<bigint>"), "shingles")
+    sets = materialise(rows.mapInArrow(_sets, "doc_id bigint, id bigint, n int, fp bigint, shingles array<bigint>, bands array<bigint>"), "shingles")
 
     # the keys that more than one set has, each with the set that the others are compared with first
-    distinct = sets.filter("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    keys = materialise(distinct, "bands").select("id", "n", F.posexplode("bands").alias("band", "key"))
+    distinct = materialise(sets.filter("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "bands")
+    keys = distinct.select("id", "n", F.posexplode("bands").alias("band", "key"))
     chief = F.min(F.struct(F.xxhash64("key", "id").alias("order"), "id", "n")).alias("chief")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), chief).filter("sets > 1").select("key", "chief.id", "chief.n")
     entries = materialise(keys.join(shared.toDF("key", "b", "m"), "key").withColumnRenamed("id", "a"), "entries")
@@ -112,11 +125,14 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     def roots(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("node").alias("a"), "root")
 
+    def apart_in(pairs: DataFrame, links: DataFrame) -> DataFrame:
+        of = roots(links)
+        return pairs.join(of, "a", "left").join(of.toDF("b", "other"), "b", "left").filter("coalesce(root, a) <> coalesce(other, b)").select("a", "n", "b", "m")
+
+    links = materialise(_verified(_of_prints(distinct), sets), "links")
     stars = entries.filter("a <> b")
-    links = materialise(_verified(stars.filter(F.col("band") < FIRST_BANDS).select("a", "n", "b", "m"), sets), "links")
-    of = roots(links)
-    apart = stars.join(of, "a", "left").join(of.toDF("b", "other"), "b", "left").filter("coalesce(root, a) <> coalesce(other, b)")
-    links = links.union(materialise(_verified(apart.select("a", "n", "b", "m"), sets), "links"))
+    links = links.union(materialise(_verified(apart_in(stars.filter(F.col("band") < FIRST_BANDS), links), sets), "links"))
+    links = links.union(materialise(_verified(apart_in(stars, links), sets), "links"))
     # what is left of the keys: sets of different components, each with each
     placed = entries.join(roots(links), "a", "left").select("key", "a", "n", F.coalesce("root", "a").alias("root"))
     several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")

@@ -10,7 +10,7 @@ most and no bucket can grow with the corpus. Matches are verified on the complet
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,24 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII case and white space only
     if not words:
         return 0
-    ones, total = np.zeros(64, np.int64), max(1, len(words) - size + 1)
-    for at in range(0, total, _BLOCK):
-        part = words[at : at + _BLOCK + size - 1] if total > 1 else words
-        shingles = zip(*(part[k:] for k in range(size)), strict=False) if len(part) >= size else [part]
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], np.uint64)
-        ones += np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > total, bitorder="little")
-    return int(bits.view("<u8")[0])
+    total = max(1, len(words) - size + 1)
+
+    def hashes() -> Iterator[np.ndarray]:
+        for at in range(0, total, _BLOCK):
+            part = words[at : at + _BLOCK + size - 1] if total > 1 else words
+            shingles = zip(*(part[k:] for k in range(size)), strict=False) if len(part) >= size else [part]
+            yield np.array([xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in shingles], np.uint64)
+
+    return fingerprint(hashes())
+
+
+def fingerprint(parts: Iterable[np.ndarray]) -> int:
+    """The 64 bits that are set in over half of all hashes of ``parts``."""
+    ones, total = np.zeros(64, np.int64), 0
+    for part in parts:
+        ones += np.unpackbits(part.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        total += len(part)
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +72,7 @@ def links(distinct: DataFrame) -> DataFrame:
     """
     flips = [1 << k for k in range(63)] + [-(1 << 63)]
     # the bitmap of a key says which of its neighbours are there: bit k for the one with bit k flipped
-    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # each row becomes 65
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # each row becomes 65
     probes = spread.select("fp", F.explode(F.transform(F.lit([0, *flips]), lambda flip: F.struct(F.col("fp").bitwiseXOR(flip).alias("key"), flip.alias("flip")))).alias("p"))
     table = probes.groupBy("p.key").agg(F.bit_or("p.flip").alias("there"), F.bool_or(F.col("p.flip") == 0).alias("itself"))
     met = table.filter(F.bit_count("there") + F.col("itself").cast("int") > 1)
