@@ -28,7 +28,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Nine tenths of the tokens by the target weights; documents of the heavier branches are repeated, as op4 does."""
-    return mixing.mix(docs, domain_of_source(), mixing_weights(), budget_share=(9, 10)).select(*docs.columns)
+    return mixing.mix(docs, domain_of_source(), mixing_weights(), budget_share=(9, 10), details=False)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
