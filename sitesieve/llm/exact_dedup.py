@@ -74,14 +74,14 @@ def _sorted_runs(docs: DataFrame, ranges: int | None, seed: int, text: str) -> t
     if not splitters:
         return runs, None, False
     # texts that a splitter cuts: about one row for each splitter
-    cut = spark.createDataFrame(list({s[:2] for s in splitters}), "_head string, _hash bigint")
+    cut = spark.createDataFrame([s[:3] for s in splitters], "_head string, _hash bigint, _bound bigint").groupBy("_head", "_hash").agg(F.max("_bound").alias("_bound"))
     parts = (
-        keyed.join(F.broadcast(cut), ["_head", "_hash"], "left_semi")
+        keyed.join(F.broadcast(cut), ["_head", "_hash"])
         .groupBy("_head", "_hash", F.sha2(norm, 256).alias("_sha"))
-        .agg(F.max("_doc").alias("_cut_most"), F.count(F.lit(1)).alias("_cut_size"))
+        .agg(F.max("_doc").alias("_cut_most"), F.count(F.lit(1)).alias("_cut_size"), F.max("_bound").alias("_bound"), F.count_if(F.col("_doc") == F.col("_bound")).alias("_ties"))
     )
-    known, bounds = parts.collect(), {s[:3] for s in splitters}
-    return runs, spark.createDataFrame(known, parts.schema), any((r._head, r._hash, r._cut_most) in bounds for r in known)
+    known = parts.collect()
+    return runs, spark.createDataFrame(known, parts.schema).drop("_bound", "_ties"), any(r._bound == r._cut_most and r._ties > 1 for r in known)
 
 
 def content_groups(docs: DataFrame, ranges: int | None = None, seed: int = 5, text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import materialise, small_batches
+from sitesieve.llm.common import BROADCAST_IDS, materialise, small_batches
 from sitesieve.llm.simhash import components, fingerprint
 from sitesieve.llm.simhash import links as fingerprint_links
 
@@ -68,41 +68,56 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(least).reshape(BANDS, BAND_ROWS) * _PLACE[:BAND_ROWS]).sum(1, dtype=np.uint64) ^ _BAND)
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Identity, size, fingerprint and band keys of each text's set; the set itself isn't kept."""
+    for batch in batches:
+        rows = [(name_of(s), len(s), fingerprint([s]), band_keys(s)) for s in map(shingle_set, batch.column(2).to_pylist())]
+        ids, sizes, prints, keys = zip(*rows, strict=True) if rows else ([],) * 4
+        flat = np.concatenate(keys).view(np.int64) if rows else []
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(rows) + 1, BANDS), pa.int32()), pa.array(flat, pa.int64()))
+        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64()), bands]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "id", "n", "fp", "bands"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
-        ids = pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64())
+        sets = list(map(shingle_set, batch.column(0).to_pylist()))
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
-        prints = pa.array(np.array([fingerprint([s]) for s in sets], np.uint64).view(np.int64), pa.int64())
-        keys = np.concatenate([band_keys(s) for s in sets]).view(np.int64) if sets else []
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(sets) + 1, BANDS), pa.int32()), pa.array(keys, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([len(s) for s in sets], pa.int32()), prints, shingles, bands], ["doc_id", "id", "n", "fp", "shingles", "bands"])
+        yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), shingles], ["id", "shingles"])
+
+
+def name_of(hashes: np.ndarray) -> int:
+    """The same for texts with the same set of shingles."""
+    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
 def _alike(common, n, m):
     return common * (SIMILARITY[0] + SIMILARITY[1]) >= (n + m) * SIMILARITY[0]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the candidates (a, n, b, m) those that are similar enough: a, b."""
-    possible = pairs.filter(F.least("n", "m") * SIMILARITY[1] >= F.greatest("n", "m") * SIMILARITY[0])
-    wanted = materialise(possible.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = wanted.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = sets.join(ids, "id", "left_semi").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
-    held = materialise(held, "sets")
-    with_a = wanted.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
+def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Of the candidates (a, b) those that are similar enough; sizes are looked at before the sets (id, n, shingles) are."""
+    wanted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sizes = held.select("id", "n")
+    sized = wanted.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
+    possible = materialise(sized.filter(F.least("n", "m") * SIMILARITY[1] >= F.greatest("n", "m") * SIMILARITY[0]), "pairs")
+    with_a = possible.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
     both = with_a.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
-    return both.filter(_alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"))).select("a", "b")
+    return materialise(both.filter(_alike(F.size(F.array_intersect("s", "t")), F.col("n"), F.col("m"))).select("a", "b"), "links")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be sent to all executors if it has few rows; it is read from disk either way."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _of_prints(distinct: DataFrame) -> DataFrame:
-    """Candidates (a, n, b, m) by fingerprints: each set with the first of its own, and first sets within two bits."""
-    first = distinct.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("f")).select("fp", F.col("f.id").alias("b"), F.col("f.n").alias("m"))
-    same = distinct.select(F.col("id").alias("a"), "n", "fp").join(first, "fp").filter("a <> b").select("a", "n", "b", "m")
+    """Candidates (a, b) by fingerprints: each set with the first of its own, and first sets within two bits."""
+    first = distinct.groupBy("fp").agg(F.min("id").alias("b"))
+    same = distinct.select(F.col("id").alias("a"), "fp").join(first, "fp").filter("a <> b").select("a", "b")
     near = fingerprint_links(first.select("fp"))
-    near = near.join(first.toDF("a", "ida", "n"), "a").join(first.toDF("b", "idb", "m"), "b").select(F.col("ida").alias("a"), "n", F.col("idb").alias("b"), "m")
-    return same.unionByName(near)
+    return same.unionByName(near.join(first.toDF("a", "ida"), "a").join(first.toDF("b", "idb"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b")))
 
 
 def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -112,33 +127,40 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     part and never names a component unless it has no other. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = materialise(rows.mapInArrow(_sets, "doc_id bigint, id bigint, n int, fp bigint, shingles array<bigint>, bands array<bigint>"), "shingles")
-
-    # the keys that more than one set has, each with the set that the others are compared with first
-    distinct = materialise(sets.filter("n > 0").groupBy("id").agg(F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "bands")
-    keys = distinct.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    chief = F.min(F.struct(F.xxhash64("key", "id").alias("order"), "id", "n")).alias("chief")
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), chief).filter("sets > 1").select("key", "chief.id", "chief.n")
-    entries = materialise(keys.join(shared.toDF("key", "b", "m"), "key").withColumnRenamed("id", "a"), "entries")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    sets = materialise(rows.mapInArrow(_keys, "doc_id bigint, text_hash bigint, id bigint, n int, fp bigint, bands array<bigint>"), "shingles")
+
+    # the keys that more than one set has, each with the set that the others are compared with first: another for each key
+    distinct = materialise(sets.filter("n > 0").groupBy("id").agg(*(F.any_value(c).alias(c) for c in ("n", "fp", "text_hash", "bands"))), "bands")
+    keys = distinct.select("id", F.posexplode("bands").alias("band", "key"))
+    mixed = F.col("id").bitwiseXOR(F.col("key"))
+    shared = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min(mixed).alias("least")).filter("sets > 1").select("key", F.col("least").bitwiseXOR(F.col("key")).alias("b")), "keys")
+    entries = materialise(keys.join(_small(shared), "key").select("key", "band", F.col("id").alias("a"), "b"), "entries")
+    prints = materialise(_of_prints(distinct), "prints")
+
+    # the sets of candidates, made of their texts again: all sets together are larger than the texts
+    ids = entries.select("a").union(prints.select(F.explode(F.array("a", "b")))).distinct()
+    texts = materialise(distinct.join(ids, F.col("id") == F.col("a"), "left_semi").select("text_hash").distinct(), "texts")
+    again = rows.join(_small(texts), "text_hash", "left_semi").select("text").mapInArrow(_sets, "id bigint, shingles array<bigint>")
+    held = materialise(again.groupBy("id").agg(F.any_value("shingles").alias("shingles")).withColumn("n", F.size("shingles")), "sets")
 
     def roots(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("node").alias("a"), "root")
 
     def apart_in(pairs: DataFrame, links: DataFrame) -> DataFrame:
         of = roots(links)
-        return pairs.join(of, "a", "left").join(of.toDF("b", "other"), "b", "left").filter("coalesce(root, a) <> coalesce(other, b)").select("a", "n", "b", "m")
+        return pairs.join(of, "a", "left").join(of.toDF("b", "other"), "b", "left").filter("coalesce(root, a) <> coalesce(other, b)").select("a", "b")
 
-    links = materialise(_verified(_of_prints(distinct), sets), "links")
+    links = _verified(prints, held)
     stars = entries.filter("a <> b")
-    links = links.union(materialise(_verified(apart_in(stars.filter(F.col("band") < FIRST_BANDS), links), sets), "links"))
-    links = links.union(materialise(_verified(apart_in(stars, links), sets), "links"))
+    links = links.union(_verified(apart_in(stars.filter(F.col("band") < FIRST_BANDS), links), held))
+    links = links.union(_verified(apart_in(stars, links), held))
     # what is left of the keys: sets of different components, each with each
-    placed = entries.join(roots(links), "a", "left").select("key", "a", "n", F.coalesce("root", "a").alias("root"))
+    placed = entries.join(roots(links), "a", "left").select("key", "a", F.coalesce("root", "a").alias("root"))
     several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
     left = materialise(placed.join(several, "key"), "left")
-    crossed = left.join(left.toDF("key", "b", "m", "other"), "key").filter("root < other").select("a", "n", "b", "m")
-    links = links.union(materialise(_verified(crossed, sets), "links"))
+    crossed = left.join(left.toDF("key", "b", "other"), "key").filter("root < other").select("a", "b")
+    links = links.union(_verified(crossed, held))
 
     classes = sets.select("doc_id", "id").join(roots(links).withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
