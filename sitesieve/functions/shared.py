@@ -1,10 +1,11 @@
-"""The folder that driver and executors share, for checkpoints and tables between jobs."""
+"""The folder that driver and executors share, for checkpoints and tables between jobs; columns that are computed once."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,3 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(found)
     return found.rstrip("/")
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns that are computed once for each row, however often later expressions name them.
+
+    The optimizer would otherwise put an expression in wherever its column is used; it doesn't look through a generator.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))

@@ -53,6 +53,8 @@ REQUIRED_FIELDS = {
     "VideoObject": ("name", "thumbnailUrl", "uploadDate"), "SoftwareApplication": ("name",), "Course": ("name",),
 }
 DEPRECATED_TYPES = ("FAQPage", "HowTo")
+#: Keywords of all sites that a page is held against at a time.
+KEYWORDS = 1000
 _ROWS = {"ALL": "true", "HTML": "is_html and is_ok", "IDX": "is_indexable"}
 
 
@@ -402,11 +404,23 @@ def sitemap_hits(frames: Frames) -> DataFrame:
     ))
 
 
-def keyword_usage(pages: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Hits for target keywords (at most ten, rows site, keyword): absent, weak (in no title or H1), cannibal (several titles)."""
-    idx = pages.filter(_ROWS["IDX"]).select("site", "url", F.lower(_title()).alias("t"), F.lower(F.array_join(F.transform(_h1s(), lambda h: h["text"]), "\n")).alias("h"), F.lower("text").alias("b"))
-    kw = keywords.select("site", F.lower(F.trim("keyword")).alias("k")).filter("k <> ''").distinct()
-    rows = idx.join(kw, "site").groupBy("site", "k").agg(F.count_if(F.col("b").contains(F.col("k"))).alias("body"), F.count_if(F.col("t").contains(F.col("k"))).alias("title"), F.count_if(F.col("h").contains(F.col("k"))).alias("h1"))
+def keyword_usage(pages: DataFrame, keywords: DataFrame, every_site: bool = False) -> DataFrame:
+    """Hits for target keywords (rows site, keyword; with ``every_site`` keywords that each site has): absent, weak (in no
+    title or H1), cannibal (several titles).
+
+    A page is looked at once: it holds its site's keywords as one array. Keywords are what people chose, so a site's are
+    few; those that all sites share are sent to the executors up to KEYWORDS and else looked at in that many at a time.
+    """
+    idx = pages.filter(_ROWS["IDX"]).select("site", F.lower(_title()).alias("t"), F.lower(F.array_join(F.transform(_h1s(), lambda h: h["text"]), "\n")).alias("h"), F.lower("text").alias("b"))
+    kw = keywords.select(*([] if every_site else ["site"]), F.lower(F.trim("keyword")).alias("k")).filter("k <> ''").distinct()
+    if every_site:
+        groups = kw.withColumn("_g", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-kw.count() // KEYWORDS))))).groupBy("_g").agg(F.collect_list("k").alias("ks"))
+        lists = groups.agg(F.collect_list("ks").alias("kss")).first().kss
+        asked = idx.select("*", F.explode(F.array(*(F.lit(ks) for ks in lists))).alias("ks")) if lists else idx.withColumn("ks", F.array().cast("array<string>"))
+    else:
+        asked = idx.join(kw.groupBy("site").agg(F.collect_list("k").alias("ks")), "site")
+    found = asked.select("site", "t", "h", "b", F.explode("ks").alias("k"))
+    rows = found.groupBy("site", "k").agg(F.count_if(F.col("b").contains(F.col("k"))).alias("body"), F.count_if(F.col("t").contains(F.col("k"))).alias("title"), F.count_if(F.col("h").contains(F.col("k"))).alias("h1"))
     suffix = (F.crc32(F.encode("k", "UTF-8")) % 1_000_000).cast("string")
     kind = F.array_compact(F.array(F.when(F.col("body") == 0, F.struct(F.lit("absent").alias("p"), F.lit("high").alias("severity"))), F.when((F.col("body") > 0) & (F.col("title") == 0) & (F.col("h1") == 0), F.struct(F.lit("weak").alias("p"), F.lit("medium").alias("severity"))), F.when(F.col("title") > 1, F.struct(F.lit("cannibal").alias("p"), F.lit("medium").alias("severity")))))
     return rows.select("site", "k", F.inline(kind)).select("site", F.concat(F.lit("keyword-"), "p", F.lit("-"), suffix).alias("issue_id"), "severity", F.lit("content").alias("category"), F.lit(None).cast("string").alias("url"), F.col("k").alias("keyword"), "p")
@@ -434,11 +448,19 @@ def run_all(frames: Frames, names: tuple[str, ...] | None = None) -> tuple[DataF
     return reduce(DataFrame.unionByName, parts), notes
 
 
-def roll_up(hits: DataFrame, shown: int = 50) -> DataFrame:
-    """One issue per site and id: affected pages (site rules count one) and the first urls."""
-    row = Window.partitionBy("site", "issue_id").orderBy("url")
-    listed = F.when((F.col("_k") <= shown) & F.col("url").isNotNull(), F.col("url"))
-    return hits.withColumn("_k", F.row_number().over(row)).groupBy("site", "issue_id", "severity", "category").agg(F.count(F.lit(1)).alias("affected"), F.array_sort(F.collect_list(listed)).alias("urls"))
+def roll_up(hits: DataFrame, shown: int = 50, slices: int = 64) -> DataFrame:
+    """One issue per site and id: affected pages (site rules count one) and the first urls.
+
+    The first urls are found in slices of each issue and then among those, so that no task orders a whole issue.
+    """
+    keys = ["site", "issue_id", "severity", "category"]
+    part = hits.withColumn("_s", F.pmod(F.xxhash64("url"), F.lit(slices)))
+    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("affected"))
+    by_slice = Window.partitionBy(*keys, "_s").orderBy("url")
+    few = part.filter("url is not null").withColumn("_k", F.row_number().over(by_slice)).filter(F.col("_k") <= shown)
+    first = few.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("url"))).filter(F.col("_k") <= shown)
+    listed = first.groupBy(*keys).agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    return counts.join(listed, keys, "left").withColumn("urls", F.coalesce("urls", F.array().cast("array<string>")))
 
 
 def _of(column: str, table: dict) -> Column:

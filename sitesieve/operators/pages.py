@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitesieve.functions.shared import once
 from sitesieve.functions.text import content_hash, count_words
 from sitesieve.functions.urls import is_internal, origin_of, resolve
 
@@ -79,13 +80,13 @@ def page_facts(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     seen = F.regexp_replace(html, HIDDEN, " ")
     base = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))
-    out = pages.withColumns({"_seen": seen, "_metas": _tags(html, "meta"), "_links": _tags(html, "link"), "_base": base, "_head": F.regexp_extract(html, r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1)})
+    out = once(pages, {"_seen": seen, "_metas": _tags(html, "meta"), "_links": _tags(html, "link"), "_base": base, "_head": F.regexp_extract(html, r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1), "_scripts": F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>.*?</script\s*>"), F.lit(0))})
     out = out.withColumn("_base", F.coalesce(resolve(F.col("_base"), F.get(F.filter(F.transform(_tags(html, "base"), lambda b: attribute(b, "href")), lambda h: h.isNotNull()), F.lit(0))), F.col("_base")))
     metas, link_tags = F.col("_metas"), F.col("_links")
     first = lambda tags: F.get(tags, F.lit(0))
     with_rel = lambda rel: F.filter(link_tags, lambda t: F.array_contains(_rel(t), rel))
     robots = _meta(metas, "name", "robots")
-    scripts = F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>.*?</script\s*>"), F.lit(0))
+    scripts = F.col("_scripts")
     start = lambda s: F.regexp_extract(s, r"(?is)^<[^>]*>", 0)
     inner = lambda s: F.regexp_replace(F.regexp_replace(s, r"(?is)^<[^>]*>", ""), r"(?is)</\w+\s*>$", "")
     blocking = F.filter(F.regexp_extract_all("_head", F.lit(r"(?is)<script\b[^>]*>"), F.lit(0)), lambda s: attribute(s, "src").isNotNull() & ~s.rlike(r"(?is)\s(async|defer)[\s=>/]") & (F.lower(F.coalesce(attribute(s, "type"), F.lit(""))) != "module"))
@@ -100,14 +101,19 @@ def page_facts(pages: DataFrame) -> DataFrame:
     anchors = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a: F.struct(F.trim(attribute(start(a), "href")).alias("raw"), F.substring(plain(a), 1, 200).alias("anchor"), F.coalesce(attribute(start(a), "rel"), F.lit("")).alias("rel")))
     anchors = F.filter(anchors, lambda x: x["raw"].isNotNull() & ~x["raw"].rlike(_SKIPPED))
     link = lambda base, x: F.struct(resolve(base, x["raw"]).alias("href"), x["raw"].alias("raw"), x["anchor"].alias("anchor"), x["rel"].alias("rel"))
-    links = F.filter(with_base(anchors, link), lambda x: F.lower(x["href"]).rlike("^https?://"))
+    links = F.filter(with_base(F.col("_anchors"), link), lambda x: F.lower(x["href"]).rlike("^https?://"))
     with_side = F.transform(links, lambda x: F.struct(x["href"].alias("href"), x["raw"].alias("raw"), x["anchor"].alias("anchor"), x["rel"].alias("rel"), is_internal(x["href"], F.col("url")).alias("internal")))
     headings = F.transform(F.regexp_extract_all("_seen", F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"), F.lit(0)), lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), plain(h).alias("text")))
     body = F.coalesce(F.nullif(F.regexp_extract("_seen", r"(?is)<body\b[^>]*>(.*)", 1), F.lit("")), F.col("_seen"))
-    mains = F.transform(F.regexp_extract_all("_seen", F.lit(MAIN), F.lit(0)), plain)
-    best = F.aggregate(mains, F.lit(""), lambda a, t: F.when(count_words(t) > count_words(a), t).otherwise(a))
+    # the longest main element; the body only where there is none, so that most pages never need it
+    mains = F.transform(F.regexp_extract_all("_seen", F.lit(MAIN), F.lit(0)), lambda m: F.struct(plain(m).alias("text")))
+    mains = F.transform(mains, lambda m: F.struct(count_words(m["text"]).alias("n"), m["text"].alias("text")))
+    longest = F.aggregate(mains, F.struct(F.lit(0).alias("n"), F.lit("").alias("text")), lambda a, m: F.when(m["n"] > a["n"], m).otherwise(a))
+    out = once(out, {"_main": longest})
     bare, whole = plain(F.regexp_replace(body, BOILERPLATE, " ")), plain(body)
-    text = F.when(count_words(best) >= 50, best).when(count_words(bare) >= 30, bare).otherwise(whole)
+    out = once(out, {"_bare": F.when(F.col("_main.n") < 50, bare)})
+    text = F.when(F.col("_main.n") >= 50, F.col("_main.text")).when(count_words(F.col("_bare")) >= 30, F.col("_bare")).otherwise(whole)
+    out = once(out, {"text": text, "_anchors": anchors})
     ld = F.transform(F.filter(scripts, lambda s: F.lower(F.coalesce(attribute(start(s), "type"), F.lit(""))).contains("application/ld+json")), lambda s: F.trim(inner(s)))
     canonical = attribute(first(with_rel("canonical")), "href")
     out = out.withColumns({
@@ -133,9 +139,8 @@ def page_facts(pages: DataFrame) -> DataFrame:
         "images": with_base(image_tags, image),
         "links": with_side,
         "headings": headings,
-        "text": text,
     })
-    return out.withColumns({"words": count_words(F.col("text")), "content_hash": content_hash(F.col("text"))}).drop("_seen", "_metas", "_links", "_base", "_head")
+    return out.withColumns({"words": count_words(F.col("text")), "content_hash": content_hash(F.col("text"))}).drop("_seen", "_metas", "_links", "_base", "_head", "_scripts", "_main", "_bare", "_anchors")
 
 
 def with_flags(pages: DataFrame) -> DataFrame:

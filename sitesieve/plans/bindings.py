@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sitesieve.functions.shared import once
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,19 +24,74 @@ NODES = "nodes AS (SELECT 'parts' AS site, CAST(p_partkey AS VARCHAR) AS url, p_
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that follow each other in an order, of lines of at most ten pieces."""
+    """Parts that follow each other in an order."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = read(spark, sf_dir, "lineitem").filter("l_quantity <= 10").withColumn("source", F.lag("l_partkey").over(order))
+    lines = read(spark, sf_dir, "lineitem").withColumn("source", F.lag("l_partkey").over(order))
     brands = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
     pairs = lines.filter("source is not null and source <> l_partkey").join(brands, F.col("l_partkey") == F.col("p_partkey"))
     return pairs.select(F.lit("parts").alias("site"), F.col("source").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.col("p_brand").alias("anchor"), (F.col("l_returnflag") == "R").alias("nofollow"))
 
 
 EDGES = """edges AS (SELECT 'parts' AS site, CAST(src AS VARCHAR) AS source, CAST(l_partkey AS VARCHAR) AS target, p_brand AS anchor, l_returnflag = 'R' AS nofollow
- FROM (SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS src FROM lineitem WHERE l_quantity <= 10) l
+ FROM (SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS src FROM lineitem) l
  JOIN part ON l_partkey = p_partkey WHERE src IS NOT NULL AND src <> l_partkey)"""
 
 
+# A crawl: every page with the head, body and fetch facts that its number gives it, so that all kinds of rules have pages
+# that they hold for and pages that they don't. Head and body are said once, in SQL that both engines read.
+_HEAD = """concat(
+ CASE WHEN k % 3 = 0 THEN concat('<meta name="description" content="', CASE k % 9 WHEN 0 THEN 'Short text.' WHEN 3 THEN concat(repeat('long ', 40), 'end') ELSE 'All about the things that are sold on this very page, with prices, sizes and colours of each of them.' END, '">') ELSE '' END,
+ CASE WHEN k % 2 = 0 THEN '<meta name="viewport" content="width=device-width, initial-scale=1">' WHEN k % 10 = 1 THEN '<meta name="viewport" content="width=600">' ELSE '' END,
+ CASE WHEN k % 4 = 0 THEN concat('<link rel="canonical" href="', url, '">') WHEN k % 8 = 1 THEN '<link rel="canonical" href="https://other.invalid/x">' WHEN k % 8 = 3 THEN '<link rel="canonical" href="/elsewhere/1">' ELSE '' END,
+ CASE WHEN k % 11 = 0 THEN '<meta name="robots" content="noindex, follow">' ELSE '' END,
+ CASE WHEN k % 5 = 0 THEN '<meta property="og:title" content="t">' WHEN k % 5 = 1 THEN '<meta property="og:title" content="t"><meta property="og:image" content="/i.png">' ELSE '' END,
+ CASE WHEN k % 13 = 0 THEN concat('<link rel="alternate" hreflang="en" href="', url, '"><link rel="alternate" hreflang="x-default" href="', url, '">') WHEN k % 13 = 1 THEN '<link rel="alternate" hreflang="english_1" href="/x">' ELSE '' END,
+ CASE WHEN k % 7 < 5 THEN concat('<script type="application/ld+json">', CASE k % 7 WHEN 0 THEN '{"@type":"Article","headline":"x"}' WHEN 1 THEN '{"@type":"Article"}' WHEN 2 THEN '{"@type":"FAQPage"}' WHEN 3 THEN '{"name":"x"}' ELSE '{broken' END, '</script>') ELSE '' END,
+ CASE WHEN k % 17 = 0 THEN repeat('<script async src="/s.js"></script>', 16) WHEN k % 17 = 1 THEN concat(repeat('<script src="/s.js"></script>', 2), repeat('<link rel="stylesheet" href="/s.css">', 2)) ELSE '' END,
+ CASE WHEN k % 19 = 0 THEN concat('<script>', repeat('x', 100001), '</script>') ELSE '' END,
+ CASE WHEN k % 97 = 0 THEN concat('<!--', repeat('x', 500001), '-->') ELSE '' END)"""
+_BODY = """concat('<aside>',
+ CASE k % 6 WHEN 0 THEN '<img src="/a.webp">' WHEN 1 THEN concat('<img src="/img1.jpg" alt="', repeat('a', 126), '" width="1" height="1" loading="lazy">') WHEN 2 THEN repeat('<img src="/p1.png" alt="a" width="1" height="1">', 3) WHEN 3 THEN repeat('<img src="/b.webp" alt="a" width="1" height="1">', 9) ELSE '' END,
+ CASE WHEN k % 4 = 2 THEN '<h2>What is it?</h2>' WHEN k % 8 = 7 THEN '<h2>Prices</h2><h4>Old prices</h4>' WHEN k % 4 = 3 THEN '<h2>Prices</h2>' ELSE '' END,
+ CASE WHEN k % 5 = 2 THEN '<a href="https://x.com/us" target="_blank">see us</a>' WHEN k % 5 = 3 THEN concat('<a href="', url, '">this page</a>') ELSE '' END,
+ CASE WHEN k % 7 = 2 THEN '<a href="/about-us">click here</a>' ELSE '' END, CASE WHEN k % 6 = 5 THEN '<a href="/empty"></a>' ELSE '' END,
+ CASE WHEN k % 9 = 2 THEN '<a href="http://old.example/p">old</a>' ELSE '' END, CASE WHEN k % 23 = 0 THEN '<a href="#" onclick="location.href=1">go</a>' ELSE '' END, '</aside>')"""
+_STATUS, _ERROR = "CASE WHEN k % 29 = 0 THEN 500 WHEN k % 31 = 0 THEN 404 WHEN k % 37 = 0 THEN 403 ELSE 200 END", "CASE WHEN k % 41 = 0 THEN 'timeout' END"
+#: What a site's robots.txt says, by the length of its name; none for the first.
+ROBOTS = ("User-agent: *\nDisallow: /", "User-agent: GPTBot\nDisallow: /\n\nSitemap: x", "User-agent: *\nDisallow: /assets/\nSitemap: x")
+
+
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = once(read(spark, sf_dir, "pages").withColumn("k", F.col("page_id")), {"_h": F.expr(_HEAD), "_b": F.expr(_BODY)})
+    html = F.replace(F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), "_h")), F.lit("<body>"), F.concat(F.lit("<body>"), "_b"))
+    hop = lambda code: F.struct(F.lit(code).alias("code"), F.col("url"))
+    chain = F.when(F.expr("k % 43 = 0"), F.array(hop(302))).when(F.expr("k % 43 = 1"), F.array(hop(301), hop(301))).otherwise(F.expr("cast(array() as array<struct<code:int,url:string>>)"))
+    out = rows.select(
+        "page_id", "url", html.alias("html"), F.expr(_STATUS).alias("status_code"), F.expr(_ERROR).alias("error"), chain.alias("redirect_chain"),
+        F.expr("CASE WHEN k % 2 = 0 THEN map('Content-Encoding', 'gzip', 'Strict-Transport-Security', 'max-age=1', 'Cache-Control', 'max-age=60') ELSE map('Cache-Control', 'no-store') END").alias("headers"),
+        F.expr("CASE WHEN k % 47 = 0 THEN 'application/pdf' ELSE 'text/html' END").alias("content_type"), F.expr("cast(k * 37 % 1000 AS INT)").alias("elapsed_ms"), F.expr("cast(k % 6 AS INT)").alias("depth"), F.col("k").alias("crawl_seq"),
+    )
+    return once(out, {c: F.col(c) for c in ("html",)})
+
+
+CRAWL = f"""raw0 AS (SELECT page_id, page_id AS k, url, html FROM pages), crawled AS (SELECT page_id, k, url, replace(replace(html, '<head>', '<head>' || {_HEAD}), '<body>', '<body>' || {_BODY}) AS html FROM raw0)"""
+#: Fetch facts and flags of the crawl, by the number of the page.
+CRAWL_FLAGS = f"""f1 AS (SELECT *, {_STATUS} AS status, {_ERROR} AS error, k % 47 <> 0 AS is_html, k % 11 = 0 AS is_noindex, k % 43 < 2 AS redirected, k * 37 % 1000 AS elapsed FROM facts),
+f2 AS (SELECT *, is_html AND error IS NULL AND status = 200 AS good FROM f1), f3 AS (SELECT *, good AND NOT is_noindex AS idx FROM f2)"""
+
+
+def site_files(starts: DataFrame) -> DataFrame:
+    """What was fetched beside the pages of each site (site, start_url), by the length of its name."""
+    n = F.length("site")
+    robots = F.coalesce(*(F.when(n % 4 == k + 1, text) for k, text in enumerate(ROBOTS)))
+    return starts.withColumns({"robots_txt": robots, "llms_txt": n % 3 == 0, "security_txt": n % 5 == 0})
+
+
+def sitemaps(pages: DataFrame) -> DataFrame:
+    """Every third page of the sites that have a sitemap."""
+    return pages.filter("length(site) % 7 <> 0 and crawl_seq % 3 = 0").select("site", F.col("url").alias("loc"))
+
+
 def words_of_text() -> str:
     return r"[\p{L}\p{N}_]+"
 
@@ -45,14 +102,14 @@ def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda k: F.get(lines, F.lit(k))
     return read(spark, sf_dir, "documents").select(
         F.col("source").alias("site"), F.concat(F.lit("https://"), "source", F.lit(".example/doc/"), F.col("doc_id").cast("string")).alias("url"),
-        F.trim(F.substring(line(0), 1, 90)).alias("title"), F.trim(F.substring(F.coalesce(line(1), F.lit("")), 1, 200)).alias("description"),
-        F.when(line(2).isNotNull(), F.array(F.struct(F.lit(1).alias("level"), F.substring(line(2), 1, 60).alias("text")))).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias("headings"),
+        F.trim(line(0)).alias("title"), F.trim(F.coalesce(line(1), F.lit(""))).alias("description"),
+        F.when(line(2).isNotNull(), F.array(F.struct(F.lit(1).alias("level"), line(2).alias("text")))).otherwise(F.array().cast("array<struct<level:int,text:string>>")).alias("headings"),
         F.size(F.regexp_extract_all("text", F.lit(words_of_text()), F.lit(0))).alias("words"), (F.col("doc_id") % 7 != 0).alias("indexable"), F.col("doc_id").alias("seq"), F.col("text"),
     )
 
 
-PAGE_ROWS = r"""page_rows AS (SELECT source AS site, 'https://' || source || '.example/doc/' || doc_id AS url, trim(substr(split_part(text, chr(10), 1), 1, 90), ' ') AS title,
- trim(substr(split_part(text, chr(10), 2), 1, 200), ' ') AS description, CASE WHEN len(string_split(text, chr(10))) > 2 THEN substr(split_part(text, chr(10), 3), 1, 60) END AS h1,
+PAGE_ROWS = r"""page_rows AS (SELECT source AS site, 'https://' || source || '.example/doc/' || doc_id AS url, trim(split_part(text, chr(10), 1), ' ') AS title,
+ trim(split_part(text, chr(10), 2), ' ') AS description, CASE WHEN len(string_split(text, chr(10))) > 2 THEN split_part(text, chr(10), 3) END AS h1,
  len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words, doc_id % 7 <> 0 AS indexable, doc_id AS seq, text FROM documents)"""
 
 
@@ -67,16 +124,22 @@ KEYWORDS = r"""keywords AS (SELECT keyword, CAST(seq * 37 % 101 AS INTEGER) AS d
  (SELECT array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 2), ' ') AS keyword, min(item_id) AS seq FROM benchmark GROUP BY 1))"""
 
 
+#: Positions that the numbers of a document's suggestions leave room for.
+DOC_SPAN = 10_000_000
+
+
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of words of a document, as if suggested by its source for its language's seed: position in tens."""
-    found = F.regexp_extract_all(F.col("text"), F.lit(r"\p{L}+"), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(1), F.least(F.size(found) - 1, F.lit(20))), lambda k: F.struct((k - 1).alias("position"), F.concat_ws(" ", F.element_at(found, k), F.element_at(found, k + 1)).alias("keyword")))
-    rows = read(spark, sf_dir, "documents").filter(F.size(found) >= 2)
-    return rows.select(F.concat(F.lit("seed "), "lang").alias("seed"), F.inline(pairs), F.col("source"), (F.col("doc_id") * 100).alias("_d")).select("seed", "keyword", "source", F.floor(F.col("position") / 2).cast("int").alias("position"), (F.col("_d") + F.col("position")).alias("seq"))
+    """Every pair of neighbouring words of a document, as if suggested by its source for its language's seed: position in twos."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.regexp_extract_all(F.col("text"), F.lit(r"\p{L}+"), F.lit(0)).alias("w")).filter("size(w) >= 2")
+    # the words are an attribute here, so that they are taken out of the text once and not once for each pair
+    rows = once(rows, {"w": F.col("w")})
+    pairs = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat_ws(" ", a, b))
+    found = rows.select(F.concat(F.lit("seed "), "lang").alias("seed"), F.posexplode(pairs).alias("position", "keyword"), "source", (F.col("doc_id") * DOC_SPAN).alias("_d"))
+    return found.select("seed", "keyword", "source", F.floor(F.col("position") / 2).cast("int").alias("position"), (F.col("_d") + F.col("position")).alias("seq"))
 
 
-SUGGESTIONS = r"""suggestions AS (SELECT 'seed ' || lang AS seed, w[k] || ' ' || w[k + 1] AS keyword, source, CAST((k - 1) // 2 AS INTEGER) AS position, doc_id * 100 + k - 1 AS seq FROM
- (SELECT *, unnest(range(1, least(len(w) - 1, 20) + 1)) AS k FROM (SELECT *, regexp_extract_all(text, '\p{L}+') AS w FROM documents) WHERE len(w) >= 2))"""
+SUGGESTIONS = rf"""suggestions AS (SELECT 'seed ' || lang AS seed, w[k] || ' ' || w[k + 1] AS keyword, source, CAST((k - 1) // 2 AS INTEGER) AS position, doc_id * {DOC_SPAN} + k - 1 AS seq FROM
+ (SELECT *, unnest(range(1, len(w))) AS k FROM (SELECT *, regexp_extract_all(text, '\p{{L}}+') AS w FROM documents) WHERE len(w) >= 2))"""
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
