@@ -135,7 +135,7 @@ def npy_tile(image: np.ndarray, side: int = TILE) -> bytes:
     """The image resized to a square of 8-bit samples, as an NPY file."""
     out = io.BytesIO()
     top = 255 if image.dtype == np.uint8 else 65535
-    np.save(out, np.clip(np.rint(np.round(area_resize(image, side, side), 6) * (255 / top)), 0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.clip(np.rint(np.round(area_resize(image, side, side), 6) * (255 / top)), 0, 255).astype(np.uint8, order="C"), allow_pickle=False)
     return out.getvalue()
 
 

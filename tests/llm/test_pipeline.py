@@ -68,3 +68,45 @@ def test_mix_meets_its_targets(spark):
     shares = {s: n / sum(taken.values()) for s, n in taken.items()}
     assert all(abs(shares[f"src{k}"] - want) < 0.005 for k, want in enumerate((0.4, 0.3, 0.2, 0.1)))
     assert 1790 <= sum(taken.values()) <= 1800
+
+
+def test_stages_of_odd_and_empty_tables(spark, tmp_path):
+    """Every stage as it is chained, on nulls, empty texts, ties, repeated rows and further columns, and on nothing."""
+    text = "one two three four five six seven"
+    rows = [(1, text, "en", "src0", 1), (2, text.upper(), None, None, None), (2, text.upper(), None, None, None), (None, text, "de", "src1", 1), (3, None, "en", "src0", 0), (4, "", "en", "src0", 0), (5, "word " * 20_000, "fr", "src2", 1), (6, "a b", "en", "srcX", 1), (None, None, None, None, None)]
+    extra = ", `_row` string, `_domain` string, toxicity string, id string"
+    spark.createDataFrame([(6, 1, 0), (5, 1, 0), (None, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for data in (rows, []):
+        docs = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in data], DOCS + extra)
+        seen = []
+        for name, stage in corpus_pipeline.STAGES:
+            path = f"{tmp_path}/{name}-{len(data)}"
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            seen.append(sorted((r.doc_id for r in docs.select("doc_id").collect()), key=str))
+        if not data:
+            assert seen == [[]] * 5
+            continue
+        assert seen[0] == sorted((r[0] for r in rows), key=str)  # nothing toxic was confirmed
+        assert seen[1] == [2, 4, 5, 6]  # of equal texts the largest doc_id, of repeated rows one
+        assert seen[2] == [2, 4, 5, 6]
+        assert set(seen[3]) <= {2, 4, 5, 6} and set(seen[4]) == set(seen[3])
+
+
+def test_toxic_documents_go_and_copies_go(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(900)]
+    made = lambda bad: " ".join(rng.choices(words, k=40) + (["vilestuff"] * 2 if bad else []))
+    rows = [(i, made(i % 10 == 0), "en", f"src{i % 4}", 1) for i in range(400)]
+    rows += [(i + 1000, rows[i][1], "en", "src0", 1) for i in range(1, 40, 4)]
+    docs = spark.createDataFrame(rows, DOCS)
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(0, 400, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(i for i, t, *_ in rows if "vilestuff" not in t)
+    texts = {}
+    for i, t, *_ in rows:
+        if "vilestuff" not in t:
+            texts[t] = max(i, texts.get(t, 0))
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_exact_copies(spark, clean, "").collect()) == sorted(texts.values())
