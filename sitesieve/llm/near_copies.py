@@ -7,7 +7,8 @@ apart comes from min-hashes: 50 bands of 6, a key for each. Two sets of similari
 1 - (1 - s^6)^50: all but 3 in ten million at 0.8, fewer still above. Every candidate is verified on the complete sets.
 
 A key that many sets have is not paired each with each. Its sets are compared with one of them first (another one for
-each key); only sets that are still in different components after that are compared with each other.
+each key); only sets that are still in different components after that are compared with each other, and of those only
+the ones that have enough shingles in common with any other.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, BAND_ROWS, SEED = 50, 6, 42
 #: Bands whose keys are tried first; they connect most of what there is to connect.
 FIRST_BANDS = 2
+#: Sets, and shingles of all of them, that are sent to every executor at most (8 bytes each).
+BROADCAST_SETS, BROADCAST_SHINGLES = 50_000, 2_000_000
 _BLOCK = 512
 _RNG = np.random.default_rng(SEED)
 _TIMES, _PLUS = (_RNG.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) for _ in range(2))
@@ -102,11 +105,22 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     sizes = held.select("id", "n")
     sized = wanted.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
     possible = materialise(sized.filter(F.least("n", "m") * SIMILARITY[1] >= F.greatest("n", "m") * SIMILARITY[0]), "pairs")
-    with_a = possible.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("s")), "a")
-    both = with_a.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("t")), "b")
+    used = held.join(possible.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi")
+    size = used.agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles")).first()
+    sent = F.broadcast if size.sets <= BROADCAST_SETS and (size.shingles or 0) <= BROADCAST_SHINGLES else lambda df: df
+    with_a = possible.join(sent(used.select(F.col("id").alias("a"), F.col("shingles").alias("s"))), "a")
+    both = with_a.join(sent(used.select(F.col("id").alias("b"), F.col("shingles").alias("t"))), "b")
     return materialise(both.filter(_alike(F.size(F.array_intersect("s", "t")), F.col("n"), F.col("m"))).select("a", "b"), "links")
 
 
+def _cores(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n and core of sets: how many of a set's shingles any other of these sets has. Those that only one set has can't be
+    in what two have in common, so a link needs 9 * core >= 4 * (n + m) on either side, and 5 * core >= 4 * n with any other."""
+    some = held.join(ids.toDF("id"), "id", "left_semi").select("id", "n", "shingles")
+    lone = some.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("id")).filter("sets = 1")
+    return some.select("id", "n").join(lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("core"))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """``df`` to be sent to all executors if it has few rows; it is read from disk either way."""
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
@@ -159,7 +173,10 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     placed = entries.join(roots(links), "a", "left").select("key", "a", F.coalesce("root", "a").alias("root"))
     several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
     left = materialise(placed.join(several, "key"), "left")
-    crossed = left.join(left.toDF("key", "b", "other"), "key").filter("root < other").select("a", "b")
+    cores = _cores(held, left.select("a").distinct()).filter("5 * core >= 4 * n")
+    left = materialise(left.join(cores.withColumnRenamed("id", "a"), "a").select("key", "a", "root", "n", "core"), "cores")
+    fits = (F.col("root") < F.col("other")) & (9 * F.least("core", "core_b") >= 4 * (F.col("n") + F.col("m")))
+    crossed = left.join(left.toDF("key", "b", "other", "m", "core_b"), "key").filter(fits).select("a", "b")
     links = links.union(_verified(crossed, held))
 
     classes = sets.select("doc_id", "id").join(roots(links).withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
