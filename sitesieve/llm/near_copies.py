@@ -8,7 +8,8 @@ apart comes from min-hashes: 50 bands of 6, a key for each. Two sets of similari
 
 A key that many sets have is not paired each with each. Its sets are compared with one of them first (another one for
 each key); only sets that are still in different components after that are compared with each other, and of those only
-the ones that have enough shingles in common with any other.
+the ones that have enough shingles in common with any other and whose parity bitmaps don't differ in more bits than
+sets that are similar enough can. The bitmaps are exact in one direction: each differing bit stands for a differing shingle.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ BANDS, BAND_ROWS, SEED = 50, 6, 42
 FIRST_BANDS = 2
 #: Sets, and shingles of all of them, that are sent to every executor at most (8 bytes each).
 BROADCAST_SETS, BROADCAST_SHINGLES = 50_000, 2_000_000
+#: Bits of a parity bitmap. Sets whose difference is much larger are never told apart by it and are compared in full.
+PARITY = 1024
 _BLOCK = 512
 _RNG = np.random.default_rng(SEED)
 _TIMES, _PLUS = (_RNG.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) for _ in range(2))
@@ -71,6 +74,12 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return _mixed((_mixed(least).reshape(BANDS, BAND_ROWS) * _PLACE[:BAND_ROWS]).sum(1, dtype=np.uint64) ^ _BAND)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """A bit is 1 if an odd number of shingles falls on it: bits that differ are at most as many as shingles that only one set has."""
+    odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Identity, size, fingerprint and band keys of each text's set; the set itself isn't kept."""
     for batch in batches:
@@ -87,7 +96,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = list(map(shingle_set, batch.column(0).to_pylist()))
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         shingles = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), shingles], ["id", "shingles"])
+        words = PARITY // 64
+        bits = pa.array(np.concatenate(list(map(parities, sets))) if sets else [], pa.int64())
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(0, words * len(sets) + 1, words), pa.int32()), bits)
+        yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), shingles, parity], ["id", "shingles", "parity"])
 
 
 def name_of(hashes: np.ndarray) -> int:
@@ -99,6 +111,12 @@ def _alike(common, n, m):
     return common * (SIMILARITY[0] + SIMILARITY[1]) >= (n + m) * SIMILARITY[0]
 
 
+def _near_enough(n, m):
+    """Of columns ``parity`` and ``parity_b`` of two sets of n and m shingles: no more bits differ than shingles may."""
+    differing = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity_b")[i])) for i in range(PARITY // 64))
+    return differing * (SIMILARITY[0] + SIMILARITY[1]) <= (n + m) * (SIMILARITY[1] - SIMILARITY[0])
+
+
 def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """Of the candidates (a, b) those that are similar enough; sizes are looked at before the sets (id, n, shingles) are."""
     wanted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -114,11 +132,11 @@ def _verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _cores(held: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n and core of sets: how many of a set's shingles any other of these sets has. Those that only one set has can't be
+    """id, n, parity and core of sets: how many of a set's shingles any other of these sets has. Those that only one set has can't be
     in what two have in common, so a link needs 9 * core >= 4 * (n + m) on either side, and 5 * core >= 4 * n with any other."""
-    some = held.join(ids.toDF("id"), "id", "left_semi").select("id", "n", "shingles")
+    some = held.join(ids.toDF("id"), "id", "left_semi").select("id", "n", "shingles", "parity")
     lone = some.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("sets"), F.min("id").alias("id")).filter("sets = 1")
-    return some.select("id", "n").join(lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "id", "left").select("id", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("core"))
+    return some.select("id", "n", "parity").join(lone.groupBy("id").agg(F.count(F.lit(1)).alias("lone")), "id", "left").select("id", "n", "parity", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("core"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -155,8 +173,8 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     # the sets of candidates, made of their texts again: all sets together are larger than the texts
     ids = entries.select("a").union(prints.select(F.explode(F.array("a", "b")))).distinct()
     texts = materialise(distinct.join(ids, F.col("id") == F.col("a"), "left_semi").select("text_hash").distinct(), "texts")
-    again = rows.join(_small(texts), "text_hash", "left_semi").select("text").mapInArrow(_sets, "id bigint, shingles array<bigint>")
-    held = materialise(again.groupBy("id").agg(F.any_value("shingles").alias("shingles")).withColumn("n", F.size("shingles")), "sets")
+    again = rows.join(_small(texts), "text_hash", "left_semi").select("text").mapInArrow(_sets, "id bigint, shingles array<bigint>, parity array<bigint>")
+    held = materialise(again.groupBy("id").agg(F.any_value("shingles").alias("shingles"), F.any_value("parity").alias("parity")).withColumn("n", F.size("shingles")), "sets")
 
     def roots(links: DataFrame) -> DataFrame:
         return components(links).select(F.col("node").alias("a"), "root")
@@ -174,9 +192,9 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     several = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("several")).filter("several").select("key")
     left = materialise(placed.join(several, "key"), "left")
     cores = _cores(held, left.select("a").distinct()).filter("5 * core >= 4 * n")
-    left = materialise(left.join(cores.withColumnRenamed("id", "a"), "a").select("key", "a", "root", "n", "core"), "cores")
-    fits = (F.col("root") < F.col("other")) & (9 * F.least("core", "core_b") >= 4 * (F.col("n") + F.col("m")))
-    crossed = left.join(left.toDF("key", "b", "other", "m", "core_b"), "key").filter(fits).select("a", "b")
+    left = materialise(left.join(cores.withColumnRenamed("id", "a"), "a").select("key", "a", "root", "n", "core", "parity"), "cores")
+    fits = (F.col("root") < F.col("other")) & (9 * F.least("core", "core_b") >= 4 * (F.col("n") + F.col("m"))) & _near_enough(F.col("n"), F.col("m"))
+    crossed = left.join(left.toDF("key", "b", "other", "m", "core_b", "parity_b"), "key").filter(fits).select("a", "b")
     links = links.union(_verified(crossed, held))
 
     classes = sets.select("doc_id", "id").join(roots(links).withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))

@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from sitesieve.llm import near_copies
 
@@ -110,3 +112,15 @@ def test_toxic_documents_go_and_copies_go(spark, tmp_path):
         if "vilestuff" not in t:
             texts[t] = max(i, texts.get(t, 0))
     assert sorted(r.doc_id for r in corpus_pipeline.drop_exact_copies(spark, clean, "").collect()) == sorted(texts.values())
+
+
+def test_parity_bitmaps_never_tell_apart_what_is_similar():
+    rng = random.Random(11)
+    for size in (3, 80, 5000):
+        base = [rng.getrandbits(64) for _ in range(size)]
+        for share in (0, 0.05, 0.2, 0.9):
+            other = [rng.getrandbits(64) if rng.random() < share else h for h in base]
+            a, b = (np.unique(np.array(x, np.uint64)) for x in (base, other))
+            bits = int(np.bitwise_count((near_copies.parities(a) ^ near_copies.parities(b)).view(np.uint64)).sum())
+            assert bits <= len(set(base) ^ set(other)) and len(near_copies.parities(a)) == near_copies.PARITY // 64
+    assert not near_copies.parities(np.array([], np.uint64)).any()
