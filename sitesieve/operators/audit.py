@@ -386,9 +386,13 @@ def site_hits(frames: Frames) -> DataFrame:
     return s.select("site", F.inline(each)).withColumn("url", none).select(*_HIT)
 
 
+#: Broken sitemap addresses that a hit of a site lists.
+SITEMAP_ERRORS = 10
+
+
 @rule("sitemaps")
 def sitemap_hits(frames: Frames) -> DataFrame:
-    """Pages held against the sitemap (site, loc)."""
+    """Pages held against the sitemap (site, loc); ``sitemap_errors`` of a site, if it has the column, are addresses that answered with HTML."""
     pages, none = frames["pages"], F.lit(None).cast("string")
     locs = frames["sitemap"].select("site", normalize_url(F.col("loc")).alias("_u")).distinct()
     keyed = pages.withColumn("_u", normalize_url(F.col("url")))
@@ -398,8 +402,10 @@ def sitemap_hits(frames: Frames) -> DataFrame:
     many = absent.groupBy("site").agg(F.count(F.lit(1)).alias("n")).join(site_counts(pages).select("site", "idx"), "site").filter(F.col("n") > F.greatest(F.lit(2.0), 0.2 * F.col("idx")))
     met = keyed.join(locs, ["site", "_u"], "left_semi").select("site").distinct()
     apart = locs.select("site").distinct().join(pages.select("site").distinct(), "site", "left_semi").join(met, "site", "left_anti")
+    errors = F.col("sitemap_errors") if "sitemap_errors" in frames["sites"].columns else F.array().cast("array<string>")
+    invalid = frames["sites"].select("site", errors.alias("e")).join(locs.select("site").distinct(), "site", "left_semi").select("site", F.explode(F.slice("e", 1, SITEMAP_ERRORS)).alias("url"))
     return reduce(DataFrame.unionByName, (
-        _hits(known, "sitemap-missing", "medium", "indexing", none), _hits(bad, "sitemap-bad-entries", "medium", "indexing"),
+        _hits(invalid, "sitemap-invalid", "medium", "indexing"), _hits(known, "sitemap-missing", "medium", "indexing", none), _hits(bad, "sitemap-bad-entries", "medium", "indexing"),
         _hits(absent.join(many, "site", "left_semi"), "sitemap-incomplete", "low", "indexing"), _hits(apart, "sitemap-mismatch", "medium", "indexing", none),
     ))
 

@@ -79,3 +79,15 @@ def shared_themes(terms_by_site: DataFrame, sampled: DataFrame, mine: str, limit
     ours = terms_by_site.filter(F.col("site") == mine).select("term", F.col("pages").alias("your_pages"))
     rows = market(terms_by_site, sampled, mine).join(ours, "term").select("term", "competitors", "your_pages")
     return rows.orderBy(F.desc("competitors"), F.desc("your_pages"), "term").limit(limit)
+
+
+def assemble(wanted: DataFrame, reports: DataFrame) -> DataFrame:
+    """Reports that comparisons ask for (comparison_id, role, crawl_id), each once, with the columns of ``reports`` (one row for each crawl_id).
+
+    A competitor without a report stays as a row that is not ``available``, and the comparison is completed without it; without the
+    report of its own site (role mine) a comparison has failed.
+    """
+    asked = wanted.select("comparison_id", "role", "crawl_id").distinct()
+    found = asked.join(reports.withColumn("available", F.lit(True)), "crawl_id", "left").withColumn("available", F.coalesce("available", F.lit(False)))
+    own = F.max((F.col("role") == "mine") & F.col("available")).over(Window.partitionBy("comparison_id"))
+    return found.withColumn("status", F.when(own, "completed").otherwise("failed"))

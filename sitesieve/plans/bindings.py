@@ -84,7 +84,7 @@ def site_files(starts: DataFrame) -> DataFrame:
     """What was fetched beside the pages of each site (site, start_url), by the length of its name."""
     n = F.length("site")
     robots = F.coalesce(*(F.when(n % 4 == k + 1, text) for k, text in enumerate(ROBOTS)))
-    return starts.withColumns({"robots_txt": robots, "llms_txt": n % 3 == 0, "security_txt": n % 5 == 0})
+    return starts.withColumns({"robots_txt": robots, "llms_txt": n % 3 == 0, "security_txt": n % 5 == 0, "sitemap_errors": F.when(n % 2 == 0, F.array(F.concat(F.lit("https://"), "site", F.lit("/sitemap-2.xml")))).otherwise(F.array().cast("array<string>"))})
 
 
 def sitemaps(pages: DataFrame) -> DataFrame:

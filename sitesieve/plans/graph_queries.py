@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesieve.operators import graph, rankings, trends
+from sitesieve.operators import compare, graph, rankings, trends
 from sitesieve.plans import bindings as b
 
 QUERIES: dict = {}
@@ -244,3 +244,11 @@ def category_trend(spark, d):
 def sample_comparability(spark, d):
     rows = trends.with_previous(b.runs(spark, d), "pages_crawled")
     return rows.select("run_id", F.coalesce(trends.comparable(F.col("previous_pages_crawled"), F.col("pages_crawled")), F.lit(False)).alias("comparable"))
+
+
+@query("WITH w AS (SELECT DISTINCT l_orderkey AS comparison_id, CASE WHEN l_linenumber = 1 THEN 'mine' ELSE 'competitor' END AS role, l_suppkey AS crawl_id FROM lineitem), j AS (SELECT w.*, s.s_name AS site, s.s_suppkey IS NOT NULL AS available FROM w LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON s.s_suppkey = w.crawl_id) SELECT *, CASE WHEN bool_or(role = 'mine' AND available) OVER (PARTITION BY comparison_id) THEN 'completed' ELSE 'failed' END AS status FROM j")
+def join_reports(spark, d):
+    role = F.when(F.col("l_linenumber") == 1, "mine").otherwise("competitor")
+    wanted = b.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("comparison_id"), role.alias("role"), F.col("l_suppkey").alias("crawl_id"))
+    reports = b.read(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("crawl_id"), F.col("s_name").alias("site"))
+    return compare.assemble(wanted, reports)

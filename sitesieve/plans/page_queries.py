@@ -186,6 +186,7 @@ hits0 AS (SELECT site, url, key FROM page_hits WHERE NOT EXISTS (SELECT 1 FROM f
  UNION ALL SELECT site, url, 'keyword-stuffing|high|content' FROM dn WHERE tokens >= 80 AND -m[1]::DOUBLE / tokens > 0.06 AND -m[1] >= 15 AND regexp_matches(m[2], '\p{{L}}')
  UNION ALL SELECT site, url, 'canonical-mismatch|medium|indexing' FROM rows1 WHERE idx AND k % 8 = 3
  UNION ALL SELECT DISTINCT site, url, 'schema-missing-required|medium|structured_data' FROM rows1 WHERE good AND k % 7 = 1 UNION ALL SELECT DISTINCT site, url, 'schema-deprecated-type|info|structured_data' FROM rows1 WHERE good AND k % 7 = 2 UNION ALL SELECT DISTINCT site, url, 'schema-no-type|medium|structured_data' FROM rows1 WHERE good AND k % 7 = 3
+ UNION ALL SELECT site, 'https://' || site || '/sitemap-2.xml', 'sitemap-invalid|medium|indexing' FROM maps WHERE locs > 0 AND length(site) % 2 = 0
  UNION ALL SELECT site, url, 'sitemap-bad-entries|medium|indexing' FROM rows1 WHERE EXISTS (SELECT 1 FROM maps_ x WHERE x.site = rows1.site AND x.url = rows1.u_) AND (error IS NOT NULL OR status >= 400 OR redirected OR is_noindex)
  UNION ALL SELECT site, url, 'sitemap-incomplete|low|indexing' FROM absent WHERE site IN (SELECT site FROM many)
  {_SITE_RULES}),

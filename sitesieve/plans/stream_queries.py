@@ -70,3 +70,20 @@ def dead_letter_split(spark, d):
     fields = F.struct("id", F.when(~F.col("type").contains("error"), F.col("type")).alias("type"), F.lit(1).alias("version"), "occurred_at", F.lit("site").alias("producer"), F.col("value").cast("string").alias("payload"))
     raw = _stream(spark, d).select(F.to_json(fields).alias("value"))
     return e.drain(e.parse(raw).select("id", "malformed"), "letters")
+
+
+@query(
+    "WITH s AS (SELECT *, event_id % 7 AS k, value IS NOT NULL AS given FROM events) SELECT CAST(user_id AS VARCHAR) AS run_id, "
+    + ", ".join(
+        f"arg_min({'value' if kind == 'double' else 'event_id'}, event_id) FILTER (k = {k} AND given) AS {name}"
+        for name, k, kind in (("overall_score", 0, "double"), ("total_issues", 0, ""), ("keywords_found", 1, ""), ("keywords_ranked", 2, ""), ("average_position", 2, "double"), ("orphan_pages", 3, ""), ("keyword_coverage", 4, "double"), ("pages_to_rewrite", 5, ""), ("competitors_compared", 6, ""))
+    )
+    + ", CASE WHEN count(*) FILTER (k = 6 AND given) > 0 THEN CAST(1 AS BIGINT) END AS behind_on FROM s GROUP BY 1"
+)
+def workflow_headline(spark, d):
+    kinds = ("crawl", "keyword_research", "serp_check", "link_analysis", "content_analysis", "optimizer_plan", "competitor_check")
+    value, number = F.col("value"), F.col("event_id")
+    fields = {"overall_score": value, "total_issues": number, "total": number, "keywords_ranked": number, "average_position": value, "orphan_count": number, "coverage": value, "pages_with_fixes": number, "compared_against": number, "behind_on": F.array("event_type")}
+    result = F.when(value.isNotNull(), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))).otherwise("{}")
+    kind = F.get(F.array(*(F.lit(k) for k in kinds)), (number % 7).cast("int"))
+    return e.headline(b.read(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), number.alias("position"), kind.alias("kind"), result.alias("result")))

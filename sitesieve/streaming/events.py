@@ -76,6 +76,26 @@ def run_status(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_id").agg(F.when(failed, "failed").when(open_, "running").otherwise("completed").alias("status"), F.min_by("error", F.when(F.col("status") == "failed", F.col("position"))).alias("error"))
 
 
+#: Column of the headline, kind of the step, field of its result, type.
+HEADLINE = (
+    ("overall_score", "crawl", "overall_score", "double"), ("total_issues", "crawl", "total_issues", "bigint"), ("keywords_found", "keyword_research", "total", "bigint"),
+    ("keywords_ranked", "serp_check", "keywords_ranked", "bigint"), ("average_position", "serp_check", "average_position", "double"), ("orphan_pages", "link_analysis", "orphan_count", "bigint"),
+    ("keyword_coverage", "content_analysis", "coverage", "double"), ("pages_to_rewrite", "optimizer_plan", "pages_with_fixes", "bigint"), ("competitors_compared", "competitor_check", "compared_against", "bigint"),
+)
+
+
+def headline(steps: DataFrame) -> DataFrame:
+    """One row for each run of steps (run_id, position, kind, result as JSON text): of each kind the first step with a result counts.
+
+    What no step gave is null; ``behind_on`` counts only where competitors were compared.
+    """
+    kinds = list(dict.fromkeys(kind for _, kind, _, _ in HEADLINE))
+    given = F.col("result").isNotNull() & ~F.trim("result").isin("", "{}", "null")
+    first = steps.groupBy("run_id").agg(*(F.min_by("result", F.when(given & (F.col("kind") == k), F.col("position"))).alias(k) for k in kinds))
+    behind = F.when(F.col("competitor_check").isNotNull(), F.coalesce(F.json_array_length(F.get_json_object("competitor_check", "$.behind_on")), F.lit(0)).cast("bigint"))
+    return first.select("run_id", *(F.get_json_object(kind, f"$.{field}").try_cast(to).alias(name) for name, kind, field, to in HEADLINE), behind.alias("behind_on"))
+
+
 def match_completions(events: DataFrame, steps: DataFrame) -> DataFrame:
     """Completions of known jobs; a stream against a table."""
     return events.join(steps.select("job_id").distinct(), "job_id", "left_semi")

@@ -329,3 +329,18 @@ def test_folding_of_documents(spark):
     rows = page_queries.arrow_udf_text(spark, "/root/testdata/sf0.001").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert {r.doc_id: r.folded for r in rows} == {i: x and unicodedata.normalize("NFKC", x).casefold() for i, x in texts.items()}
+
+
+def test_joined_reports_and_headline(spark):
+    wanted = spark.createDataFrame([("a", "mine", 1), ("a", "competitor", 2), ("a", "competitor", 2), ("a", "competitor", 9), ("b", "mine", 8), ("b", "competitor", 1), ("c", "competitor", None)], "comparison_id string, role string, crawl_id int")
+    reports = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "crawl_id int, site string")
+    got = {(r.comparison_id, r.role, r.crawl_id): (r.site, r.available, r.status) for r in compare.assemble(wanted, reports).collect()}
+    assert got == {
+        ("a", "mine", 1): ("one", True, "completed"), ("a", "competitor", 2): ("two", True, "completed"), ("a", "competitor", 9): (None, False, "completed"),
+        ("b", "mine", 8): (None, False, "failed"), ("b", "competitor", 1): ("one", True, "failed"), ("c", "competitor", None): (None, False, "failed"),
+    }
+    assert compare.assemble(wanted.limit(0), reports).count() == 0
+    steps = [("r", 1, "crawl", "{}"), ("r", 3, "crawl", '{"overall_score": 71.5, "total_issues": 4}'), ("r", 4, "crawl", '{"overall_score": 9}'), ("r", 2, "competitor_check", '{"compared_against": 3}'), ("q", 1, "serp_check", None), ("q", 2, "keyword_research", '{"total": "many"}')]
+    rows = {r.run_id: r for r in events.headline(spark.createDataFrame(steps, "run_id string, position int, kind string, result string")).collect()}
+    assert (rows["r"].overall_score, rows["r"].total_issues, rows["r"].competitors_compared, rows["r"].behind_on, rows["r"].orphan_pages) == (71.5, 4, 3, 0, None)
+    assert set(rows["q"].asDict().values()) == {"q", None}
