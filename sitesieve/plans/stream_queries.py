@@ -1,10 +1,13 @@
-"""Streams over the driver's event table, with the SQL of their batch twins."""
+"""Streams and tables of events over the driver's event table, with the SQL of their batch twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sitesieve.operators import keywords, rankings
 from sitesieve.plans import bindings as b
+from sitesieve.sources import tables
 from sitesieve.streaming import events as e
 
 QUERIES: dict = {}
@@ -87,3 +90,43 @@ def workflow_headline(spark, d):
     result = F.when(value.isNotNull(), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))).otherwise("{}")
     kind = F.get(F.array(*(F.lit(k) for k in kinds)), (number % 7).cast("int"))
     return e.headline(b.read(spark, d, "events").select(F.col("user_id").cast("string").alias("run_id"), number.alias("position"), kind.alias("kind"), result.alias("result")))
+
+
+@query("SELECT a.user_id::VARCHAR AS correlation_id, CAST(c.event_id AS VARCHAR) AS cause, CAST(a.event_id AS VARCHAR) AS effect, c.event_type AS cause_type, a.event_type AS type FROM (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) a JOIN events c ON c.user_id = a.user_id AND c.event_id = a.before")
+def trace_chain(spark, d):
+    rows = b.read(spark, d, "events")
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return e.trace(rows.select(F.col("user_id").cast("string").alias("correlation_id"), F.col("event_id").cast("string").alias("id"), before.cast("string").alias("causation_id"), F.col("event_type").alias("type")))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS seed, event_type AS source, count(*) FILTER (value < 20) AS failures, count(*) AS requests FROM events GROUP BY 1, 2")
+def source_failures(spark, d):
+    error = F.when(F.col("value") < 20, "timeout").alias("error")
+    return keywords.source_failures(b.read(spark, d, "events").select(F.col("user_id").cast("string").alias("seed"), F.col("event_type").alias("source"), error))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS keyword, CASE WHEN value < 20 THEN 'timeout' END AS error FROM events")
+def serp_failure_split(spark, d):
+    error = F.when(F.col("value") < 20, "timeout").alias("error")
+    answered, failed = rankings.split_failures(b.read(spark, d, "events").select(F.col("event_id").cast("string").alias("keyword"), error))
+    return answered.select("keyword", F.lit(None).cast("string").alias("error")).unionByName(failed)
+
+
+def _part(name, k, subject, by, group, n):
+    return f"SELECT * FROM (SELECT user_id, '{name}' AS kind, {subject} AS subject, {group} AS g, {by} AS by_, row_number() OVER (PARTITION BY user_id ORDER BY {by} DESC NULLS LAST, {subject}) AS k FROM {'events' if name != 'issue' else 'issues_'} WHERE {k}) WHERE k <= {n}"
+
+
+@query(
+    "WITH issues_ AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 4 = 3 GROUP BY 1, 2), p AS ("
+    + " UNION ALL ".join(_part(*x) for x in (("rank", "event_id % 4 = 0", "CAST(event_id AS VARCHAR)", "value", 0, 3), ("link", "event_id % 4 = 1", "'/' || event_id", "event_id % 50", 1, 2), ("content", "event_id % 4 = 2", "CAST(event_id AS VARCHAR)", "value", 2, 2), ("issue", "true", "event_type", "n", 3, 5)))
+    + "), q AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY g, by_ DESC NULLS LAST, subject) AS place FROM p) SELECT user_id AS site, place, kind, subject FROM q WHERE place <= 5"
+)
+def next_actions_topk(spark, d):
+    rows = b.read(spark, d, "events").withColumnRenamed("user_id", "site")
+    part = lambda k: rows.filter(F.col("event_id") % 4 == k)
+    name = F.col("event_id").cast("string")
+    issues = part(3).groupBy("site", F.col("event_type").alias("issue_id")).agg(F.count(F.lit(1)).alias("affected"))
+    return tables.next_actions(
+        part(0).select("site", name.alias("keyword"), F.col("value").alias("opportunity")), part(1).select("site", F.concat(F.lit("/"), name).alias("url"), (F.col("event_id") % 50).alias("linked_from")),
+        part(2).select("site", name.alias("keyword"), F.col("value").alias("demand")), issues,
+    )

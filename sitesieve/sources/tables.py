@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitesieve.functions.urls import domain_of
+from sitesieve.operators.graph import top
 from sitesieve.operators.pages import plain
 
 REPORT = (
@@ -190,12 +192,12 @@ def page_by_url(pages: DataFrame, url: str) -> DataFrame:
 
 
 def next_actions(opportunities: DataFrame, broken: DataFrame, gaps: DataFrame, issues: DataFrame, limit: int = 5) -> DataFrame:
-    """What to do next, in order: three ranking opportunities, two broken targets, two keyword gaps, then issues."""
+    """What each site does next: three ranking opportunities, two broken targets, two keyword gaps, then issues: site, place, kind, subject."""
 
-    def part(df: DataFrame, kind: str, subject: Column, order: list[Column], group: int, n: int) -> DataFrame:
-        return df.select(subject.alias("subject"), F.row_number().over(Window.orderBy(*order)).alias("k")).filter(F.col("k") <= n).select(F.lit(kind).alias("kind"), "subject", F.lit(group).alias("g"), "k")
+    def part(df: DataFrame, kind: str, subject: str, by: str, group: int, n: int) -> DataFrame:
+        rows = df.select("site", F.lit(kind).alias("kind"), F.col(subject).alias("subject"), F.lit(group).alias("g"), F.col(by).cast("double").alias("by"))
+        return top(rows, [F.desc_nulls_last("by"), F.col("subject")], n)
 
-    parts = part(opportunities, "rank", F.col("keyword"), [F.desc("opportunity"), F.col("keyword")], 0, 3)
-    parts = parts.unionByName(part(broken, "link", F.col("url"), [F.desc("linked_from"), F.col("url")], 1, 2)).unionByName(part(gaps, "content", F.col("keyword"), [F.desc("demand"), F.col("keyword")], 2, 2))
-    parts = parts.unionByName(part(issues, "issue", F.col("issue_id"), [F.desc("affected"), F.col("issue_id")], 3, limit))
-    return parts.orderBy("g", "k").limit(limit).select("kind", "subject")
+    parts = (part(opportunities, "rank", "keyword", "opportunity", 0, 3), part(broken, "link", "url", "linked_from", 1, 2), part(gaps, "content", "keyword", "demand", 2, 2), part(issues, "issue", "issue_id", "affected", 3, limit))
+    place = F.row_number().over(Window.partitionBy("site").orderBy("g", F.desc_nulls_last("by"), "subject"))
+    return reduce(DataFrame.unionByName, parts).withColumn("place", place).filter(F.col("place") <= limit).select("site", "place", "kind", "subject")

@@ -344,3 +344,15 @@ def test_joined_reports_and_headline(spark):
     rows = {r.run_id: r for r in events.headline(spark.createDataFrame(steps, "run_id string, position int, kind string, result string")).collect()}
     assert (rows["r"].overall_score, rows["r"].total_issues, rows["r"].competitors_compared, rows["r"].behind_on, rows["r"].orphan_pages) == (71.5, 4, 3, 0, None)
     assert set(rows["q"].asDict().values()) == {"q", None}
+
+
+def test_next_actions_are_per_site(spark):
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    opportunities = of([("s", f"k{i}", float(i)) for i in range(5)] + [("t", "k", None)], "site string, keyword string, opportunity double")
+    broken, gaps = of([("s", "/b", 4)], "site string, url string, linked_from int"), of([("s", "g", 1.0), ("s", "h", 2.0)], "site string, keyword string, demand double")
+    issues = of([("t", "no-https", 3), ("t", "h1-missing", 3)], "site string, issue_id string, affected int")
+    got = sorted(tuple(r) for r in tables.next_actions(opportunities, broken, gaps, issues).collect())
+    assert got == [
+        ("s", 1, "rank", "k4"), ("s", 2, "rank", "k3"), ("s", 3, "rank", "k2"), ("s", 4, "link", "/b"), ("s", 5, "content", "h"),
+        ("t", 1, "rank", "k"), ("t", 2, "issue", "h1-missing"), ("t", 3, "issue", "no-https"),
+    ]
