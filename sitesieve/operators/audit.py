@@ -535,5 +535,10 @@ def site_stats(pages: DataFrame, issues: DataFrame) -> DataFrame:
     return facts.join(totals, "site", "left").na.fill(0, ["total_issues", "critical_count", "high_count"])
 
 
+def by_category(issues: DataFrame) -> DataFrame:
+    """Issues of each site by category; 0 where there are none."""
+    return issues.groupBy("site").pivot("category", list(CATEGORY_WEIGHT)).agg(F.count(F.lit(1))).na.fill(0)
+
+
 def by_severity(issues: DataFrame) -> DataFrame:
     return issues.groupBy("site").pivot("severity", list(SEVERITY)).agg(F.count(F.lit(1))).na.fill(0)

@@ -275,6 +275,11 @@ def by_severity(spark, d):
     return audit.by_severity(_issues(spark, d)[1])
 
 
+@query(f"{_H} SELECT site, {', '.join(f'count(*) FILTER (category = {chr(39)}{c}{chr(39)}) AS {c}' for c in audit.CATEGORY_WEIGHT)} FROM issues GROUP BY 1")
+def by_category(spark, d):
+    return audit.by_category(_issues(spark, d)[1])
+
+
 @query(f"{_H} SELECT f.site, count(*) AS pages_crawled, count(*) FILTER (good) AS html_pages, count(*) FILTER (idx) AS indexable_pages, count(*) FILTER (error IS NOT NULL OR status >= 400) AS errors, count(*) FILTER (redirected) AS redirects, CAST(trunc(coalesce(avg(words) FILTER (idx), 0)) AS INTEGER) AS avg_words, CAST(trunc(avg(elapsed)) AS INTEGER) AS avg_load_ms, max(t) AS total_issues, max(c) AS critical_count, max(h) AS high_count FROM rows1 f JOIN (SELECT site, count(*) AS t, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h FROM issues GROUP BY 1) USING (site) GROUP BY 1")
 def site_stats(spark, d):
     return audit.site_stats(*_issues(spark, d))
