@@ -36,6 +36,12 @@ def domain_of(url: Column) -> Column:
     return without_www(host_of(url))
 
 
+def site_label(url: Column) -> Column:
+    """What a person calls the site: its host without www, or the text itself where it has none."""
+    url = F.coalesce(url, F.lit(""))
+    return F.when(host_of(url) != "", domain_of(url)).when(url != "", url).otherwise("unknown")
+
+
 def origin_of(url: Column) -> Column:
     return F.concat(_part(url, 2), F.lit("://"), _part(url, 4))
 

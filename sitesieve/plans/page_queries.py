@@ -338,6 +338,11 @@ def domain_of(spark, d):
     return _url(spark, d).select("page_id", u.domain_of(F.col("url")).alias("domain"), u.origin_of(F.col("url")).alias("origin"))
 
 
+@query(f"WITH h AS (SELECT page_id, coalesce(url, '') AS url, lower({_PART.format(4)}) AS host FROM pages) SELECT page_id, CASE WHEN host <> '' THEN regexp_replace(host, '^www[.]', '') WHEN url <> '' THEN url ELSE 'unknown' END AS label FROM h")
+def site_label(spark, d):
+    return _url(spark, d).select("page_id", u.site_label(F.col("url")).alias("label"))
+
+
 @query(f"SELECT page_id, regexp_replace(regexp_extract(regexp_replace(lower({_PART.format(4)}), '^www[.]', ''), '^([^.:]*)', 1), '[-_]+', ' ', 'g') AS seed FROM pages")
 def seed_from_domain(spark, d):
     return _url(spark, d).select("page_id", u.seed_of(F.col("url")).alias("seed"))

@@ -356,3 +356,9 @@ def test_next_actions_are_per_site(spark):
         ("s", 1, "rank", "k4"), ("s", 2, "rank", "k3"), ("s", 3, "rank", "k2"), ("s", 4, "link", "/b"), ("s", 5, "content", "h"),
         ("t", 1, "rank", "k"), ("t", 2, "issue", "h1-missing"), ("t", 3, "issue", "no-https"),
     ]
+
+
+def test_site_labels(spark):
+    urls = {"https://www.Site.example/a": "site.example", "http://site.example:8080": "site.example:8080", "no host": "no host", "": "unknown", None: "unknown"}
+    rows = spark.createDataFrame([(k,) for k in urls], "url string").select("url", u.site_label(F.col("url")).alias("label")).collect()
+    assert {r.url: r.label for r in rows} == urls
