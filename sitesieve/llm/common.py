@@ -73,12 +73,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Ids that are sent to every executor at most (8 bytes each); more are joined by a shuffle.
+#: Rows of ids that are sent to every executor at most (some 16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-
-
-def without_ids(docs: DataFrame, ids: DataFrame, name: str = "dropped") -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``ids`` (one column, doc_id); rows with a null doc_id stay."""
-    gone = materialise(ids.select(F.col("doc_id").alias("_gone")).distinct(), name)
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("_gone"), "left_anti")

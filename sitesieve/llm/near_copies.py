@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitesieve.llm.common import BROADCAST_IDS, materialise, small_batches
+from sitesieve.llm.common import BROADCAST_IDS, materialise, small_batches, unused
 from sitesieve.llm.simhash import components, fingerprint
 from sitesieve.llm.simhash import links as fingerprint_links
 
@@ -152,14 +152,10 @@ def _of_prints(distinct: DataFrame) -> DataFrame:
     return same.unionByName(near.join(first.toDF("a", "ida"), "a").join(first.toDF("b", "idb"), "b").select(F.col("ida").alias("a"), F.col("idb").alias("b")))
 
 
-def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, component_id (the smallest doc_id that links reach).
-
-    Null, empty and white-space-only texts are copies of each other. Repeated rows each keep a row. A null doc_id takes
-    part and never names a component unless it has no other. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, text: str) -> DataFrame:
+    """doc_id, text_hash and root (the same for all that links reach) of every row of ``docs``."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"), F.col(text).cast("string").alias("text"))
     sets = materialise(rows.mapInArrow(_keys, "doc_id bigint, text_hash bigint, id bigint, n int, fp bigint, bands array<bigint>"), "shingles")
 
     # the keys that more than one set has, each with the set that the others are compared with first: another for each key
@@ -197,6 +193,36 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     crossed = left.join(left.toDF("key", "b", "other", "m", "core_b", "parity_b"), "key").filter(fits).select("a", "b")
     links = links.union(_verified(crossed, held))
 
-    classes = sets.select("doc_id", "id").join(roots(links).withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return sets.select("doc_id", "text_hash", "id").join(roots(links).withColumnRenamed("a", "id"), "id", "left").select("doc_id", "text_hash", F.coalesce("root", "id").alias("root"))
+
+
+def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, component_id (the smallest doc_id that links reach).
+
+    Null, empty and white-space-only texts are copies of each other. Repeated rows each keep a row. A null doc_id takes
+    part and never names a component unless it has no other. An empty table gives no rows.
+    """
+    classes = _classes(docs, text)
     named = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return classes.join(named, "root").select("doc_id", "component_id")
+
+
+def without_near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so a doc_id that stands for several texts, or is null, loses only what is a
+    copy. A null doc_id stays only where a component has no other; of different texts with one doc_id that of the
+    smallest hash stays, of repeated rows any one. Columns may have any name. An empty table gives no rows.
+    """
+    rows = _classes(docs, text).groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text_hash")
+    first = rows.groupBy("root").agg(F.min(place).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    doc, key, one = (unused(name, docs) for name in ("_doc", "_key", "_one"))
+    placed = rows.join(first, "root").select(F.col("doc_id").alias(doc), F.col("text_hash").alias(key), (F.col("first") == place).alias(one), "n")
+    marked = materialise(placed.filter(~F.col(one) | (F.col("n") > 1)).drop("n"), "copies")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col(text).cast("string")) == F.col(key))
+    kept = docs.join(_small(marked.drop(one)), same, "left_anti")
+    again = marked.filter(one).drop(one)
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(_small(again), same, "left_semi").dropDuplicates(["doc_id", text]))

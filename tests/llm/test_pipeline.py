@@ -64,6 +64,42 @@ def test_near_copies(spark):
     assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_doubled_and_null_ids(spark):
+    """Rows go, not ids: a doc_id with several texts loses those that are copies, null ids take part."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(2000)]
+    rows = []
+    for group in range(30):
+        base = rng.choices(words, k=rng.choice([6, 40, 150]))
+        for _ in range(rng.randint(1, 4)):
+            doc = rng.choice([None, group, group + 1, rng.randrange(20)])  # most ids stand for several texts
+            rows += [(doc, " ".join(base), "en", "src0", 1)] * rng.choice([1, 1, 2])
+            base = list(base)
+            if len(base) > 6:
+                base[rng.randrange(len(base))] = rng.choice(words)
+    rows += [(5, "a wholly different text of some eight words", "en", "src0", 1), (None, None, None, None, None), (None, " ", None, None, None), (7, None, None, None, None)]
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, DOCS).repartition(5), "").collect())
+    # by brute force: components of distinct texts; each keeps one row of its smallest id
+    texts = sorted({t for _, t, *_ in rows}, key=str)
+    sets, parent = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    least = {}
+    for doc, text, *_ in rows:
+        at, place = find(texts.index(text)), (doc is None, doc or 0)
+        least[at] = min(least.get(at, place), place)
+    assert len(kept) == len(least) and set(kept.values()) == {1}
+    assert sorted((find(texts.index(t)), (d is None, d or 0)) for d, t in kept) == sorted(least.items())
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(i, "a b c d e", "en", f"src{i % 4}", 9) for i in range(2000)]  # four domains of the same size
     taken = Counter(r.source for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), "").collect())
