@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitesieve.llm import exact_dedup, mixing, near_copies, packing, toxicity
-from sitesieve.llm.common import new_folder, table, without_ids
+from sitesieve.llm.common import new_folder, table
 from sitesieve.llm.queries import domain_of_source, mixing_weights
 from sitesieve.llm.tokens import CACHE_WORDS
 
@@ -22,8 +22,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id."""
-    found = near_copies.near_copies(docs)
-    return without_ids(docs, found.filter("doc_id <> component_id"))
+    return near_copies.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
