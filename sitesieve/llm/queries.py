@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesieve.llm import exact_dedup, html_crf, media, mixing, packing, pseudonyms, simhash, token_counts, token_store, toxicity
+from sitesieve.llm import exact_dedup, html_crf, media, mixing, packing, pseudonyms, sentence_pieces, simhash, token_counts, token_store, toxicity
 from sitesieve.llm.common import new_folder, table
 
 #: Target weights of the mixing query: sources form four domains by their number.
@@ -75,6 +75,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5_SQL = f"""
@@ -119,6 +123,6 @@ e AS (SELECT *, unnest(range(whole_ + CASE WHEN rest_ > 0 AND upto <= rest_ THEN
 SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, domain, lang, source, n_tokens, leaf_budget FROM e
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing, op11_sentence_pieces)}
 
 ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL}
