@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesieve.llm import exact_dedup, html_crf, media, mixing, packing, pseudonyms, sentence_pieces, simhash, token_counts, token_store, toxicity
+from sitesieve.llm import clustering, exact_dedup, html_crf, media, mixing, packing, pseudonyms, sentence_pieces, simhash, token_counts, token_store, toxicity
 from sitesieve.llm.common import new_folder, table
 
 #: Target weights of the mixing query: sources form four domains by their number.
@@ -79,6 +79,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"))
+
+
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP5_SQL = f"""
@@ -123,6 +127,28 @@ e AS (SELECT *, unnest(range(whole_ + CASE WHEN rest_ > 0 AND upto <= rest_ THEN
 SELECT doc_id, CAST(epoch AS INTEGER) AS epoch, domain, lang, source, n_tokens, leaf_budget FROM e
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing, op11_sentence_pieces)}
 
-ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+
+def _round_sql(k: int) -> str:
+    """CTEs of round ``k``: a{k} has the nearest centroid of every vector, c{k + 1} the centroids after it."""
+    return f"""
+a{k} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT v.r, c{k}.c, CAST(list_sum(list_transform(list_zip(v.q, c{k}.m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM v, c{k}) GROUP BY r),
+s{k} AS (SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT a{k}.best.c AS c, unnest(v.q) AS x, unnest(range({clustering.COMPONENTS})) AS i FROM v JOIN a{k} USING (r)) GROUP BY c, i),
+m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{k} GROUP BY c),
+c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} USING (c))"""
+
+
+OP13_SQL = f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE len(embedding) = {clustering.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.COMPONENTS}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, q) - 1 AS c, q AS m FROM v QUALIFY c < {clustering.CENTROIDS}),
+{",".join(_round_sql(k) for k in range(clustering.ROUNDS + 1))}
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM v JOIN a{clustering.ROUNDS} USING (r) JOIN c{clustering.ROUNDS} ON c{clustering.ROUNDS}.c = best.c
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing, op11_sentence_pieces, op13_clustering)}
+
+ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op13_clustering": OP13_SQL}
