@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitesieve.llm import clustering, exact_dedup, html_crf, media, mixing, packing, pseudonyms, sentence_pieces, simhash, token_counts, token_store, toxicity
+from sitesieve.llm import clustering, exact_dedup, html_crf, media, mixing, packing, pseudonyms, sentence_pieces, simhash, spelling, token_counts, token_store, toxicity
 from sitesieve.llm.common import new_folder, table
 
 #: Target weights of the mixing query: sources form four domains by their number.
@@ -79,6 +79,10 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clusters(table(spark, sf_dir, "embeddings"))
 
@@ -149,6 +153,6 @@ SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, CAST(sum(
 FROM v JOIN a{clustering.ROUNDS} USING (r) JOIN c{clustering.ROUNDS} ON c{clustering.ROUNDS}.c = best.c
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing, op11_sentence_pieces, op13_clustering)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_media, op2_html, op3_toxicity, op4_mixing, op5_exact_dedup, op6_token_store, op7_token_counts, op8_pseudonyms, op9_simhash, op10_packing, op11_sentence_pieces, op12_spelling, op13_clustering)}
 
 ORACLES = {"op4_mixing": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op13_clustering": OP13_SQL}
