@@ -172,7 +172,7 @@ def tiles(media: DataFrame, column: str = "media") -> DataFrame:
             for m in batch.column(batch.schema.get_field_index(column)).to_pylist():
                 try:
                     out.append(_features(m))
-                except (ValueError, TypeError, IndexError, struct.error):
+                except (ValueError, TypeError, IndexError, OverflowError, MemoryError, struct.error):
                     out.append((None,) * 5)
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
             more = [pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 5, kinds, strict=True)]
