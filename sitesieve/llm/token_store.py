@@ -95,6 +95,8 @@ def _objects(path: str, end_id: int, kind: str):
             # One pass over the batch: a chunk has more ids than the hash looks back on, so a mark that counts never
             # depends on the document before.
             ids = np.frombuffer(b"".join(encoded), "<u4")
+            if len(ids) and int(ids.max()) > np.iinfo(kind).max:
+                raise ValueError(f"id {int(ids.max())} doesn't fit {kind}")
             stops = np.cumsum([len(e) // 4 for e in encoded])
             marks = _marks(ids) if len(ids) else np.zeros(0, int)
             first = np.searchsorted(marks, np.concatenate([[0], stops[:-1]]), "right").tolist()

@@ -115,8 +115,9 @@ class Encoder:
             return self.words.library(text)
         try:
             if self.drops_space:
-                # the model lower-cases character by character; a sigma at a word's end is where that differs from lower()
-                if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
+                # The model composes first and then lower-cases character by character; a sigma at a word's end is where that
+                # differs from lower(), and words of lower-cased marks would be composed again.
+                if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text) or not unicodedata.is_normalized("NFC", plain)):
                     plain = text
                 return b"".join(map(self.words.__getitem__, plain.split(" ")))
             first, *words = text.split(" ")
