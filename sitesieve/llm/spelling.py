@@ -10,6 +10,7 @@ Where the pivot stands is limited too: it is as far from the beginning of both w
 from the end if the edit is before it. The text on that side is the same in both, so the index is keyed by it (as a
 64-bit hash), once from the beginning and once from the end. An edit that hurts the other pivot, or is between the two,
 leaves the far end of the word alone as well, and two characters of it join the key. What a key brings together is
+told apart by bits that say which letters a word has an odd number of times, of which an edit changes two at most, and
 verified by the complete edit distance.
 """
 
@@ -154,7 +155,15 @@ def index_keys(word: str, positions: list[int]) -> set[int]:
     }
 
 
-_ENTRIES = "key bigint, word string, n bigint, last int"
+def odd_letters(word: str) -> int:
+    """A bit for each of 64 groups of letters: 1 if the word has an odd number of them. As a signed 64-bit number."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << (ord(c) & 63)
+    return bits - ((bits >> 63) << 64)
+
+
+_ENTRIES = "key bigint, word string, n bigint, last int, odd bigint"
 
 
 def _entries(order: dict[str, tuple[int, int]], probes: bool):
@@ -162,7 +171,7 @@ def _entries(order: dict[str, tuple[int, int]], probes: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, at, last = [], [], []
+            keys, at, last, odd = [], [], [], []
             for k, word in enumerate(batch.column(0).to_pylist()):
                 ranked = prefix_of(word, order)
                 end = ranked[PREFIX - 1][0]
@@ -174,8 +183,9 @@ def _entries(order: dict[str, tuple[int, int]], probes: bool):
                 keys += found
                 at += [k] * len(found)
                 last += [end] * len(found)
+                odd += [odd_letters(word)] * len(found)
             rows = batch.take(pa.array(at, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), rows.column(0), rows.column(1), pa.array(last, pa.int32())], ["key", "word", "n", "last"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), rows.column(0), rows.column(1), pa.array(last, pa.int32()), pa.array(odd, pa.int64())], ["key", "word", "n", "last", "odd"])
 
     return run
 
@@ -185,8 +195,8 @@ def near_pairs(found: DataFrame) -> DataFrame:
     order = order_of_grams(found)
     rows = found.select("word", "n")
     probes = rows.mapInArrow(_entries(order, True), _ENTRIES)
-    index = rows.mapInArrow(_entries(order, False), _ENTRIES).toDF("key", "other", "m", "ends")
-    near = (F.col("last") <= F.col("ends")) & (F.abs(F.char_length("word") - F.char_length("other")) <= 1) & (F.levenshtein("word", "other", 1) == 1)
+    index = rows.mapInArrow(_entries(order, False), _ENTRIES).toDF("key", "other", "m", "ends", "odds")
+    near = (F.col("last") <= F.col("ends")) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("odds"))) <= 2) & (F.levenshtein("word", "other", 1) == 1)
     met = probes.join(index, "key").filter(near)
     first = F.col("word") < F.col("other")
     side = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
