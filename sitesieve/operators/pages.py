@@ -1,24 +1,27 @@
-"""Page facts from crawled html, as native expressions; one scan, no Python.
+"""Page facts from crawled html: one Arrow pass over the markup as a tree, the rest native expressions.
 
-Markup is read by tag, not as a tree: attributes in any order and any quoting, comments and hidden elements left out.
-The main text is the longest ``main`` or ``article`` element of at least 50 words, else the body without navigation,
-headers, footers, asides and forms if that has 30, else the body.
+The markup is read once (``functions.markup``) and gives what the page says as it says it; urls are resolved, words are
+counted and hashes are taken by Spark. The main text is that of the ``main``, ``article``, ``role=main``, ``#content``,
+``.content`` or ``#main`` element with most words if it has 50, else the body without navigation, headers, footers,
+asides and forms if that has 30, else the body.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from sitesieve.functions.shared import once
+from sitesieve.functions.markup import FACTS, facts_of
 from sitesieve.functions.text import content_hash, count_words
 from sitesieve.functions.urls import is_internal, origin_of, resolve
 
+#: Patterns that say in SQL what the markup reader does on markup without nesting.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<svg\b.*?</svg\s*>|<iframe\b.*?</iframe\s*>|<!--.*?-->"
 BOILERPLATE = r"(?is)<nav\b.*?</nav\s*>|<header\b.*?</header\s*>|<footer\b.*?</footer\s*>|<aside\b.*?</aside\s*>|<form\b.*?</form\s*>"
-ANCHOR, TAGS = r"(?is)<a\b[^>]*>.*?</a\s*>", r"(?s)<[^>]*>"
-MAIN = r"(?is)<main\b[^>]*>.*?</main\s*>|<article\b[^>]*>.*?</article\s*>"
-_SKIPPED = r"(?i)^(javascript|mailto|tel|sms|data):|^#"
+TAGS = r"(?s)<[^>]*>"
 #: Columns of a crawl that a table may lack, and what stands for them.
 DEFAULTS = {
     "final_url": "url", "status_code": "200", "error": "cast(null as string)", "redirect_chain": "cast(array() as array<struct<code:int,url:string>>)", "headers": "cast(map() as map<string,string>)",
@@ -48,99 +51,55 @@ def plain(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, TAGS, " ")), r"\s+", " "))
 
 
-def attribute(tag: Column, name: str) -> Column:
-    """Value of an attribute of a start tag; null where it isn't there."""
-    pattern = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    value = F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
-    return F.when(tag.rlike(rf"(?is)\s{name}\s*="), unescape(value))
+def markup(html: Column) -> Column:
+    """The facts of ``functions.markup`` as a struct."""
+    kind = StructType.fromDDL(FACTS)
 
+    @F.arrow_udf(kind)
+    def read(pages: pa.Array) -> pa.Array:
+        names = kind.names
+        rows = [{k: _pairs(f[k]) if k in ("og", "twitter") else _rows(f.get(k), kind[k].dataType) for k in names} for f in map(facts_of, pages.to_pylist())]
+        return pa.array(rows, to_arrow_type(kind))
 
-def _tags(html: Column, name: str) -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0))
+    return read(html)
 
 
-def _meta(metas: Column, key: str, name: str) -> Column:
-    found = F.filter(metas, lambda m: F.lower(F.coalesce(attribute(m, key), F.lit(""))) == name)
-    return F.trim(attribute(F.get(found, F.lit(0)), "content"))
+def _pairs(found: dict) -> list[tuple[str, str]]:
+    return list(found.items())
 
 
-def _rel(tag: Column) -> Column:
-    return F.split(F.lower(F.trim(F.coalesce(attribute(tag, "rel"), F.lit("")))), r"\s+")
-
-
-def _properties(metas: Column, key: str, prefix: str) -> Column:
-    """Map of the metas whose ``key`` starts with ``prefix``; the last of a name counts."""
-    found = F.filter(metas, lambda m: F.lower(F.coalesce(attribute(m, key), F.lit(""))).startswith(prefix))
-    pairs = F.transform(found, lambda m: F.struct(F.lower(attribute(m, key)).alias("k"), F.trim(F.coalesce(attribute(m, "content"), F.lit(""))).alias("v")))
-    return F.aggregate(pairs, F.expr("cast(map() as map<string,string>)"), lambda acc, p: F.map_concat(F.map_filter(acc, lambda k, v: k != p["k"]), F.map_from_arrays(F.array(p["k"]), F.array(p["v"]))))
+def _rows(found, kind):
+    """Tuples as the structs that they stand for."""
+    element = getattr(kind, "elementType", None)
+    return found if element is None or not hasattr(element, "names") else [dict(zip(element.names, x, strict=True)) for x in found]
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """Every fact that the rules read, beside the crawl columns."""
-    html = F.coalesce("html", F.lit(""))
-    seen = F.regexp_replace(html, HIDDEN, " ")
-    base = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))
-    out = once(pages, {"_seen": seen, "_metas": _tags(html, "meta"), "_links": _tags(html, "link"), "_base": base, "_head": F.regexp_extract(html, r"(?is)<head\b[^>]*>(.*?)</head\s*>", 1), "_scripts": F.regexp_extract_all(html, F.lit(r"(?is)<script\b[^>]*>.*?</script\s*>"), F.lit(0))})
-    out = out.withColumn("_base", F.coalesce(resolve(F.col("_base"), F.get(F.filter(F.transform(_tags(html, "base"), lambda b: attribute(b, "href")), lambda h: h.isNotNull()), F.lit(0))), F.col("_base")))
-    metas, link_tags = F.col("_metas"), F.col("_links")
-    first = lambda tags: F.get(tags, F.lit(0))
-    with_rel = lambda rel: F.filter(link_tags, lambda t: F.array_contains(_rel(t), rel))
-    robots = _meta(metas, "name", "robots")
-    scripts = F.col("_scripts")
-    start = lambda s: F.regexp_extract(s, r"(?is)^<[^>]*>", 0)
-    inner = lambda s: F.regexp_replace(F.regexp_replace(s, r"(?is)^<[^>]*>", ""), r"(?is)</\w+\s*>$", "")
-    blocking = F.filter(F.regexp_extract_all("_head", F.lit(r"(?is)<script\b[^>]*>"), F.lit(0)), lambda s: attribute(s, "src").isNotNull() & ~s.rlike(r"(?is)\s(async|defer)[\s=>/]") & (F.lower(F.coalesce(attribute(s, "type"), F.lit(""))) != "module"))
-    styles = F.filter(link_tags, lambda t: F.array_contains(_rel(t), "stylesheet") & ~F.array_contains(_rel(t), "preload") & F.lower(F.coalesce(attribute(t, "media"), F.lit(""))).isin("", "all", "screen"))
-    # values of a tag first, then urls: each expression is evaluated once for each tag
+    """Every fact that the rules read, beside the crawl columns. Null html is as an empty page."""
+    out = pages.withColumn("_p", markup(F.col("html")))
+    own = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))
+    out = out.withColumn("_base", F.coalesce(resolve(own, F.col("_p.base")), own))
+    p = lambda name: F.col(f"_p.{name}")
+    # the base is evaluated once for each page and not once for each link
     with_base = lambda rows, f: F.flatten(F.transform(F.array("_base"), lambda base: F.transform(rows, lambda x: f(base, x))))
-    image_tags = F.transform(_tags(html, "img"), lambda t: F.struct(*(attribute(t, n).alias(n.replace("-", "_")) for n in ("src", "data-src", "alt", "width", "height", "loading"))))
-    image = lambda base, x: F.struct(
-        F.coalesce(resolve(base, F.coalesce(F.nullif(x["src"], F.lit("")), F.nullif(x["data_src"], F.lit("")))), F.lit("")).alias("src"),
-        x["alt"].alias("alt"), *(F.nullif(x[n], F.lit("")).alias(n) for n in ("width", "height", "loading")),
-    )
-    anchors = F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(0)), lambda a: F.struct(F.trim(attribute(start(a), "href")).alias("raw"), F.substring(plain(a), 1, 200).alias("anchor"), F.coalesce(attribute(start(a), "rel"), F.lit("")).alias("rel")))
-    anchors = F.filter(anchors, lambda x: x["raw"].isNotNull() & ~x["raw"].rlike(_SKIPPED))
+    image = lambda base, x: F.struct(F.when(x["src"] != "", resolve(base, x["src"])).otherwise("").alias("src"), *(x[n].alias(n) for n in ("alt", "width", "height", "loading")))
     link = lambda base, x: F.struct(resolve(base, x["raw"]).alias("href"), x["raw"].alias("raw"), x["anchor"].alias("anchor"), x["rel"].alias("rel"))
-    links = F.filter(with_base(F.col("_anchors"), link), lambda x: F.lower(x["href"]).rlike("^https?://"))
+    links = F.filter(with_base(p("anchors"), link), lambda x: F.lower(x["href"]).rlike("^https?://"))
     with_side = F.transform(links, lambda x: F.struct(x["href"].alias("href"), x["raw"].alias("raw"), x["anchor"].alias("anchor"), x["rel"].alias("rel"), is_internal(x["href"], F.col("url")).alias("internal")))
-    headings = F.transform(F.regexp_extract_all("_seen", F.lit(r"(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>"), F.lit(0)), lambda h: F.struct(F.substring(h, 3, 1).cast("int").alias("level"), plain(h).alias("text")))
-    body = F.coalesce(F.nullif(F.regexp_extract("_seen", r"(?is)<body\b[^>]*>(.*)", 1), F.lit("")), F.col("_seen"))
-    # the longest main element; the body only where there is none, so that most pages never need it
-    mains = F.transform(F.regexp_extract_all("_seen", F.lit(MAIN), F.lit(0)), lambda m: F.struct(plain(m).alias("text")))
-    mains = F.transform(mains, lambda m: F.struct(count_words(m["text"]).alias("n"), m["text"].alias("text")))
-    longest = F.aggregate(mains, F.struct(F.lit(0).alias("n"), F.lit("").alias("text")), lambda a, m: F.when(m["n"] > a["n"], m).otherwise(a))
-    out = once(out, {"_main": longest})
-    bare, whole = plain(F.regexp_replace(body, BOILERPLATE, " ")), plain(body)
-    out = once(out, {"_bare": F.when(F.col("_main.n") < 50, bare)})
-    text = F.when(F.col("_main.n") >= 50, F.col("_main.text")).when(count_words(F.col("_bare")) >= 30, F.col("_bare")).otherwise(whole)
-    out = once(out, {"text": text, "_anchors": anchors})
-    ld = F.transform(F.filter(scripts, lambda s: F.lower(F.coalesce(attribute(start(s), "type"), F.lit(""))).contains("application/ld+json")), lambda s: F.trim(inner(s)))
-    canonical = attribute(first(with_rel("canonical")), "href")
+    alternate = lambda base, x: F.struct(x["code"].alias("code"), resolve(base, x["href"]).alias("href"))
+    same = ("title", "viewport", "lang", "charset", "og", "twitter", "jsonld", "microdata", "external_scripts", "blocking_scripts", "inline_script_bytes", "inline_style_bytes", "blocking_styles", "iframes", "headings", "text")
     out = out.withColumns({
-        "title": F.when(html.rlike(r"(?is)<title\b[^>]*>[^<]"), F.trim(unescape(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))),
-        "meta_description": _meta(metas, "name", "description"),
-        "meta_robots": F.coalesce(F.nullif(robots, F.lit("")), _meta(metas, "name", "googlebot"), F.lit("")),
-        "viewport": _meta(metas, "name", "viewport"),
-        "canonical": F.when(canonical != "", resolve(F.col("_base"), canonical)),
-        "lang": F.nullif(F.trim(attribute(first(_tags(html, "html")), "lang")), F.lit("")),
-        "charset": attribute(first(F.filter(metas, lambda m: attribute(m, "charset").isNotNull())), "charset"),
-        "favicon": resolve(F.col("_base"), attribute(first(F.filter(link_tags, lambda t: F.exists(_rel(t), lambda r: r.contains("icon")) & attribute(t, "href").isNotNull())), "href")),
-        "og": _properties(metas, "property", "og:"),
-        "twitter": _properties(metas, "name", "twitter:"),
-        "hreflang": F.transform(F.filter(with_rel("alternate"), lambda t: (attribute(t, "hreflang") != "") & (attribute(t, "href") != "")), lambda t: F.struct(F.trim(attribute(t, "hreflang")).alias("code"), resolve(F.col("_base"), attribute(t, "href")).alias("href"))),
-        "jsonld": F.filter(ld, lambda s: s != ""),
-        "microdata": F.transform(F.regexp_extract_all(html, F.lit(r"(?is)\sitemtype\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1)), lambda t: F.substring_index(t, "/", -1)),
-        "external_scripts": F.size(F.filter(scripts, lambda s: F.coalesce(attribute(start(s), "src"), F.lit("")) != "")),
-        "blocking_scripts": F.size(blocking),
-        "inline_script_bytes": F.aggregate(F.filter(scripts, lambda s: F.coalesce(attribute(start(s), "src"), F.lit("")) == ""), F.lit(0), lambda n, s: n + F.length(inner(s))),
-        "inline_style_bytes": F.aggregate(F.regexp_extract_all(html, F.lit(r"(?is)<style\b[^>]*>(.*?)</style\s*>"), F.lit(1)), F.lit(0), lambda n, s: n + F.length(s)),
-        "blocking_styles": F.size(styles),
-        "iframes": F.size(_tags(html, "iframe")),
-        "images": with_base(image_tags, image),
+        **{name: p(name) for name in same},
+        "meta_description": p("description"),
+        "meta_robots": F.coalesce(F.nullif(p("robots"), F.lit("")), p("googlebot"), F.lit("")),
+        "canonical": F.when(p("canonical") != "", resolve(F.col("_base"), p("canonical"))),
+        "favicon": resolve(F.col("_base"), p("favicon")),
+        "hreflang": with_base(p("hreflang"), alternate),
+        "images": with_base(p("images"), image),
         "links": with_side,
-        "headings": headings,
+        "main_part": p("main"),
     })
-    return out.withColumns({"words": count_words(F.col("text")), "content_hash": content_hash(F.col("text"))}).drop("_seen", "_metas", "_links", "_base", "_head", "_scripts", "_main", "_bare", "_anchors")
+    return out.withColumns({"words": count_words(F.col("text")), "content_hash": content_hash(F.col("text"))}).drop("_p", "_base")
 
 
 def with_flags(pages: DataFrame) -> DataFrame:

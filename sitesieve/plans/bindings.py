@@ -37,6 +37,27 @@ EDGES = """edges AS (SELECT 'parts' AS site, CAST(src AS VARCHAR) AS source, CAS
  JOIN part ON l_partkey = p_partkey WHERE src IS NOT NULL AND src <> l_partkey)"""
 
 
+#: How the main element of a page is written, by the page's number: what opens it and what closes it.
+MAINS = (
+    ("<article>", "</article>"), ('<div id="content">', "</div>"), ("<div class='wide content'>", "</div>"), ("<section role=main>", "</section>"),
+    ("<article><article>", "</article><p>More to read.</p></article>"), ("<div id=main><div>", "</div></div>"), ("<main>Few words.</main><DIV ID='content'>", "</DIV>"), ("<span>", "</span>"),
+)
+
+
+def _spelled(column: str, quote: str) -> str:
+    """SQL that both engines read: ``column`` with the main element as the page's number has it."""
+    text = lambda x: "'" + x.replace("'", quote) + "'"
+    cases = " ".join(f"WHEN {k} THEN replace(replace({column}, '<article>', {text(a)}), '</article>', {text(b)})" for k, (a, b) in enumerate(MAINS))
+    return f"CASE page_id % {len(MAINS)} {cases} END"
+
+
+def spelled(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html", F.expr(_spelled("html", "\\'")))
+
+
+SPELLED = _spelled("html", "''")
+
+
 # A crawl: every page with the head, body and fetch facts that its number gives it, so that all kinds of rules have pages
 # that they hold for and pages that they don't. Head and body are said once, in SQL that both engines read.
 _HEAD = """concat(

@@ -78,9 +78,19 @@ def page_headings(spark, d):
     return pages.page_headings(facts(spark, d)).select("site", "url", "level", "text")
 
 
-@query(f"{_F} SELECT page_id, words, content_hash FROM facts")
+_BARE = lambda seen: _plain(f"regexp_replace(regexp_extract({seen}, '(?is)<body[^>]*>(.*)', 1), '{pages.BOILERPLATE}', ' ', 'g')")
+_WHOLE = lambda seen: _plain(f"regexp_extract({seen}, '(?is)<body[^>]*>(.*)', 1)")
+
+
+@query(rf"""{_F}, v0 AS (SELECT page_id, regexp_replace({b.SPELLED}, '{pages.HIDDEN}', ' ', 'g') AS seen FROM pages), v1 AS (SELECT page_id, {_BARE("seen")} AS rest, {_WHOLE("seen")} AS body FROM v0),
+v2 AS (SELECT page_id, rest, body, CASE page_id % {len(b.MAINS)} WHEN 4 THEN main || ' More to read.' WHEN 7 THEN '' ELSE main END AS m FROM facts JOIN v1 USING (page_id)),
+v3 AS (SELECT page_id, CASE WHEN {_COUNT.format("m")} >= 50 THEN 'main' WHEN {_COUNT.format("rest")} >= 30 THEN 'bare' ELSE 'body' END AS main_part, m, rest, body FROM v2),
+v4 AS (SELECT page_id, main_part, CASE main_part WHEN 'main' THEN m WHEN 'bare' THEN rest ELSE body END AS text FROM v3)
+SELECT page_id, main_part, text, {_COUNT.format("text")} AS words, sha1(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' ')) AS content_hash FROM v4""")
 def page_main_text(spark, d):
-    return facts(spark, d).select("page_id", "words", "content_hash")
+    """Over all pages, with the main element written in each of the ways that are looked for."""
+    found = pages.page_facts(pages.with_defaults(b.spelled(b.read(spark, d, "pages"))))
+    return found.select("page_id", "main_part", "text", "words", "content_hash")
 
 
 @query(r"""SELECT page_id, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1), lambda s: length(s))), 0) AS inline_script_bytes,

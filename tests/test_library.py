@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from sitesieve.functions import markup
 from sitesieve.functions import text as t
 from sitesieve.functions import urls as u
 from sitesieve.operators import audit, compare, coverage, graph, keywords, pages, rankings, schedules, trends
@@ -228,6 +229,37 @@ FAULTY = {
 SOUND = "<html lang='en'><head><meta charset=utf-8><title>A sound title of a good length, page {k}</title><meta content='{d} {k}' name='description'><meta name=viewport content='width=device-width'><link rel=canonical href='https://b.org/{k}'><meta property=og:title content=t><meta property='og:image' content=i><script type='application/ld+json'>{{\"@type\": \"Organization\", \"name\": \"B\"}}</script></head><body><main><h1>Heading {k}</h1><h2>What is it?</h2><p>{w}</p><ul><li>x</li></ul><a href='/1'>first page</a><a href='/about'>about us</a><a href='/contact'>contact</a><a href='/privacy'>privacy</a></main></body></html>"
 
 
+def page_of(body, head=""):
+    return markup.facts_of(f"<html><head>{head}</head><body>{body}</body></html>")
+
+
+WORDS_60 = " ".join(f"w{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(("opens", "closes"), [
+    ("<main>", "</main>"), ("<ARTICLE class=x>", "</ARTICLE>"), ("<div role='main'>", "</div>"), ("<div id=content>", "</div>"), ('<div class="a content b">', "</div>"), ("<section id='main'>", "</section>"),
+    ("<article><article>", "</article></article>"), ("<div id=content><div><div>", "</div></div></div>"), ("<main>", ""), ("<div id=content></span></p>", "</div>"), ("<ul><li class=content>", "<li>not this</ul>"),
+])
+def test_main_text_by_tree(opens, closes):
+    found = page_of(f"<nav>menu {WORDS_60}</nav>{opens}<p>{WORDS_60}<p>more &amp; <b>more</b><script>no()</script>{closes}<footer>foot {WORDS_60}</footer>")
+    rest = f" foot {WORDS_60}" if closes == "" else ""  # never closed: up to the end
+    assert (found["main"], found["text"]) == ("main", f"{WORDS_60} more & more{rest}")
+
+
+def test_markup_of_broken_and_odd_pages():
+    assert page_of(f"<header>{WORDS_60}</header><div class=contents>{WORDS_60} x</div>")["text"] == WORDS_60 + " x"  # a class of another name
+    assert page_of("<nav>a b</nav><p>c")["text"] == "a b c" and page_of("")["text"] == "" and markup.facts_of(None)["text"] == ""
+    inner = page_of(f"<article>{WORDS_60}<article>{WORDS_60} y</article> z</article>")
+    assert inner["text"] == f"{WORDS_60} {WORDS_60} y z"
+    f = page_of("<h1>A<h2></h2><h3>b <i>c</i><noscript>n</noscript></h3><svg><title>t</title><h1>no</h1></svg><a href=' /x '>one <a href=#>two</a><img data-src=i.png alt=''>")
+    assert f["headings"] == [(1, "A"), (2, ""), (3, "b c")] and [(r, t) for r, t, _ in f["anchors"]] == [("/x", "one")] and f["images"] == [("i.png", "", None, None, None)]
+    f = page_of("", "<title>A &lt;b&gt; &eacute;</title><script src=a.js></script><script src=b.js defer></script><script type='application/LD+json'>{\"a\": \"</p>\"}</script><style>p{}</style><link rel='SHORTCUT icon' href=f.ico><meta name=Robots content=' noindex '>")
+    assert (f["title"], f["external_scripts"], f["blocking_scripts"], f["jsonld"], f["inline_style_bytes"], f["favicon"], f["robots"]) == ("A <b> é", 2, 1, ['{"a": "</p>"}'], 3, "f.ico", "noindex")
+    assert markup.facts_of("<title>x<p a='unclosed>y <b>z</b> <a href=/q>l</a>")["anchors"] == [("/q", "l", "")]
+    for bad in ("<div>" * 30_000, '<a "' * 30_000, "<!--" * 30_000, "<title>" * 30_000, "<main>" * 30_000, "</x>" * 30_000, "<a b=\"<a b='" * 20_000, "<" * 100_000):
+        assert isinstance(markup.facts_of(bad)["text"], str)
+
+
 def audited(spark, name, host, html, robots):
     rows = [(name, f"https://{host}/{k}", 404 if k == "gone" else 200, h, n) for n, (k, h) in enumerate(html.items())]
     facts = pages.page_facts(pages.with_defaults(spark.createDataFrame(rows, "site string, url string, status_code int, html string, crawl_seq int")))
