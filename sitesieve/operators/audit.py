@@ -17,6 +17,8 @@ from sitesieve.functions.urls import host_of, is_internal, normalize_url, url_pa
 from sitesieve.operators.coverage import DESC_MAX, DESC_MIN, TITLE_MAX, TITLE_MIN
 from sitesieve.operators.graph import GENERIC_ANCHORS
 from sitesieve.operators.pages import page_links, term_density
+from sitesieve.operators.robots import noindex_blocked
+from sitesieve.sources.tables import broken_external, explode_vitals, vitals_hits
 
 # Weights and order of severities, weights of categories.
 SEVERITY = {"critical": (30, 0), "high": (15, 1), "medium": (7, 2), "low": (3, 3), "info": (0, 4)}
@@ -386,6 +388,32 @@ def site_hits(frames: Frames) -> DataFrame:
     return s.select("site", F.inline(each)).withColumn("url", none).select(*_HIT)
 
 
+@rule("robots_conflicts")
+def conflict_hits(frames: Frames) -> DataFrame:
+    """Noindex pages whose path the site's robots file closes, for whichever agent."""
+    lines = frames["sites"].select("site", F.explode(robots_lines(F.col("robots_txt"))).alias("line")).filter(F.col("line").startswith("disallow:"))
+    rules = lines.select("site", F.lit("disallow").alias("directive"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+    pages = frames["pages"].filter(_ROWS["HTML"]).select("site", "url", url_parts(F.col("url"))["path"].alias("path"), "is_noindex")
+    return _hits(noindex_blocked(pages, rules), "noindex-blocked-by-robots", "high", "indexing")
+
+
+@rule("external")
+def external_hits(frames: Frames) -> DataFrame:
+    """External links that were probed (``probes``: site, href, found_on, status, error) and failed; none without probes."""
+    if "probes" not in frames:
+        return _hits(frames["pages"].filter("false"), "broken-external-links", "medium", "links")
+    return _hits(broken_external(frames["probes"]), "broken-external-links", "medium", "links", F.col("href"))
+
+
+@rule("vitals")
+def vital_hits(frames: Frames) -> DataFrame:
+    """Field metrics and opportunities of page-speed answers (``vitals``: site, payload) for a site's start page; none without answers."""
+    if "vitals" not in frames:
+        return _hits(frames["pages"].filter("false"), "cwv-lcp", "medium", "performance")
+    found = vitals_hits(*explode_vitals(frames["vitals"])).drop("url")
+    return found.join(frames["sites"].select("site", F.col("start_url").alias("url")), "site").select(*_HIT)
+
+
 #: Broken sitemap addresses that a hit of a site lists.
 SITEMAP_ERRORS = 10
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sitesieve.functions.urls import domain_of
 from sitesieve.operators.graph import top
 from sitesieve.operators.pages import plain
+from sitesieve.operators.robots import noindex_blocked, robots_blocked  # noqa: F401  part of what is read from robots files
 
 REPORT = (
     "start_url string, pages array<struct<url:string,status:int,title:string,description:string,words:int,depth:int,indexable:boolean,headings:array<struct<level:int,text:string>>>>, "
@@ -52,23 +53,6 @@ def parse_robots(bodies: DataFrame) -> DataFrame:
     return rows.withColumn("agents", F.collect_list(F.when(agent, F.lower("value"))).over(Window.partitionBy("site", "_group"))).drop("_group")
 
 
-def robots_blocked(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """Whether each known url (site, url, path) may not be fetched: the first rule of its site whose value the path starts with decides.
-
-    Rules of a site are few; they are joined on the site as one array, so a url is looked at once.
-    """
-    mine = rules.filter(F.col("directive").isin("allow", "disallow") & (F.col("value") != "") & F.array_contains("agents", agent.lower()))
-    lists = mine.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("line_no", "directive", "value"))).alias("rules"))
-    first = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["value"])), F.lit(0))
-    return urls.join(lists, "site", "left").withColumn("blocked", F.coalesce(first["directive"] == "disallow", F.lit(False))).drop("rules")
-
-
-def noindex_blocked(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Pages marked noindex whose path starts with any disallow value but the root: a crawler never sees the mark."""
-    lists = rules.filter((F.col("directive") == "disallow") & ~F.col("value").isin("", "/")).groupBy("site").agg(F.collect_set("value").alias("values"))
-    return pages.filter("is_noindex").join(lists, "site").filter(F.exists("values", lambda v: F.col("path").startswith(v))).select("site", "url")
-
-
 def scan_suggestions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SUGGESTION).json(path)
 
@@ -87,9 +71,10 @@ def explode_vitals(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def vitals_hits(metrics: DataFrame, chances: DataFrame, limit: int = 4) -> DataFrame:
-    """Findings on metrics that aren't good, and on the largest opportunities."""
+    """Findings on metrics that aren't good, and on the largest opportunities of sites that have any metric."""
     bad = metrics.filter("status <> 'good'").select("site", F.concat(F.lit("cwv-"), F.lower("metric")).alias("issue_id"), F.when(F.col("status") == "poor", "high").otherwise("medium").alias("severity"))
-    first = chances.withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("savings_ms"), "id"))).filter(F.col("_k") <= limit)
+    known = chances.join(metrics.select("site").distinct(), "site", "left_semi")
+    first = known.withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy(F.desc("savings_ms"), "id"))).filter(F.col("_k") <= limit)
     rows = bad.unionByName(first.select("site", F.concat(F.lit("psi-"), "id").alias("issue_id"), F.lit("low").alias("severity")))
     return rows.withColumns({"category": F.lit("performance"), "url": F.lit(None).cast("string")})
 

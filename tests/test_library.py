@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pytest
@@ -343,6 +344,26 @@ def test_events(spark, tmp_path):
     assert {r.run_id: r.status for r in events.run_status(steps).collect()} == {"r1": "completed", "r2": "failed", "r3": "running"}
 
 
+def test_robots_prefixes_against_a_scan_of_all_rules(spark):
+    """One site with 100,000 rules: its rules are never in one row, and a url is looked up by its prefixes."""
+    rng = random.Random(2)
+    path = lambda n: "/" + "/".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(n))
+    rules = [("big", k, f"/x{k:06d}", "disallow") for k in range(100_000)]
+    rules += [(site, 100_000 + k, rng.choice([path(rng.randrange(1, 4)), "", "/"] if k % 50 == 0 else [path(rng.randrange(1, 4))]), rng.choice(["allow", "disallow"])) for k in range(400) for site in ("big", "s")]
+    urls = [(site, f"{site}{k}", rng.choice([path(4), path(1), "", "/", "/x000007/y", "/x0999"])) for k in range(300) for site in ("big", "s", "none")]
+    frame = spark.createDataFrame([(s, n, v, d, ["*"]) for s, n, v, d in rules], "site string, line_no int, value string, directive string, agents array<string>")
+    found = {r.url: r.blocked for r in tables.robots_blocked(spark.createDataFrame(urls, "site string, url string, path string"), frame).collect()}
+    small = [r for r in rules if not r[2].startswith("/x")]
+    for site, url, p in urls:
+        first = min(((n, d) for s, n, v, d in small if s == site and v and p.startswith(v)), default=None)
+        if site == "big" and (p[:8] == "/x000007" or (first and p.startswith("/x"))):
+            first = (7, "disallow")
+        assert found[url] == (first is not None and first[1] == "disallow"), (site, p)
+    marked = spark.createDataFrame([(s, u, p, True) for s, u, p in urls], "site string, url string, path string, is_noindex boolean")
+    hits = {r.url for r in tables.noindex_blocked(marked, frame).collect()}
+    assert hits == {u for s, u, p in urls if any(s == x and v not in ("", "/") and d == "disallow" and p.startswith(v) for x, _, v, d in small) or (s == "big" and p.startswith("/x000007"))}
+
+
 def test_rule_registry_goes_on_after_a_failure(spark):
     audit.REGISTRY["broken"] = lambda frames: 1 / 0
     try:
