@@ -61,6 +61,7 @@ SPELLED = _spelled("html", "''")
 # A crawl: every page with the head, body and fetch facts that its number gives it, so that all kinds of rules have pages
 # that they hold for and pages that they don't. Head and body are said once, in SQL that both engines read.
 _HEAD = """concat(
+ CASE k % 53 WHEN 0 THEN '<title></title>' WHEN 1 THEN concat('<title>', repeat('Long title ', 7), '</title>') WHEN 2 THEN '<title>Page not found</title>' ELSE '' END,
  CASE WHEN k % 3 = 0 THEN concat('<meta name="description" content="', CASE k % 9 WHEN 0 THEN 'Short text.' WHEN 3 THEN concat(repeat('long ', 40), 'end') ELSE 'All about the things that are sold on this very page, with prices, sizes and colours of each of them.' END, '">') ELSE '' END,
  CASE WHEN k % 2 = 0 THEN '<meta name="viewport" content="width=device-width, initial-scale=1">' WHEN k % 10 = 1 THEN '<meta name="viewport" content="width=600">' ELSE '' END,
  CASE WHEN k % 4 = 0 THEN concat('<link rel="canonical" href="', url, '">') WHEN k % 8 = 1 THEN '<link rel="canonical" href="https://other.invalid/x">' WHEN k % 8 = 3 THEN '<link rel="canonical" href="/elsewhere/1">' ELSE '' END,
@@ -71,19 +72,39 @@ _HEAD = """concat(
  CASE WHEN k % 17 = 0 THEN repeat('<script async src="/s.js"></script>', 16) WHEN k % 17 = 1 THEN concat(repeat('<script src="/s.js"></script>', 2), repeat('<link rel="stylesheet" href="/s.css">', 2)) ELSE '' END,
  CASE WHEN k % 19 = 0 THEN concat('<script>', repeat('x', 100001), '</script>') ELSE '' END,
  CASE WHEN k % 97 = 0 THEN concat('<!--', repeat('x', 500001), '-->') ELSE '' END)"""
-_BODY = """concat('<aside>',
+_BODY = """concat(CASE WHEN k % 61 = 1 THEN '<h1>Another heading</h1>' ELSE '' END, '<aside>',
  CASE k % 6 WHEN 0 THEN '<img src="/a.webp">' WHEN 1 THEN concat('<img src="/img1.jpg" alt="', repeat('a', 126), '" width="1" height="1" loading="lazy">') WHEN 2 THEN repeat('<img src="/p1.png" alt="a" width="1" height="1">', 3) WHEN 3 THEN repeat('<img src="/b.webp" alt="a" width="1" height="1">', 9) ELSE '' END,
  CASE WHEN k % 4 = 2 THEN '<h2>What is it?</h2>' WHEN k % 8 = 7 THEN '<h2>Prices</h2><h4>Old prices</h4>' WHEN k % 4 = 3 THEN '<h2>Prices</h2>' ELSE '' END,
  CASE WHEN k % 5 = 2 THEN '<a href="https://x.com/us" target="_blank">see us</a>' WHEN k % 5 = 3 THEN concat('<a href="', url, '">this page</a>') ELSE '' END,
  CASE WHEN k % 7 = 2 THEN '<a href="/about-us">click here</a>' ELSE '' END, CASE WHEN k % 6 = 5 THEN '<a href="/empty"></a>' ELSE '' END,
  CASE WHEN k % 9 = 2 THEN '<a href="http://old.example/p">old</a>' ELSE '' END, CASE WHEN k % 23 = 0 THEN '<a href="#" onclick="location.href=1">go</a>' ELSE '' END, '</aside>')"""
+#: The markup itself in other ways: without a language or character set, with no or an empty heading, with the main element hidden, replaced by one
+#: that many pages share, or with Arabic words; sites whose name has a length of 3 modulo 11 have no lists.
+_MARKUP = (
+    ("k % 59 = 0", "<html ", "<html data-"), ("k % 59 = 1", "<meta charset", "<meta data-charset"), ("k % 61 = 0", "<h1>", "<p>"), ("k % 61 = 2", "<h1>", "<h1></h1><p>"),
+    ("length(site) % 11 = 3", "<ul>", "<div>"), ("length(site) % 11 = 3", "</ul>", "</div>"), ("k % 73 < 2", "<article>", "<article><p>سلام دنیا</p>"), ("k % 73 = 1", "<html ", '<html dir="rtl" '),
+    ("k % 51 = 0", "<article>", "<template>"), ("k % 51 = 0", "</article>", "</template>"), ("k % 51 <> 0 AND k % 14 = 5", "<article>", "<main><p>" + "same words again " * 60 + "</p></main><section>"), ("k % 51 <> 0 AND k % 14 = 5", "</article>", "</section>"),
+)
+_SITE = "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
+#: Urls with capitals and underscores, with three parameters, and long ones.
+_URL = f"""CASE k % 71 WHEN 0 THEN replace(url, {_SITE}, concat({_SITE}, '/Some_Path')) WHEN 1 THEN concat(split_part(url, '#', 1), CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'a=1&b=2&c=3')
+ WHEN 2 THEN replace(url, {_SITE}, concat({_SITE}, '/', repeat('long-', 25))) ELSE url END"""
+
+
+def _with_markup(html: str) -> str:
+    for when, old, new in _MARKUP:
+        html = f"CASE WHEN {when} THEN replace({html}, '{old}', '{new}') ELSE {html} END" if html == "html" else f"replace({html}, '{old}', CASE WHEN {when} THEN '{new}' ELSE '{old}' END)"
+    return html
+
+
 _STATUS, _ERROR = "CASE WHEN k % 29 = 0 THEN 500 WHEN k % 31 = 0 THEN 404 WHEN k % 37 = 0 THEN 403 ELSE 200 END", "CASE WHEN k % 41 = 0 THEN 'timeout' END"
 #: What a site's robots.txt says, by the length of its name; none for the first.
-ROBOTS = ("User-agent: *\nDisallow: /", "User-agent: GPTBot\nDisallow: /\n\nSitemap: x", "User-agent: *\nDisallow: /assets/\nSitemap: x")
+ROBOTS = ("User-agent: *\nDisallow: /", "User-agent: GPTBot\nDisallow: /\n\nSitemap: x", "User-agent: *\nDisallow: /assets/\nDisallow: /fr/\nDisallow: /en/1\nDisallow: /de/\nSitemap: x")
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = once(read(spark, sf_dir, "pages").withColumn("k", F.col("page_id")), {"_h": F.expr(_HEAD), "_b": F.expr(_BODY)})
+    rows = read(spark, sf_dir, "pages").withColumn("k", F.col("page_id")).withColumn("url", F.expr(_URL)).withColumn("site", F.expr(_SITE))
+    rows = once(rows, {"_h": F.expr(_HEAD), "_b": F.expr(_BODY), "html": F.expr(_with_markup("html"))})
     html = F.replace(F.replace("html", F.lit("<head>"), F.concat(F.lit("<head>"), "_h")), F.lit("<body>"), F.concat(F.lit("<body>"), "_b"))
     hop = lambda code: F.struct(F.lit(code).alias("code"), F.col("url"))
     chain = F.when(F.expr("k % 43 = 0"), F.array(hop(302))).when(F.expr("k % 43 = 1"), F.array(hop(301), hop(301))).otherwise(F.expr("cast(array() as array<struct<code:int,url:string>>)"))
@@ -95,7 +116,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(out, {c: F.col(c) for c in ("html",)})
 
 
-CRAWL = f"""raw0 AS (SELECT page_id, page_id AS k, url, html FROM pages), crawled AS (SELECT page_id, k, url, replace(replace(html, '<head>', '<head>' || {_HEAD}), '<body>', '<body>' || {_BODY}) AS html FROM raw0)"""
+CRAWL = f"""raw_ AS (SELECT page_id, page_id AS k, {_URL.replace("k %", "page_id %")} AS url, html FROM pages), raw1 AS (SELECT *, {_SITE} AS site FROM raw_), raw0 AS (SELECT page_id, k, url, {_with_markup("html")} AS html FROM raw1), crawled AS (SELECT page_id, k, url, replace(replace(html, '<head>', '<head>' || {_HEAD}), '<body>', '<body>' || {_BODY}) AS html FROM raw0)"""
 #: Fetch facts and flags of the crawl, by the number of the page.
 CRAWL_FLAGS = f"""f1 AS (SELECT *, {_STATUS} AS status, {_ERROR} AS error, k % 47 <> 0 AS is_html, k % 11 = 0 AS is_noindex, k % 43 < 2 AS redirected, k * 37 % 1000 AS elapsed FROM facts),
 f2 AS (SELECT *, is_html AND error IS NULL AND status = 200 AS good FROM f1), f3 AS (SELECT *, good AND NOT is_noindex AS idx FROM f2)"""
@@ -109,9 +130,34 @@ def site_files(starts: DataFrame) -> DataFrame:
 
 
 def sitemaps(pages: DataFrame) -> DataFrame:
-    """Every third page of the sites that have a sitemap."""
-    return pages.filter("length(site) % 7 <> 0 and crawl_seq % 3 = 0").select("site", F.col("url").alias("loc"))
+    """Every third page of the sites that have a sitemap; where the name's length is 1 modulo 7 none of these was crawled."""
+    loc = F.when(F.expr("length(site) % 7 = 1"), F.concat(F.expr("split_part(url, '#', 1)"), F.lit("-gone"))).otherwise(F.col("url"))
+    return pages.filter("length(site) % 7 <> 0 and crawl_seq % 3 = 0").select("site", loc.alias("loc"))
+
+
+#: Page-speed answers, by the length of a site's name modulo 3: metrics on both sides of their limits, none, and more opportunities than are shown.
+VITALS = (
+    '{"loadingExperience":{"metrics":{"LARGEST_CONTENTFUL_PAINT_MS":{"percentile":4100},"CUMULATIVE_LAYOUT_SHIFT_SCORE":{"percentile":12},"INTERACTION_TO_NEXT_PAINT":{"percentile":200}}},'
+    '"lighthouseResult":{"audits":{"unused-css":{"score":0.5,"details":{"overallSavingsMs":300}},"modern-images":{"score":0.9,"details":{"overallSavingsMs":900}},"redirects":{"details":{"overallSavingsMs":150}}}}}',
+    '{"lighthouseResult":{"audits":{"redirects":{"score":0,"details":{"overallSavingsMs":700}}}}}',
+    '{"loadingExperience":{"metrics":{"EXPERIMENTAL_TIME_TO_FIRST_BYTE":{"percentile":1801},"FIRST_CONTENTFUL_PAINT_MS":{"percentile":1800}}},'
+    '"lighthouseResult":{"audits":{' + ",".join(f'"{k}":{{"score":0.1,"details":{{"overallSavingsMs":{n}}}}}' for k, n in zip("edcba", (160, 200, 300, 400, 149), strict=True)) + ',"f":{"score":0.89,"details":{"overallSavingsMs":161}}}}}',
+)
+#: What these give: site length modulo 3, finding, severity.
+VITALS_FOUND = (
+    (0, "cwv-lcp", "high"), (0, "cwv-cls", "medium"), (0, "psi-unused-css", "low"), (0, "psi-redirects", "low"), (2, "cwv-ttfb", "high"),
+    *((2, f"psi-{k}", "low") for k in "bcdf"),
+)
+
+
+def vitals(starts: DataFrame) -> DataFrame:
+    return starts.select("site", F.coalesce(*(F.when(F.length("site") % 3 == k, payload) for k, payload in enumerate(VITALS))).alias("payload"))
+
 
+def probes(sample: DataFrame) -> DataFrame:
+    """What external links (site, href, found_on) answered: nothing, or 404 for sites with a name of even length, else 200."""
+    old = F.col("href").startswith("http://old.example")
+    return sample.select("site", "href", "found_on", F.when(~old, F.when(F.length("site") % 2 == 0, 404).otherwise(200)).alias("status"), F.when(old, "timeout").alias("error"))
 
 def words_of_text() -> str:
     return r"[\p{L}\p{N}_]+"

@@ -10,6 +10,7 @@ from sitesieve.operators import audit, pages, schedules
 from sitesieve.operators.graph import GENERIC_ANCHORS
 from sitesieve.functions.shared import shared_folder
 from sitesieve.plans import bindings as b
+from sitesieve.sources import tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -40,7 +41,7 @@ _WORD = t.WORDS.replace("'", "''")
 _COUNT = f"len(regexp_extract_all({{}}, '{_WORD}'))"
 _FACTS = rf"""p0 AS (SELECT *, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS site, regexp_replace(html, '{pages.HIDDEN}', ' ', 'g') AS seen FROM pages),
 p1 AS (SELECT *, trim({_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}, ' ') AS title, regexp_extract(html, '(?is)<html[^>]*\slang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?is)<meta[^>]*\scharset="([^"]*)"', 1) AS charset,
- {_plain("regexp_extract(seen, '(?is)<article[^>]*>.*?</article>', 0)")} AS main, {_plain(f"regexp_replace(regexp_extract(seen, '(?is)<body[^>]*>(.*)', 1), '{pages.BOILERPLATE}', ' ', 'g')")} AS bare, {_plain("regexp_extract(seen, '(?is)<body[^>]*>(.*)', 1)")} AS whole,
+ {_plain("regexp_extract(seen, '(?is)<(?:article|main)[^>]*>.*?</(?:article|main)>', 0)")} AS main, {_plain(f"regexp_replace(regexp_extract(seen, '(?is)<body[^>]*>(.*)', 1), '{pages.BOILERPLATE}', ' ', 'g')")} AS bare, {_plain("regexp_extract(seen, '(?is)<body[^>]*>(.*)', 1)")} AS whole,
  list_transform(regexp_extract_all(seen, '(?is)<h[1-6]\b[^>]*>.*?</h[1-6]\s*>'), lambda h: (CAST(substr(h, 3, 1) AS INTEGER), {_plain("h")})) AS heads FROM p0),
 p2 AS (SELECT *, CASE WHEN {_COUNT.format("main")} >= 50 THEN main WHEN {_COUNT.format("bare")} >= 30 THEN bare ELSE whole END AS text FROM p1),
 facts AS (SELECT *, {_COUNT.format("text")} AS words, sha1(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' ')) AS content_hash FROM p2)"""
@@ -120,7 +121,7 @@ def term_density(spark, d):
 
 # rules and scores
 
-_IDS = {r.id: f"{r.id}|{r.severity}|{r.category}" for r in audit.PAGE_RULES}
+_IDS = {r.id: f"{r.id}|{r.severity}|{r.category}" for r in audit.PAGE_RULES} | {"noindex-blocked-by-robots": "noindex-blocked-by-robots|high|indexing"}
 _HAS_VIEWPORT, _AT_LEAST = "(k % 2 = 0 OR k % 10 = 1)", "words >= {}"
 _FIRST_P = r"len(string_split(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<p[^>]*>(.*?)</p>', 1), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' '), ' '))"
 _LD, _DESC = "k % 7 < 5", "k % 3 = 0"
@@ -131,6 +132,8 @@ _ROW_HIT = {
         "redirect-chain": "k % 43 = 1", "temporary-redirect": "k % 43 = 0", "crawl-budget-waste": "redirected OR (good AND is_noindex) OR status >= 400",
     },
     "good": {
+        "noindex-blocked-by-robots": "is_noindex AND length(site) % 4 = 3 AND (starts_with(path, '/fr/') OR starts_with(path, '/en/1') OR starts_with(path, '/de/'))",
+        "missing-rtl-direction": "regexp_matches(substr(text, 1, 2000), '[؀-ۿ]') AND NOT regexp_matches(lower(substr(html, 1, 3000)), 'dir=[\"'']rtl[\"'']') AND NOT contains(replace(lower(substr(html, 1, 3000)), ' ', ''), 'direction:rtl')",
         "mixed-content": "https AND (k % 9 = 2 OR (url LIKE 'http://%' AND (k % 4 = 0 OR k % 5 = 3 OR k % 13 = 0)))", "viewport-missing": f"NOT {_HAS_VIEWPORT}", "viewport-invalid": "k % 2 = 1 AND k % 10 = 1", "html-lang-missing": "lang = ''", "charset-missing": "charset = ''",
         "no-compression": "k % 2 = 1 AND strlen(html) > 50000", "noindex-pages": "is_noindex", "site-wide-noindex": "is_noindex", "jsonld-invalid": "k % 7 = 4", "empty-anchor-text": "k % 6 = 5", "js-navigation": "k % 23 = 0",
         "unsafe-target-blank": "k % 5 = 2", "image-alt-missing": "k % 6 = 0", "image-alt-too-long": "k % 6 = 1", "image-no-dimensions": "k % 6 = 0", "lcp-image-lazy": "k % 6 = 1", "no-lazy-loading": "k % 6 = 3", "legacy-image-format": "k % 6 = 2",
@@ -170,7 +173,7 @@ _SITE_RULES = "\n".join(_SITE_HIT.format(*x) for x in (
     *((f"missing-{k}-page|{s}|eeat", "trust", f"NOT {k}") for k, (s, _) in audit.TRUST.items()), ("no-social-profiles|low|eeat", "trust", "NOT social"),
     ("generic-anchor-text|medium|links", "trust", "generic > 0.1"),
     ("no-organization-schema|medium|eeat", "trust", "typed"), ("no-breadcrumb-schema|low|structured_data", "trust", "typed AND n_idx > 3"),
-    ("sitemap-missing|medium|indexing", "maps", "locs = 0"), ("sitemap-mismatch|medium|indexing", "maps", "false"),
+    ("sitemap-missing|medium|indexing", "maps", "locs = 0"), ("sitemap-mismatch|medium|indexing", "maps", "locs > 0 AND length(site) % 7 = 1"),
 ))
 _MAPPED = "url IN (SELECT url FROM maps_ WHERE maps_.site = rows1.site)"
 _HITS = rf"""{b.CRAWL_FLAGS},
@@ -187,7 +190,7 @@ seen_ AS (SELECT site, url AS t FROM rows1 UNION ALL SELECT site, CASE WHEN raw
 trust_ AS (SELECT site, {", ".join(f"bool_or(regexp_matches(t, '{p}')) AS {k}" for k, (_, p) in audit.TRUST.items())} FROM seen_ GROUP BY 1),
 trust AS (SELECT t.*, social, generic, typed, n_idx FROM trust_ t JOIN (SELECT site, bool_or(k % 5 = 2) FILTER (good) AS social, bool_or(k % 7 < 3) FILTER (good) AS typed, count(*) FILTER (idx) AS n_idx FROM rows1 GROUP BY 1 HAVING count(*) FILTER (good) > 0) s USING (site)
  LEFT JOIN (SELECT site, avg(CASE WHEN lower(anchor) IN ({_GENERIC}) THEN 1.0 ELSE 0.0 END) AS generic FROM links2 WHERE internal GROUP BY 1) g USING (site)),
-maps_ AS (SELECT DISTINCT site, u_ AS url FROM rows1 WHERE length(site) % 7 <> 0 AND k % 3 = 0), maps AS (SELECT s.site, count(m.url) AS locs FROM starts_ s LEFT JOIN maps_ m USING (site) GROUP BY 1),
+maps_ AS (SELECT DISTINCT site, CASE WHEN length(site) % 7 = 1 THEN u_ || '-gone' ELSE u_ END AS url FROM rows1 WHERE length(site) % 7 <> 0 AND k % 3 = 0), maps AS (SELECT s.site, count(m.url) AS locs FROM starts_ s LEFT JOIN maps_ m USING (site) GROUP BY 1),
 absent AS (SELECT r.site, r.url FROM rows1 r JOIN maps m ON m.site = r.site AND m.locs > 0 WHERE r.idx AND NOT EXISTS (SELECT 1 FROM maps_ x WHERE x.site = r.site AND x.url = r.u_)),
 many AS (SELECT site FROM absent JOIN counts USING (site) GROUP BY site, idx HAVING count(*) > greatest(2, 0.2 * idx)),
 tk AS (SELECT site, url, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']{{3,}}')) AS term FROM rows1 WHERE idx AND words >= 150), tc AS (SELECT site, url, term, count(*) AS hits FROM tk GROUP BY 1, 2, 3), dn AS (SELECT site, url, min((-hits, term)) AS m, sum(hits) AS tokens FROM tc GROUP BY 1, 2),
@@ -199,6 +202,8 @@ hits0 AS (SELECT site, url, key FROM page_hits WHERE NOT EXISTS (SELECT 1 FROM f
  UNION ALL SELECT site, 'https://' || site || '/sitemap-2.xml', 'sitemap-invalid|medium|indexing' FROM maps WHERE locs > 0 AND length(site) % 2 = 0
  UNION ALL SELECT site, url, 'sitemap-bad-entries|medium|indexing' FROM rows1 WHERE EXISTS (SELECT 1 FROM maps_ x WHERE x.site = rows1.site AND x.url = rows1.u_) AND (error IS NOT NULL OR status >= 400 OR redirected OR is_noindex)
  UNION ALL SELECT site, url, 'sitemap-incomplete|low|indexing' FROM absent WHERE site IN (SELECT site FROM many)
+ UNION ALL SELECT DISTINCT site, raw, 'broken-external-links|medium|links' FROM links2 WHERE NOT internal AND (raw LIKE 'http://old.example%' OR length(site) % 2 = 0)
+ UNION ALL SELECT site, start_url, v.key FROM starts_ JOIN (VALUES {", ".join(f"({k}, '{i}|{sev}|performance')" for k, i, sev in b.VITALS_FOUND)}) v(m, key) ON length(site) % 3 = v.m
  {_SITE_RULES}),
 hits AS (SELECT site, string_split(key, '|')[1] AS issue_id, string_split(key, '|')[2] AS severity, string_split(key, '|')[3] AS category, url FROM hits0),
 issues AS (SELECT site, issue_id, severity, category, count(*) AS affected FROM hits GROUP BY ALL),
@@ -209,7 +214,7 @@ shown AS (SELECT site, bool_or(good AND (k % 6 < 4)) AS images, bool_or(good AND
 act AS (SELECT s.site, category, weight FROM shown s, cats WHERE category NOT IN ('images', 'international') OR (category = 'images' AND images) OR (category = 'international' AND (foreign_ OR s.site IN (SELECT site FROM issues WHERE category = 'international')))),
 sc AS (SELECT a.site, a.category, a.weight, greatest(0, least(100, CAST(round_even(round(100 - coalesce(sum(penalty), 0), 9), 0) AS INTEGER))) AS score, count(p.issue_id) FILTER (p.severity <> 'info') AS issues FROM act a LEFT JOIN pen p ON a.site = p.site AND a.category = p.category GROUP BY 1, 2, 3)"""
 _H = f"WITH {b.CRAWL}, {_FACTS.replace('FROM pages)', 'FROM crawled)', 1)}, {_HITS}"
-_RULES = ("pages", "duplicates", "stuffing", "canonical", "reciprocity", "anchors", "trust", "structured", "sites", "sitemaps")
+_RULES = ("pages", "duplicates", "stuffing", "canonical", "reciprocity", "anchors", "trust", "structured", "sites", "sitemaps", "robots_conflicts", "external", "vitals")
 
 
 def _ready(spark, d):
@@ -218,10 +223,18 @@ def _ready(spark, d):
     return audit.ready(pages.with_flags(pages.page_facts(pages.with_defaults(b.crawl(spark, d)))).checkpoint()).checkpoint()
 
 
+def _external(ready):
+    """External links of html pages, each with the first page that has it, as many as are probed."""
+    links = pages.page_links(ready.filter("is_html and is_ok")).join(ready.select("site", "url", F.col("crawl_seq").alias("seq")), ["site", "url"])
+    return tables.external_sample(links)
+
+
 def _audited(spark, d):
     """Hits of all rules on pages, robots files and sitemaps."""
     ready = _ready(spark, d)
-    hits, notes = audit.run_all({"pages": ready, "sites": b.site_files(pages.site_origin(ready)), "sitemap": b.sitemaps(ready)}, _RULES)
+    starts = pages.site_origin(ready)
+    frames = {"pages": ready, "sites": b.site_files(starts), "sitemap": b.sitemaps(ready), "vitals": b.vitals(starts), "probes": b.probes(_external(ready))}
+    hits, notes = audit.run_all(frames, _RULES)
     if notes:
         raise ValueError("; ".join(notes))
     return ready, hits
