@@ -18,6 +18,7 @@ from sitesieve.operators.coverage import DESC_MAX, DESC_MIN, TITLE_MAX, TITLE_MI
 from sitesieve.operators.graph import GENERIC_ANCHORS
 from sitesieve.operators.pages import page_links, term_density
 from sitesieve.operators.robots import noindex_blocked
+from sitesieve.operators.usage import texts_with
 from sitesieve.sources.tables import broken_external, explode_vitals, vitals_hits
 
 # Weights and order of severities, weights of categories.
@@ -55,8 +56,8 @@ REQUIRED_FIELDS = {
     "VideoObject": ("name", "thumbnailUrl", "uploadDate"), "SoftwareApplication": ("name",), "Course": ("name",),
 }
 DEPRECATED_TYPES = ("FAQPage", "HowTo")
-#: Keywords of all sites that a page is held against at a time.
-KEYWORDS = 1000
+#: Keywords that are sent to every executor at most, to stand beside each site.
+KEYWORDS = 100_000
 _ROWS = {"ALL": "true", "HTML": "is_html and is_ok", "IDX": "is_indexable"}
 
 
@@ -440,21 +441,15 @@ def sitemap_hits(frames: Frames) -> DataFrame:
 
 def keyword_usage(pages: DataFrame, keywords: DataFrame, every_site: bool = False) -> DataFrame:
     """Hits for target keywords (rows site, keyword; with ``every_site`` keywords that each site has): absent, weak (in no
-    title or H1), cannibal (several titles).
-
-    A page is looked at once: it holds its site's keywords as one array. Keywords are what people chose, so a site's are
-    few; those that all sites share are sent to the executors up to KEYWORDS and else looked at in that many at a time.
+    title or H1), cannibal (several titles). A page is read once, however many keywords there are.
     """
-    idx = pages.filter(_ROWS["IDX"]).select("site", F.lower(_title()).alias("t"), F.lower(F.array_join(F.transform(_h1s(), lambda h: h["text"]), "\n")).alias("h"), F.lower("text").alias("b"))
+    idx = pages.filter(_ROWS["IDX"]).select("site", F.lower("text").alias("body"), F.lower(_title()).alias("title"), F.lower(F.array_join(F.transform(_h1s(), lambda h: h["text"]), "\n")).alias("h1"))
     kw = keywords.select(*([] if every_site else ["site"]), F.lower(F.trim("keyword")).alias("k")).filter("k <> ''").distinct()
-    if every_site:
-        groups = kw.withColumn("_g", F.pmod(F.xxhash64("k"), F.lit(max(1, -(-kw.count() // KEYWORDS))))).groupBy("_g").agg(F.collect_list("k").alias("ks"))
-        lists = groups.agg(F.collect_list("ks").alias("kss")).first().kss
-        asked = idx.select("*", F.explode(F.array(*(F.lit(ks) for ks in lists))).alias("ks")) if lists else idx.withColumn("ks", F.array().cast("array<string>"))
-    else:
-        asked = idx.join(kw.groupBy("site").agg(F.collect_list("k").alias("ks")), "site")
-    found = asked.select("site", "t", "h", "b", F.explode("ks").alias("k"))
-    rows = found.groupBy("site", "k").agg(F.count_if(F.col("b").contains(F.col("k"))).alias("body"), F.count_if(F.col("t").contains(F.col("k"))).alias("title"), F.count_if(F.col("h").contains(F.col("k"))).alias("h1"))
+    found = texts_with(idx, kw.select("k").distinct(), ("body", "title", "h1")).withColumnRenamed("keyword", "k")
+    sites = idx.select("site").distinct()
+    # every keyword of a site is a row of the result's own: one that no page has is a finding
+    asked = sites.crossJoin(F.broadcast(kw)) if every_site and kw.count() <= KEYWORDS else sites.crossJoin(kw) if every_site else kw.join(sites, "site", "left_semi")
+    rows = asked.join(found, ["site", "k"], "left").na.fill(0, ["body", "title", "h1"])
     suffix = (F.crc32(F.encode("k", "UTF-8")) % 1_000_000).cast("string")
     kind = F.array_compact(F.array(F.when(F.col("body") == 0, F.struct(F.lit("absent").alias("p"), F.lit("high").alias("severity"))), F.when((F.col("body") > 0) & (F.col("title") == 0) & (F.col("h1") == 0), F.struct(F.lit("weak").alias("p"), F.lit("medium").alias("severity"))), F.when(F.col("title") > 1, F.struct(F.lit("cannibal").alias("p"), F.lit("medium").alias("severity")))))
     return rows.select("site", "k", F.inline(kind)).select("site", F.concat(F.lit("keyword-"), "p", F.lit("-"), suffix).alias("issue_id"), "severity", F.lit("content").alias("category"), F.lit(None).cast("string").alias("url"), F.col("k").alias("keyword"), "p")

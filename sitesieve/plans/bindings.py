@@ -180,15 +180,27 @@ PAGE_ROWS = r"""page_rows AS (SELECT source AS site, 'https://' || source || '.e
  len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS words, doc_id % 7 <> 0 AS indexable, doc_id AS seq, text FROM documents)"""
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a site could be looked for by: the words of each benchmark item, its pairs of neighbouring words, and the whole of it."""
+    rows = once(read(spark, sf_dir, "benchmark").select(F.lower(F.trim("text")).alias("t")), {"t": F.col("t"), "w": F.regexp_extract_all("t", F.lit(words_of_text()), F.lit(0))})
+    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.concat_ws(" ", a, b))
+    return rows.select(F.explode(F.concat(F.array("t"), "w", pairs)).alias("keyword")).filter("keyword <> ''").distinct()
+
+
+PHRASES = r"""words_ AS (SELECT lower(trim(text, ' ')) AS t, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+phrases AS (SELECT DISTINCT keyword FROM (SELECT t AS keyword FROM words_ UNION ALL SELECT unnest(w) FROM words_ UNION ALL SELECT w[k] || ' ' || w[k + 1] FROM (SELECT w, unnest(range(1, len(w))) AS k FROM words_)) WHERE keyword <> '')"""
+
+
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two words of each benchmark item, with a demand and an intent made of its number."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit(words_of_text()), F.lit(0))
-    rows = read(spark, sf_dir, "benchmark").withColumn("keyword", F.array_join(F.slice(found, 1, 2), " "))
-    return rows.groupBy("keyword").agg(F.min("item_id").alias("seq")).select("keyword", (F.col("seq") * 37 % 101).cast("int").alias("demand"), F.when(F.col("seq") % 2 == 0, "informational").otherwise("commercial").alias("intent"), "seq")
+    """Every pair of neighbouring words of the benchmark items, with a demand and an intent made of its number."""
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit(words_of_text()), F.lit(0)).alias("w"))
+    pairs = F.zip_with(F.expr("slice(w, 1, greatest(size(w) - 1, 0))"), F.expr("slice(w, 2, greatest(size(w) - 1, 0))"), lambda a, b: F.concat_ws(" ", a, b))
+    found = once(rows, {"w": F.col("w")}).select("item_id", F.posexplode(pairs).alias("k", "keyword"))
+    return found.groupBy("keyword").agg(F.min(F.col("item_id") * 10_000 + F.col("k")).alias("seq")).select("keyword", (F.col("seq") * 37 % 101).cast("int").alias("demand"), F.when(F.col("seq") % 2 == 0, "informational").otherwise("commercial").alias("intent"), "seq")
 
 
 KEYWORDS = r"""keywords AS (SELECT keyword, CAST(seq * 37 % 101 AS INTEGER) AS demand, CASE WHEN seq % 2 = 0 THEN 'informational' ELSE 'commercial' END AS intent, seq FROM
- (SELECT array_to_string(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 1, 2), ' ') AS keyword, min(item_id) AS seq FROM benchmark GROUP BY 1))"""
+ (SELECT w[k] || ' ' || w[k + 1] AS keyword, min(item_id * 10000 + k - 1) AS seq FROM (SELECT item_id, w, unnest(range(1, len(w))) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark)) GROUP BY 1))"""
 
 
 #: Positions that the numbers of a document's suggestions leave room for.

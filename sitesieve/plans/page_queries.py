@@ -315,13 +315,12 @@ def all_rules(spark, d):
 
 
 @query(rf"""{_F}, idx AS (SELECT site, url, lower(title) AS t, lower(array_to_string(list_transform(list_filter(heads, lambda h: h[1] = 1), lambda h: h[2]), chr(10))) AS h, lower(text) AS b FROM facts),
-kw AS (SELECT DISTINCT k FROM (SELECT lower(regexp_extract(text, '[\p{{L}}]+')) AS k FROM benchmark) WHERE k <> ''), g AS (SELECT site, k, count(*) FILTER (contains(b, k)) AS body, count(*) FILTER (contains(t, k)) AS title, count(*) FILTER (contains(h, k)) AS h1 FROM idx, kw GROUP BY 1, 2)
+{b.PHRASES}, kw AS (SELECT keyword AS k FROM phrases), g AS (SELECT site, k, count(*) FILTER (contains(b, k)) AS body, count(*) FILTER (contains(t, k)) AS title, count(*) FILTER (contains(h, k)) AS h1 FROM idx, kw GROUP BY 1, 2)
 SELECT site, k AS keyword, 'absent' AS p FROM g WHERE body = 0 UNION ALL SELECT site, k, 'weak' FROM g WHERE body > 0 AND title = 0 AND h1 = 0 UNION ALL SELECT site, k, 'cannibal' FROM g WHERE title > 1""")
 def cross_join_keywords(spark, d):
-    """Every benchmark item's first word as a keyword of every site."""
-    found = b.read(spark, d, "benchmark").select(F.regexp_extract("text", r"[\p{L}]+", 0).alias("keyword"))
+    """Every benchmark item's words, pairs of words, and whole text as keywords of every site."""
     shared_folder(spark)
-    return audit.keyword_usage(pages.with_flags(facts(spark, d)).checkpoint(), found, every_site=True).select("site", "keyword", "p")
+    return audit.keyword_usage(pages.with_flags(facts(spark, d)).checkpoint(), b.phrases(spark, d), every_site=True).select("site", "keyword", "p")
 
 
 # scalar expressions over page urls and documents
