@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values. Words are runs of Latin letters and digits, runs of the Arabic blocks, and single CJK characters.
@@ -15,6 +15,7 @@ TOKEN = "[\\p{L}\\p{N}_؀-ۿ]+"
 #: Fixed values of the spelling fold: from, to; the last three are deleted.
 FOLD_FROM, FOLD_TO = "يىكۀ‌‏‎ـ", "ییکه "
 DIACRITICS, PUNCTUATION = "[ً-ْٰ]", "[،؍؛؞؟٪-٭۔۝]"
+NOT_ASCII = "[^\\x00-\\x7F]"
 NOT_WORD = "[^\\p{L}\\p{N}_؀-ۿ]+"
 #: Words that carry no intent.
 STOPWORDS = ("و", "در", "به", "از", "با", "برای", "را", "که", "این", "آن", "است", "های", "ها", "the", "a", "an", "of", "for", "and", "in", "on", "to")
@@ -64,7 +65,29 @@ def normalise(text: Column, compose: bool = False) -> Column:
 
 def words(text: Column, compose: bool = False) -> Column:
     """Normalised words without stopwords, in order, repeats kept."""
-    return F.filter(F.split(normalise(text, compose), " +"), lambda w: (w != "") & ~w.isin(*STOPWORDS))
+    return F.filter(F.split(normalise(text, compose), " +"), _is_word)
+
+
+def with_words(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the normalised words of ``text``, NFKC and casefold applied, without a text going through Python.
+
+    Words of ASCII need neither. Of all others each distinct spelling is folded once and joined back, in place. A table
+    whose texts are ASCII has no such spellings, and nothing is shuffled but its few rows that have any.
+    """
+    plain = f"_{name}_plain"
+    rows = df.withColumn(plain, F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00A0\u2000-\u200A\u3000]+", " ")), " "))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()  # the number has to stay the same when rows are read again
+    odd = F.exists(plain, lambda w: w.rlike(NOT_ASCII))
+    native = rows.filter(~odd).withColumn(name, F.filter(F.flatten(F.transform(plain, lambda w: F.split(normalise(w), " +"))), _is_word)).drop(plain, "_row")
+    spelled = rows.filter(odd).select("_row", F.posexplode(plain).alias("_at", "_raw"))
+    folded = spelled.filter(F.col("_raw").rlike(NOT_ASCII)).select("_raw").distinct().withColumn("_words", F.split(normalise(F.col("_raw"), True), " +"))
+    each = spelled.join(folded, "_raw", "left").select("_row", "_at", F.coalesce("_words", F.split(normalise(F.col("_raw")), " +")).alias("_words"))
+    again = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_words"))), lambda x: x["_words"]).alias("_all"))
+    return native.unionByName(rows.filter(odd).join(again, "_row").withColumn(name, F.filter(F.flatten("_all"), _is_word)).drop(plain, "_row", "_all"))
+
+
+def _is_word(word: Column) -> Column:
+    return (word != "") & ~word.isin(*STOPWORDS)
 
 
 def tokens_of(keyword: Column) -> Column:

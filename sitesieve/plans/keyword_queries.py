@@ -150,7 +150,8 @@ def tokens_of_keywords(spark, d):
 
 
 def _words(x: str) -> str:
-    return rf"list_filter(string_split(trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({_list(STOPWORDS)}))"
+    """Words as the operators fold them; of what the tables hold, case folding differs from lower case in one letter."""
+    return rf"list_filter(string_split(trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}_]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ({_list(STOPWORDS)}))"
 
 
 _DECLARED = "coalesce(title, '') || ' ' || coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || coalesce(h1, '')"

@@ -164,6 +164,45 @@ def test_coverage_and_plans(spark):
     assert one(spark, coverage.trim_title(F.col("x")), x="A long title about running shoes and how to choose them | The Brand of Shoes") == "A long title about running shoes and how to choose them"
 
 
+def test_overlap_by_rarest_terms(spark):
+    """Against all pairs, with a term on all pages and in most keywords; it is no join key where a keyword has a rarer one."""
+    rng = random.Random(4)
+    vocabulary = [f"t{k}" for k in range(80)]
+    rows = [("s", f"u{k}", "common " + " ".join(rng.choices(vocabulary, k=rng.randrange(8))), None, [], 9, True, k) for k in range(150)]
+    keys = [("common " + " ".join(rng.choices(vocabulary, k=rng.randrange(1, 5))), k) for k in range(60)] + [("common", 60), ("common common t1", 61), ("the of", 62)]
+    frame = spark.createDataFrame(rows, "site string, url string, title string, description string, headings array<struct<level:int,text:string>>, words int, indexable boolean, seq int")
+    kw = spark.createDataFrame([(k, 1, "i", n) for k, n in dict(keys).items()], "keyword string, demand int, intent string, seq int")
+    for ratio in (0.5, 0.67, 1.0):
+        got = {(r.url, r.keyword): r.hits for r in coverage.overlaps(frame, kw, coverage.declared(), ratio).collect()}
+        want = {}
+        for _, url, title, *_ in rows:
+            for k in dict(keys):
+                terms = [w for w in k.split() if w not in ("the", "of")]
+                hits = sum(w in title.split() for w in terms)
+                if terms and hits / len(terms) >= ratio:
+                    want[url, k] = hits
+        assert got == want
+    has = frame.select("site", "url", F.array_distinct(F.split("title", " +")).alias("_has"))
+    only_rare = coverage.keyword_terms(kw.filter("size(split(keyword, ' ')) = 2 and keyword like 'common t%'"))
+    pairs = only_rare.select("keyword").distinct().count() * has.count()
+    assert coverage.candidates(has, only_rare, 0.67).count() < pairs / 5
+
+
+def test_words_are_composed_and_case_folded(spark):
+    pages_ = [("s", "u1", "STRASSE ｆｕｌｌ ﬁne"), ("s", "u2", "Straße full fine"), ("s", "u3", "plain ascii words"), ("s", "u4", None), ("s", "u5", "e\u0301te\u0301 ﷺ ＡＢＣ１２"), ("s", "u6", "\u00e9t\u00e9\u00a0x")]
+    frame = spark.createDataFrame(pages_, "site string, url string, title string")
+    got = {r.url: r.w for r in t.with_words(frame, F.col("title"), "w").collect()}
+    assert got["u1"] == got["u2"] == ["strasse", "full", "fine"] and got["u3"] == ["plain", "ascii", "words"] and got["u4"] == []
+    import unicodedata
+
+    for url, title in ((u, x) for _, u, x in pages_ if x):
+        whole = frame.filter(F.col("url") == url).select(t.words(F.lit(unicodedata.normalize("NFKC", title).casefold()))).first()[0]
+        assert got[url] == whole, url
+    rows = frame.select("*", F.lit(None).cast("string").alias("description"), F.expr("cast(array() as array<struct<level:int,text:string>>)").alias("headings"), F.lit(True).alias("indexable"))
+    kw = spark.createDataFrame([("strasse fine", 1, "i", 1), ("été", 1, "i", 2), ("abc12", 1, "i", 3)], "keyword string, demand int, intent string, seq int")
+    assert {(r.url, r.keyword) for r in coverage.match(rows, kw).collect()} == {("u1", "strasse fine"), ("u2", "strasse fine"), ("u5", "été"), ("u6", "été"), ("u5", "abc12")}
+
+
 def test_comparison(spark):
     def site(name, n, title, words):
         return [(name, f"{name}/{k}", title, "d" * 80, [(1, "Head")], words, True, k) for k in range(n)]
