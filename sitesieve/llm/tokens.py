@@ -18,7 +18,7 @@ import numpy as np
 
 #: Words that a worker remembers at most, in each of two generations; some 200 bytes each. The larger number is for
 #: jobs that have the executors for themselves.
-CACHE_WORDS, CACHE_WORDS_ALONE = 400_000, 800_000
+CACHE_WORDS, CACHE_WORDS_ALONE = 150_000, 800_000
 #: Characters of a word that is remembered.
 LONGEST = 48
 #: A letter never is in one piece with a mark or digit behind it, nor a mark with white space and a letter behind that. An
