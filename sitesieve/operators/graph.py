@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitesieve.functions.selection import kth
 from sitesieve.functions.shared import shared_folder
 from sitesieve.functions.urls import normalise_node
 
@@ -142,9 +143,7 @@ def click_depth(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> Data
 
 def upper_median(df: DataFrame, value: str, name: str) -> DataFrame:
     """The value in the upper middle of each site (``sorted[n // 2]``)."""
-    order = Window.partitionBy("site").orderBy(value)
-    ranked = df.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy("site"))})
-    return ranked.filter(F.col("_k") == F.floor(F.col("_n") / 2) + 1).select("site", F.col(value).alias(name))
+    return kth(df, value, F.floor(F.col("n") / 2)).withColumnRenamed(value, name)
 
 
 def overlooked(nodes: DataFrame, edges: DataFrame, ranking: DataFrame, start: Column | None = None, limit: int = 15) -> DataFrame:
@@ -184,7 +183,11 @@ def link_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def internal_edges(links: DataFrame, limit: int = 50_000, seq: str = "seq") -> DataFrame:
-    """The first ``limit`` internal links of each site with anchors of 120 characters, and whether more were left out."""
-    numbered = links.filter("internal").withColumn("_k", F.row_number().over(Window.partitionBy("site").orderBy(seq)))
-    flagged = numbered.withColumn("truncated", F.count(F.lit(1)).over(Window.partitionBy("site")) > limit)
-    return flagged.filter(F.col("_k") <= limit).select("site", F.col("url").alias("source"), F.col("href").alias("target"), F.substring("anchor", 1, 120).alias("anchor"), "nofollow", "truncated")
+    """The first ``limit`` internal links of each site with anchors of 120 characters, and whether more were left out.
+
+    The links are counted apart from their numbers, so that the number can be cut off where the rows are read.
+    """
+    inner = links.filter("internal")
+    counts = inner.groupBy("site").agg((F.count(F.lit(1)) > limit).alias("truncated"))
+    first = top(inner, [F.col(seq)], limit)
+    return first.join(counts, "site").select("site", F.col("url").alias("source"), F.col("href").alias("target"), F.substring("anchor", 1, 120).alias("anchor"), "nofollow", "truncated")

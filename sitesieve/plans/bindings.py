@@ -15,26 +15,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return read(spark, sf_dir, "part").select(
-        F.lit("parts").alias("site"), key.cast("string").alias("url"), F.col("p_name").alias("title"), F.when(key % 25 == 0, 404).otherwise(200).alias("status"),
+        F.col("p_brand").alias("site"), key.cast("string").alias("url"), F.col("p_name").alias("title"), F.when(key % 25 == 0, 404).otherwise(200).alias("status"),
         (key % 10 != 0).alias("indexable"), (F.col("p_size") % 6).alias("depth"), (F.col("p_size") * 10).alias("words"),
     )
 
 
-NODES = "nodes AS (SELECT 'parts' AS site, CAST(p_partkey AS VARCHAR) AS url, p_name AS title, CASE WHEN p_partkey % 25 = 0 THEN 404 ELSE 200 END AS status, p_partkey % 10 <> 0 AS indexable, p_size % 6 AS depth, p_size * 10 AS words FROM part)"
+NODES = "nodes AS (SELECT p_brand AS site, CAST(p_partkey AS VARCHAR) AS url, p_name AS title, CASE WHEN p_partkey % 25 = 0 THEN 404 ELSE 200 END AS status, p_partkey % 10 <> 0 AS indexable, p_size % 6 AS depth, p_size * 10 AS words FROM part)"
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that follow each other in an order."""
+    """Parts that follow each other in an order, on the site of the first one's brand; most lead to another site."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = read(spark, sf_dir, "lineitem").withColumn("source", F.lag("l_partkey").over(order))
-    brands = read(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    pairs = lines.filter("source is not null and source <> l_partkey").join(brands, F.col("l_partkey") == F.col("p_partkey"))
-    return pairs.select(F.lit("parts").alias("site"), F.col("source").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.col("p_brand").alias("anchor"), (F.col("l_returnflag") == "R").alias("nofollow"))
+    lines = read(spark, sf_dir, "lineitem").withColumn("source", F.lag("l_partkey").over(order)).filter("source is not null and source <> l_partkey")
+    brands = read(spark, sf_dir, "part").select(F.col("p_partkey"), F.col("p_brand"))
+    own = brands.toDF("source", "site")
+    pairs = lines.join(brands, F.col("l_partkey") == F.col("p_partkey")).join(own, "source")
+    return pairs.select("site", F.col("source").cast("string").alias("source"), F.col("l_partkey").cast("string").alias("target"), F.col("p_brand").alias("anchor"), (F.col("l_returnflag") == "R").alias("nofollow"))
 
 
-EDGES = """edges AS (SELECT 'parts' AS site, CAST(src AS VARCHAR) AS source, CAST(l_partkey AS VARCHAR) AS target, p_brand AS anchor, l_returnflag = 'R' AS nofollow
+EDGES = """edges AS (SELECT s.p_brand AS site, CAST(src AS VARCHAR) AS source, CAST(l_partkey AS VARCHAR) AS target, t.p_brand AS anchor, l_returnflag = 'R' AS nofollow
  FROM (SELECT *, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS src FROM lineitem) l
- JOIN part ON l_partkey = p_partkey WHERE src IS NOT NULL AND src <> l_partkey)"""
+ JOIN part t ON l_partkey = t.p_partkey JOIN part s ON src = s.p_partkey WHERE src IS NOT NULL AND src <> l_partkey)"""
 
 
 #: How the main element of a page is written, by the page's number: what opens it and what closes it.

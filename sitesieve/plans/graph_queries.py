@@ -27,20 +27,20 @@ def query(sql: str | None = None):
 _G = f"WITH {b.NODES}, {b.EDGES}"
 _IN = "inl AS (SELECT site, target AS url, count(*) AS inlinks FROM (SELECT DISTINCT site, source, target FROM edges) GROUP BY 1, 2)"
 _GENERIC = ", ".join(f"'{a}'" for a in graph.GENERIC_ANCHORS)
-_RANK = f"""edge_n AS (SELECT source, target, count(*) AS k FROM edges WHERE target IN (SELECT url FROM nodes) GROUP BY 1, 2),
+_RANK = f"""edge_n AS (SELECT e.site, source, target, count(*) AS k FROM edges e JOIN nodes n ON n.site = e.site AND n.url = target GROUP BY 1, 2, 3),
 deg AS (SELECT source, sum(k) AS d FROM edge_n GROUP BY 1),
 shares AS (SELECT e.source, e.target, CAST(k AS DOUBLE) / d AS share FROM edge_n e JOIN deg USING (source)),
-base AS (SELECT url, (SELECT count(*) FROM nodes) AS n, url IN (SELECT source FROM deg) AS links FROM nodes),
+sizes AS (SELECT site, count(*) AS n FROM nodes GROUP BY 1), base AS (SELECT site, url, n, url IN (SELECT source FROM deg) AS links FROM nodes JOIN sizes USING (site)),
 pr AS (SELECT 0 AS k, url, 1.0::DOUBLE / n AS rank FROM base
  UNION ALL SELECT k + 1, url, rank FROM (
-  SELECT (SELECT max(k) FROM pr) AS k, b.url, {1 - graph.DAMPING}::DOUBLE / n + {graph.DAMPING}::DOUBLE * (SELECT sum(CASE WHEN NOT x.links THEN p.rank ELSE 0 END) FROM pr p JOIN base x USING (url)) / n
-   + {graph.DAMPING}::DOUBLE * coalesce(g.passed, 0) AS rank
-  FROM base b LEFT JOIN (SELECT s.target AS url, sum(p.rank * s.share) AS passed FROM pr p JOIN shares s ON p.url = s.source GROUP BY 1) g USING (url)) WHERE k < {graph.ROUNDS}),
-au AS (SELECT 'parts' AS site, url, round(rank / (SELECT max(rank) FROM pr WHERE k = {graph.ROUNDS}) * 100, 1) AS authority FROM pr WHERE k = {graph.ROUNDS})"""
+  SELECT (SELECT max(k) FROM pr) AS k, b.url, {1 - graph.DAMPING}::DOUBLE / n + {graph.DAMPING}::DOUBLE * coalesce(leak, 0) / n + {graph.DAMPING}::DOUBLE * coalesce(g.passed, 0) AS rank
+  FROM base b LEFT JOIN (SELECT x.site, sum(p.rank) AS leak FROM pr p JOIN base x USING (url) WHERE NOT x.links GROUP BY 1) l USING (site)
+  LEFT JOIN (SELECT s.target AS url, sum(p.rank * s.share) AS passed FROM pr p JOIN shares s ON p.url = s.source GROUP BY 1) g USING (url)) WHERE k < {graph.ROUNDS}),
+au AS (SELECT site, url, round(rank / max(rank) OVER (PARTITION BY site) * 100, 1) AS authority FROM pr JOIN nodes USING (url) WHERE k = {graph.ROUNDS})"""
 _GR = f"WITH RECURSIVE {b.NODES}, {b.EDGES}, {_RANK}, {_IN}"
 
 
-@query(f"{_G} SELECT e.site, source, target, status AS target_status, n.indexable AS target_indexable FROM edges e LEFT JOIN nodes n ON n.url = target")
+@query(f"{_G} SELECT e.site, source, target, status AS target_status, n.indexable AS target_indexable FROM edges e LEFT JOIN nodes n ON n.url = target AND n.site = e.site")
 def join_links_pages(spark: SparkSession, d: str) -> DataFrame:
     return graph.with_target(b.edges(spark, d), b.nodes(spark, d)).select("site", "source", "target", "target_status", "target_indexable")
 
@@ -60,22 +60,24 @@ def inlink_page_count(spark, d):
     return graph.inlink_counts(b.edges(spark, d))
 
 
-@query(f"{_G} SELECT site, url FROM nodes WHERE indexable AND url NOT IN (SELECT target FROM edges) AND url <> '1'")
+@query(f"{_G} SELECT site, url FROM nodes WHERE indexable AND (site, url) NOT IN (SELECT (site, target) FROM edges) AND url <> '1'")
 def anti_join_orphans(spark, d):
     return graph.orphans(b.nodes(spark, d), b.edges(spark, d), F.lit("1"))
 
 
-@query(f"{_G} SELECT site, url FROM nodes WHERE indexable AND url NOT IN (SELECT source FROM edges)")
+@query(f"{_G} SELECT site, url FROM nodes WHERE indexable AND url NOT IN (SELECT source FROM edges e JOIN nodes n ON n.site = e.site AND n.url = target)")
 def anti_join_dead_ends(spark, d):
-    return graph.dead_ends(b.nodes(spark, d), b.edges(spark, d))
+    """Pages without a link to a page of their own site."""
+    nodes = b.nodes(spark, d)
+    return graph.dead_ends(nodes, graph.with_target(b.edges(spark, d), nodes, "inner"))
 
 
-@query(f"{_G} SELECT e.site, target AS url, status, count(*) AS linked_from FROM edges e JOIN nodes n ON n.url = target WHERE status NOT BETWEEN 200 AND 299 GROUP BY ALL ORDER BY linked_from DESC, url LIMIT 50")
+@query(f"{_G} SELECT e.site, target AS url, status, count(*) AS linked_from FROM edges e JOIN nodes n ON n.url = target AND n.site = e.site WHERE status NOT BETWEEN 200 AND 299 GROUP BY e.site, target, status QUALIFY row_number() OVER (PARTITION BY e.site ORDER BY count(*) DESC, target) <= 50")
 def broken_targets_topk(spark, d):
     return graph.broken_targets(b.nodes(spark, d), b.edges(spark, d))
 
 
-@query(f"{_G} SELECT e.site, target AS url, count(*) AS linked_from FROM edges e JOIN nodes n ON n.url = target WHERE status BETWEEN 200 AND 299 AND NOT n.indexable GROUP BY ALL ORDER BY linked_from DESC, url LIMIT 25")
+@query(f"{_G} SELECT e.site, target AS url, count(*) AS linked_from FROM edges e JOIN nodes n ON n.url = target AND n.site = e.site WHERE status BETWEEN 200 AND 299 AND NOT n.indexable GROUP BY e.site, target QUALIFY row_number() OVER (PARTITION BY e.site ORDER BY count(*) DESC, target) <= 25")
 def noindex_topk(spark, d):
     return graph.links_to_noindex(b.nodes(spark, d), b.edges(spark, d))
 
@@ -91,7 +93,7 @@ def anchor_profile(spark, d):
     return out.withColumn("variants", F.array_join(F.transform("variants", lambda v: F.concat_ws("=", v["anchor"], v["count"].cast("string"))), "|"))
 
 
-_VAGUE = b.EDGES.replace("p_brand AS anchor", "CASE l_partkey % 3 WHEN 0 THEN 'here' WHEN 1 THEN '' ELSE p_brand END AS anchor")
+_VAGUE = b.EDGES.replace("t.p_brand AS anchor", "CASE l_partkey % 3 WHEN 0 THEN 'here' WHEN 1 THEN '' ELSE t.p_brand END AS anchor")
 
 
 def _vague(spark, d):
@@ -99,7 +101,7 @@ def _vague(spark, d):
     return b.edges(spark, d).withColumn("anchor", F.when(key == 0, "here").when(key == 1, "").otherwise(F.col("anchor")))
 
 
-@query(f"WITH {b.NODES}, {_VAGUE}, {_PROFILE} SELECT site, url, generic, empty, total FROM prof WHERE total >= 2 AND generic + empty = total AND url IN (SELECT url FROM nodes) ORDER BY total DESC, url LIMIT 25")
+@query(f"WITH {b.NODES}, {_VAGUE}, {_PROFILE} SELECT site, url, generic, empty, total FROM prof WHERE total >= 2 AND generic + empty = total AND (site, url) IN (SELECT (site, url) FROM nodes) QUALIFY row_number() OVER (PARTITION BY site ORDER BY total DESC, url) <= 25")
 def undescribed_targets(spark, d):
     return graph.undescribed(b.nodes(spark, d), _vague(spark, d)).drop("variants")
 
@@ -109,30 +111,30 @@ def pagerank_authority(spark, d):
     return graph.authority(b.nodes(spark, d), b.edges(spark, d))
 
 
-@query(f"{_GR} SELECT n.site, n.url, title, authority, coalesce(o, 0) AS outgoing FROM nodes n JOIN au USING (url) LEFT JOIN (SELECT source AS url, count(*) AS o FROM edges GROUP BY 1) USING (url) WHERE indexable ORDER BY authority DESC, n.url LIMIT 10")
+@query(f"{_GR} SELECT n.site, n.url, title, authority, coalesce(o, 0) AS outgoing FROM nodes n JOIN au USING (url) LEFT JOIN (SELECT source AS url, count(*) AS o FROM edges GROUP BY 1) USING (url) WHERE indexable QUALIFY row_number() OVER (PARTITION BY n.site ORDER BY authority DESC, n.url) <= 10")
 def hubs(spark, d):
     n, e = b.nodes(spark, d), b.edges(spark, d)
     return graph.hubs(n, e, graph.authority(n, e))
 
 
-@query(f"""{_GR} SELECT n.site, n.url, title, words, coalesce(inlinks, 0) AS inlinks, depth, authority FROM nodes n JOIN au USING (url) LEFT JOIN inl USING (url)
-WHERE indexable AND status BETWEEN 200 AND 299 AND n.url <> '1' AND coalesce(inlinks, 0) <= 2
-AND words >= (SELECT list_sort(list(words))[count(*) // 2 + 1] FROM nodes WHERE indexable AND words > 0) AND authority <= (SELECT list_sort(list(authority))[count(*) // 2 + 1] FROM au)
-ORDER BY authority, words DESC, n.url LIMIT 15""")
+@query(f"""{_GR} SELECT n.site, n.url, title, words, coalesce(inlinks, 0) AS inlinks, depth, authority FROM nodes n JOIN au USING (url) LEFT JOIN inl ON inl.site = n.site AND inl.url = n.url
+JOIN (SELECT site, list_sort(list(words))[count(*) // 2 + 1] AS mw FROM nodes WHERE indexable AND words > 0 GROUP BY 1) w ON w.site = n.site JOIN (SELECT site, list_sort(list(authority))[count(*) // 2 + 1] AS ma FROM au GROUP BY 1) a ON a.site = n.site
+WHERE indexable AND status BETWEEN 200 AND 299 AND n.url <> '1' AND coalesce(inlinks, 0) <= 2 AND words >= mw AND authority <= ma
+QUALIFY row_number() OVER (PARTITION BY n.site ORDER BY authority, words DESC, n.url) <= 15""")
 def overlooked(spark, d):
     n, e = b.nodes(spark, d), b.edges(spark, d)
     return graph.overlooked(n, e, graph.authority(n, e), F.lit("1"))
 
 
-@query(f"{_G} SELECT 'parts' AS site, list_sort(list(words))[count(*) // 2 + 1] AS middle FROM nodes WHERE indexable")
+@query(f"{_G} SELECT site, list_sort(list(words))[count(*) // 2 + 1] AS middle FROM nodes WHERE indexable GROUP BY 1")
 def upper_median(spark, d):
     return graph.upper_median(b.nodes(spark, d).filter("indexable"), "words", "middle")
 
 
-@query(f"""WITH RECURSIVE {b.NODES}, {b.EDGES}, walk AS (SELECT url, 0 AS depth FROM nodes WHERE CAST(url AS BIGINT) < 5 UNION SELECT url, 1 FROM nodes WHERE CAST(url AS BIGINT) BETWEEN 5 AND 9
- UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = url WHERE depth < 3) SELECT 'parts' AS site, url, min(depth) AS depth FROM walk GROUP BY url""")
+@query(f"""WITH RECURSIVE {b.NODES}, {b.EDGES}, walk AS (SELECT site, url, 0 AS depth FROM nodes WHERE CAST(url AS BIGINT) < 100 UNION SELECT site, url, 1 FROM nodes WHERE CAST(url AS BIGINT) BETWEEN 100 AND 199
+ UNION SELECT walk.site, target, depth + 1 FROM walk JOIN edges ON source = url AND edges.site = walk.site WHERE depth < 3) SELECT site, url, min(depth) AS depth FROM walk GROUP BY site, url""")
 def click_depth_bfs(spark, d):
-    starts = b.nodes(spark, d).filter(F.col("url").cast("bigint") < 10).select("site", "url", F.when(F.col("url").cast("bigint") < 5, 0).otherwise(1).alias("depth"))
+    starts = b.nodes(spark, d).filter(F.col("url").cast("bigint") < 200).select("site", "url", F.when(F.col("url").cast("bigint") < 100, 0).otherwise(1).alias("depth"))
     return graph.click_depth(b.edges(spark, d), starts)
 
 
@@ -141,9 +143,10 @@ def depth_histogram(spark, d):
     return graph.depth_histogram(b.nodes(spark, d))
 
 
-@query(f"""{_G}, {_IN} SELECT 'parts' AS site, (SELECT count(*) FROM nodes) AS pages, (SELECT count(*) FROM nodes WHERE indexable) AS indexable_pages,
- (SELECT round_even(avg(coalesce(inlinks, 0)), 1) FROM nodes LEFT JOIN inl USING (url) WHERE indexable) AS average_inlinks, (SELECT max(depth) FROM nodes WHERE indexable) AS max_depth,
- (SELECT count(*) FROM edges) AS internal_links, (SELECT count(*) FROM edges WHERE nofollow) AS nofollow_internal""")
+@query(f"""{_G}, {_IN}, ps AS (SELECT n.site, count(*) AS pages, count(*) FILTER (indexable) AS indexable_pages, coalesce(round_even(avg(coalesce(inlinks, 0)) FILTER (indexable), 1), 0) AS average_inlinks,
+ coalesce(max(depth) FILTER (indexable), 0) AS max_depth FROM nodes n LEFT JOIN inl ON inl.site = n.site AND inl.url = n.url GROUP BY 1),
+ls AS (SELECT site, count(*) AS internal_links, count(*) FILTER (nofollow) AS nofollow_internal FROM edges GROUP BY 1)
+SELECT ps.*, coalesce(internal_links, 0) AS internal_links, coalesce(nofollow_internal, 0) AS nofollow_internal FROM ps LEFT JOIN ls USING (site)""")
 def link_summary(spark, d):
     return graph.link_summary(b.nodes(spark, d), b.edges(spark, d))
 

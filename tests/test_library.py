@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from sitesieve.functions import markup
+from sitesieve.functions import markup, selection
 from sitesieve.functions import text as t
 from sitesieve.functions import urls as u
 from sitesieve.operators import audit, compare, coverage, graph, keywords, pages, rankings, schedules, trends
@@ -83,6 +83,18 @@ def test_graph(small_graph):
     assert graph.authority(nodes, edges.limit(0)).filter("authority > 0").count() == 4
 
 
+def test_order_statistics_without_ordering_a_site(spark):
+    rng = random.Random(1)
+    rows = [("big", rng.randrange(5000)) for _ in range(20_000)] + [("ties", 7)] * 500 + [("ties", 9)] * 501 + [("one", 3), ("none", None)] + [("two", 4), ("two", 5)]
+    frame = spark.createDataFrame(rows, "site string, v int")
+    for ordered in (50, 1_000_000):
+        found = {r.site: r.v for r in selection.kth(frame, "v", F.floor(F.col("n") / 2), ordered=ordered).collect()}
+        of = lambda s: sorted(v for x, v in rows if x == s and v is not None)
+        assert found == {s: of(s)[len(of(s)) // 2] for s in ("big", "ties", "one", "two")}
+    many = spark.range(10_000_000).select(F.lit("s").alias("site"), (F.col("id") * 7919 % 10_000_019).alias("v"))
+    assert selection.kth(many, "v", F.floor(F.col("n") / 2)).first().v == sorted(k * 7919 % 10_000_019 for k in range(10_000_000))[5_000_000]
+
+
 def test_pagerank_equals_a_plain_model(spark):
     import random
 
