@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sitesieve.operators import keywords, rankings
 from sitesieve.plans import bindings as b
 from sitesieve.sources import tables
+from sitesieve.streaming import batches as m
 from sitesieve.streaming import events as e
 
 QUERIES: dict = {}
@@ -53,13 +54,15 @@ def step_state_fold(spark, d):
 @query("WITH s AS (SELECT CAST(user_id AS VARCHAR) AS url, json_extract_string(props, '$.k') AS h, ts, lag(json_extract_string(props, '$.k')) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) SELECT url, p AS previous_hash, h AS content_hash FROM s WHERE h IS DISTINCT FROM p")
 def page_change_stream(spark, d):
     updates = _stream(spark, d).select(F.col("run_id").alias("url"), "content_hash", F.col("occurred_at").alias("at"))
-    return e.drain(e.changed_pages(updates), "changes").drop("at")
+    folder = m.run(updates, "changes", m.change_step, ("url",), m.CHANGE_STATE, "400 days")
+    return m.sink(spark, folder, "changes", m.CHANGES).drop("at")
 
 
 @query("WITH s AS (SELECT CAST(user_id AS VARCHAR) AS channel_id, event_type AS id, CASE WHEN value < 20 THEN 503 ELSE 200 END AS status, ts, sum(CASE WHEN value < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done FROM events) SELECT channel_id, id, count(*) AS attempts FROM s WHERE coalesce(done, 0) = 0 GROUP BY 1, 2")
 def delivery_claim(spark, d):
     attempts = _stream(spark, d).select(F.col("run_id").alias("channel_id"), F.substring_index("type", ".", -1).alias("id"), F.col("occurred_at").alias("at"), F.when(F.col("value") < 20, 503).otherwise(200).alias("status"))
-    return e.drain(e.claims(attempts), "claims").groupBy("channel_id", "id").agg(F.count(F.lit(1)).alias("attempts"))
+    folder = m.run(attempts, "claims", m.claim_step, ("channel_id", "id"), m.CLAIM_STATE, "400 days")
+    return m.sink(spark, folder, "attempts", m.ATTEMPTS).groupBy("channel_id", "id").agg(F.count(F.lit(1)).alias("attempts"))
 
 
 @query("WITH s AS (SELECT DISTINCT CAST(event_id % 5 AS VARCHAR) AS job_id FROM events WHERE event_id % 5 < 3) SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 5 < 3")
@@ -68,11 +71,23 @@ def completion_match(spark, d):
     return e.drain(e.match_completions(_stream(spark, d), steps).select("id"), "match")
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS id, contains(event_type, 'error') OR value IS NULL AS malformed FROM events")
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN contains(event_type, 'error') OR value IS NULL THEN 'dead' ELSE 'events' END AS sink FROM events")
 def dead_letter_split(spark, d):
+    """Both sinks of one stream: sound envelopes, and the texts of the others."""
     fields = F.struct("id", F.when(~F.col("type").contains("error"), F.col("type")).alias("type"), F.lit(1).alias("version"), "occurred_at", F.lit("site").alias("producer"), F.col("value").cast("string").alias("payload"))
-    raw = _stream(spark, d).select(F.to_json(fields).alias("value"))
-    return e.drain(e.parse(raw).select("id", "malformed"), "letters")
+    folder = m.run(_stream(spark, d).select(F.to_json(fields).alias("value")), "letters", m.letter_step)
+    dead = m.sink(spark, folder, "dead", m.DEAD).select(F.get_json_object("value", "$.id").alias("id"), F.lit("dead").alias("sink"))
+    return m.sink(spark, folder, "events", m.EVENTS).select("id", F.lit("events").alias("sink")).unionByName(dead)
+
+
+@query("""WITH s AS (SELECT CAST(user_id AS VARCHAR) AS site, CAST(event_id AS VARCHAR) AS url, event_type, value FROM events)
+SELECT site, 'page.updated' AS type, url AS subject FROM s WHERE value <= 10 UNION ALL SELECT site, 'crawl.completed', site FROM s WHERE event_type = 'purchase'""")
+def completion_fanout(spark, d):
+    """Every page of a finished crawl as an update, and the crawl's completion, into two sinks."""
+    crawls = _stream(spark, d).select(F.col("run_id").alias("site"), F.col("id").alias("url"), "content_hash", (F.col("status") == "completed").alias("indexable"), "type")
+    folder = m.run(crawls, "fanout", m.fanout_step(F.col("type") == "site.purchase"))
+    updates = m.sink(spark, folder, "updates", m.UPDATES).drop("content_hash")
+    return updates.unionByName(m.sink(spark, folder, "completions", m.COMPLETIONS))
 
 
 @query(
