@@ -18,6 +18,7 @@ from sitesieve.operators.coverage import DESC_MAX, DESC_MIN, TITLE_MAX, TITLE_MI
 from sitesieve.operators.graph import GENERIC_ANCHORS
 from sitesieve.operators.pages import page_links, term_density
 from sitesieve.operators.robots import noindex_blocked
+from sitesieve.operators.structured import jsonld_blocks
 from sitesieve.operators.usage import texts_with
 from sitesieve.sources.tables import broken_external, explode_vitals, vitals_hits
 
@@ -312,12 +313,7 @@ def trust_hits(frames: Frames) -> DataFrame:
 def structured_hits(frames: Frames) -> DataFrame:
     """Blocks of JSON-LD: required fields, missing types, types that are no longer shown; types that a site lacks."""
     pages = frames["pages"].filter(_ROWS["HTML"])
-    whole = F.try_parse_json(F.col("raw"))
-    raw = pages.select("site", "url", F.explode("jsonld").alias("raw")).filter(whole.isNotNull())
-    graph = F.coalesce(F.get_json_object("raw", "$.@graph"), F.when(F.col("raw").startswith("["), F.col("raw")), F.concat(F.lit("["), "raw", F.lit("]")))
-    items = raw.select("site", "url", F.explode_outer(F.from_json(graph, "array<string>")).alias("block")).filter(F.col("block").startswith("{"))
-    kind = F.get_json_object("block", "$.@type")
-    typed = items.withColumn("types", F.when(kind.startswith("["), F.from_json(kind, "array<string>")).when(kind.isNotNull(), F.array(kind)).otherwise(F.array().cast("array<string>")))
+    typed = jsonld_blocks(pages).filter("part <> 'error'")
     each = typed.select("site", "url", "block", F.explode("types").alias("type"))
     need = reduce(lambda a, b: a | b, ((F.col("type") == t) & reduce(lambda x, y: x | y, (F.coalesce(F.get_json_object("block", f"$.{f}"), F.lit("")).isin("", "[]", "{}", "0", "false", "null") for f in fields)) for t, fields in REQUIRED_FIELDS.items()))
     none = F.lit(None).cast("string")

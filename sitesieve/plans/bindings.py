@@ -59,6 +59,29 @@ def spelled(pages: DataFrame) -> DataFrame:
 SPELLED = _spelled("html", "''")
 
 
+#: Structured data by the page's number: what stands behind the head's and the body's tag, and the blocks that come of it (script, part, place, block, types).
+STRUCTURED = (
+    ('<script type="application/ld+json">{"@type":"Article","headline":"x"}</script>', "", ((0, "object", 0, '{"@type":"Article","headline":"x"}', "Article"),)),
+    ("<script type='application/LD+JSON'> {broken </script>", '<div itemscope itemtype="https://schema.org/Product"><b itemtype=Offer></b></div>', ((0, "error", 0, "{broken", ""),)),
+    ('<script type="application/ld+json">{"@context":"c","@id":"i","@graph":[{"@type":"Person","name":"y"},"text",{"@type":["Article","Thing"]}]}</script>', "", ((0, "item", 0, '{"@type":"Person","name":"y"}', "Person"), (0, "item", 2, '{"@type":["Article","Thing"]}', "Article Thing"), (0, "envelope", 0, '{"@context":"c","@id":"i"}', ""))),
+    ('<script type="application/ld+json">{"@graph":[{"a":[1,{"b":null}]}],"@context":"c"}</script>', "", ((0, "item", 0, '{"a":[1,{"b":null}]}', ""),)),
+    ('<script type="application/ld+json">[{"@type":"A"},3,{"c":"\u00e9"}]</script><link rel="alternate" hreflang="fr" href="/fr">', "", ((0, "item", 0, '{"@type":"A"}', "A"), (0, "item", 2, '{"c":"\u00e9"}', ""))),
+    ('<script type="application/ld+json"> </script><script type="application/ld+json">{"@graph":"no list"}</script><script type="application/ld+json">7</script><link hreflang=de rel=alternate href=de><link rel=alternate hreflang=x-default href="https://other.example/">', "", ((0, "object", 0, '{"@graph":"no list"}', ""),)),
+)
+
+
+def _by_number(column: str) -> str:
+    rows = " ".join(f"WHEN {k} THEN replace(replace({column}, '<head>', '<head>{head}'), '<body>', '<body>{body}')".replace("type='application/LD+JSON'", 'type="application/LD+JSON"') for k, (head, body, _) in enumerate(STRUCTURED))
+    return f"CASE page_id % {len(STRUCTURED)} {rows} END"
+
+
+def structured(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("html", F.expr(_by_number("html")))
+
+
+STRUCTURED_ROWS = ", ".join(f"({m}, {n}, '{part}', {pos}, '{block}', '{types}')" for m, (_, _, found) in enumerate(STRUCTURED) for n, part, pos, block, types in found)
+
+
 # A crawl: every page with the head, body and fetch facts that its number gives it, so that all kinds of rules have pages
 # that they hold for and pages that they don't. Head and body are said once, in SQL that both engines read.
 _HEAD = """concat(
@@ -117,6 +140,8 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(out, {c: F.col(c) for c in ("html",)})
 
 
+#: What the crawl puts behind a body's tag, of the tables page_id and url.
+BODY_BY_PAGE = _BODY.replace("k %", "page_id %")
 CRAWL = f"""raw_ AS (SELECT page_id, page_id AS k, {_URL.replace("k %", "page_id %")} AS url, html FROM pages), raw1 AS (SELECT *, {_SITE} AS site FROM raw_), raw0 AS (SELECT page_id, k, url, {_with_markup("html")} AS html FROM raw1), crawled AS (SELECT page_id, k, url, replace(replace(html, '<head>', '<head>' || {_HEAD}), '<body>', '<body>' || {_BODY}) AS html FROM raw0)"""
 #: Fetch facts and flags of the crawl, by the number of the page.
 CRAWL_FLAGS = f"""f1 AS (SELECT *, {_STATUS} AS status, {_ERROR} AS error, k % 47 <> 0 AS is_html, k % 11 = 0 AS is_noindex, k % 43 < 2 AS redirected, k * 37 % 1000 AS elapsed FROM facts),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitesieve.functions import text as t
 from sitesieve.functions import urls as u
-from sitesieve.operators import audit, pages, schedules
+from sitesieve.operators import audit, pages, schedules, structured
 from sitesieve.operators.graph import GENERIC_ANCHORS
 from sitesieve.functions.shared import shared_folder
 from sitesieve.plans import bindings as b
@@ -94,6 +94,50 @@ def page_main_text(spark, d):
     return found.select("page_id", "main_part", "text", "words", "content_hash")
 
 
+_SITED = r"p AS (SELECT *, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS site, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) AS origin FROM pages)"
+
+
+def _structured(spark, d):
+    return pages.page_facts(pages.with_defaults(b.structured(b.read(spark, d, "pages"))))
+
+
+@query(f"WITH {_SITED} SELECT site, url, n, part, pos, block, types FROM p JOIN (VALUES {b.STRUCTURED_ROWS}) v(m, n, part, pos, block, types) ON page_id % {len(b.STRUCTURED)} = m")
+def page_jsonld_blocks(spark, d):
+    """Objects, items of lists and graphs, envelopes and broken blocks over all pages, with structured data by their number."""
+    return structured.jsonld_blocks(_structured(spark, d)).withColumn("types", F.array_join("types", " "))
+
+
+@query(f"WITH {_SITED} SELECT site, url, pos, type FROM p, (VALUES (0, 'Product'), (1, 'Offer')) v(pos, type) WHERE page_id % {len(b.STRUCTURED)} = 1")
+def page_microdata_types(spark, d):
+    return structured.microdata_types(_structured(spark, d))
+
+
+@query(rf"""WITH {_SITED} SELECT site, url, 0 AS pos, 'fr' AS code, origin || '/fr' AS href FROM p WHERE page_id % 6 = 4
+UNION ALL SELECT site, url, 0, 'de', CASE WHEN regexp_matches(url, '^[^:]+://[^/?#]+/') THEN regexp_extract(url, '^([^?#]*/)', 1) ELSE origin || '/' END || 'de' FROM p WHERE page_id % 6 = 5 UNION ALL SELECT site, url, 1, 'x-default', 'https://other.example/' FROM p WHERE page_id % 6 = 5""")
+def page_hreflang(spark, d):
+    return structured.alternates(_structured(spark, d))
+
+
+@query(r"SELECT page_id, trim(unnest(regexp_extract_all(html, '(?is)<a\b[^>]*\shref=\"([^\"]*)\"[^>]*>', 1))) AS raw FROM pages")
+def udtf_links(spark, d):
+    """Links by a table function beside each page."""
+    return b.read(spark, d, "pages").lateralJoin(structured.LinksOf(F.col("html").outer())).select("page_id", "raw")
+
+
+@query(f"SELECT page_id, n, block AS raw FROM pages JOIN (VALUES {b.STRUCTURED_ROWS}) v(m, n, part, pos, block, types) ON page_id % {len(b.STRUCTURED)} = m WHERE part IN ('object', 'error')")
+def udtf_jsonld(spark, d):
+    """Scripts that are one object or broken, by a table function beside each page."""
+    rows = b.structured(b.read(spark, d, "pages")).lateralJoin(structured.JsonldOf(F.col("html").outer()))
+    return rows.filter("raw not like '[%' and raw not like '{\"@context%' and raw not like '%graph\":[%' and raw <> '7'").select("page_id", "n", "raw")
+
+
+@query(f"WITH {b.CRAWL}, im AS (SELECT regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS site, url, unnest(regexp_extract_all({b.BODY_BY_PAGE}, '(?is)<img[^>]*>')) AS tag FROM crawled) SELECT site, url, regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1) || regexp_extract(tag, 'src=\"([^\"]*)\"', 1) AS src, CASE WHEN tag LIKE '% alt=%' THEN length(regexp_extract(tag, 'alt=\"([^\"]*)\"', 1)) END AS alt_length, tag LIKE '%loading=\"lazy\"%' AS lazy FROM im")
+def page_images(spark, d):
+    """Images of the crawl, of which the first three of a page are in its first view."""
+    rows = pages.page_images(pages.page_facts(pages.with_defaults(b.crawl(spark, d))))
+    return rows.select("site", "url", "src", F.length("alt").alias("alt_length"), (F.coalesce("loading", F.lit("")) == "lazy").alias("lazy"))
+
+
 @query(r"""SELECT page_id, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script\s*>', 1), lambda s: length(s))), 0) AS inline_script_bytes,
  coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style\s*>', 1), lambda s: length(s))), 0) AS inline_style_bytes, len(regexp_extract_all(html, '(?i)<iframe\b')) AS iframes FROM pages""")
 def page_resource_counts(spark, d):
