@@ -28,6 +28,13 @@ CATEGORY_WEIGHT = {
     "indexing": 1.4, "content": 1.4, "technical": 1.2, "performance": 1.2, "structured_data": 0.8,
     "links": 1.0, "images": 0.7, "eeat": 1.0, "international": 0.5, "ai_search": 0.7,
 }
+# Labels of severities, and of categories in both languages.
+SEVERITY_LABEL = {"critical": "بحرانی", "high": "زیاد", "medium": "متوسط", "low": "کم", "info": "اطلاعی"}
+CATEGORY_LABEL = {
+    "indexing": ("ایندکس‌شدن و خزش", "Indexing & Crawling"), "content": ("محتوا و کلمات کلیدی", "Content & Keywords"), "technical": ("فنی", "Technical"), "performance": ("سرعت و Core Web Vitals", "Speed & Core Web Vitals"),
+    "structured_data": ("داده ساختاریافته", "Structured Data"), "links": ("لینک‌سازی", "Linking"), "images": ("تصاویر", "Images"), "eeat": ("اعتبار و E-E-A-T", "Trust & E-E-A-T"), "international": ("چندزبانه", "Internationalization"),
+    "ai_search": ("جستجوی هوش مصنوعی", "AI Search"),
+}
 OPTIONAL = ("images", "international")
 GRADES = ((90, "عالی"), (75, "خوب"), (60, "قابل قبول"), (40, "ضعیف"))
 LOWEST_GRADE = "بحرانی"
@@ -489,7 +496,13 @@ def roll_up(hits: DataFrame, shown: int = 50, slices: int = 64) -> DataFrame:
 
 
 def _of(column: str, table: dict) -> Column:
-    return F.coalesce(*(F.when(F.col(column) == k, v) for k, v in table.items()))
+    return F.coalesce(*(F.when(F.col(column) == k, F.lit(v)) for k, v in table.items()))
+
+
+def with_labels(issues: DataFrame) -> DataFrame:
+    """``issues`` with severity_label, category_label and category_name."""
+    part = lambda k: _of("category", {c: v[k] for c, v in CATEGORY_LABEL.items()})
+    return issues.withColumns({"severity_label": _of("severity", SEVERITY_LABEL), "category_label": part(0), "category_name": part(1)})
 
 
 def penalties(issues: DataFrame, counts: DataFrame) -> DataFrame:
