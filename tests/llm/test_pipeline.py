@@ -100,6 +100,29 @@ def test_near_copies_of_doubled_and_null_ids(spark):
     assert sorted((find(texts.index(t)), (d is None, d or 0)) for d, t in kept) == sorted(least.items())
 
 
+def test_run_applies_the_stages_in_order(spark, tmp_path):
+    """``run`` over a small folder: toxic documents and copies are gone, and what is packed are the documents that the stages left."""
+    rng = random.Random(31)
+    words = [f"w{k}" for k in range(900)]
+    rows = [(i, " ".join(rng.choices(words, k=60) + (["vilestuff"] * 3 if i % 9 == 0 else [])), "en", f"src{i % 4}", 1) for i in range(300)]
+    rows += [(1000 + i, rows[i][1].upper(), "en", "src1", 1) for i in range(1, 40, 5)]  # exact copies
+    rows += [(2000 + i, rows[i][1] + " tail", "en", "src1", 1) for i in range(2, 40, 5)]  # near copies
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(0, 300, 2)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = {i: t for i, t, *_ in rows if "vilestuff" not in t.lower()}
+    exact = {}
+    for i, t in left.items():
+        exact[t.lower()] = max(i, exact.get(t.lower(), 0))
+    kept = brute_kept({i: left[i] for i in exact.values()})
+    packed = {r.doc_id for r in out}
+    assert packed <= kept and len(packed) >= 0.6 * len(kept)  # mixing leaves out a tenth of the tokens
+    used = Counter()
+    for r in out:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 2048
+
+
 def test_mix_meets_its_targets(spark):
     rows = [(i, "a b c d e", "en", f"src{i % 4}", 9) for i in range(2000)]  # four domains of the same size
     taken = Counter(r.source for r in corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, DOCS), "").collect())
