@@ -54,11 +54,6 @@ def facts(spark, d):
     return pages.page_facts(pages.with_defaults(b.read(spark, d, "pages")))
 
 
-@query(f"{_F} SELECT page_id, site, title, lang, charset FROM facts")
-def page_head_facts(spark, d):
-    return facts(spark, d).select("page_id", "site", "title", "lang", "charset")
-
-
 @query("SELECT page_id, url, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS site, 200 AS status_code, 'text/html' AS content_type, 0 AS depth, strlen(html) AS byte_size FROM pages")
 def scan_crawl_pages(spark, d):
     return pages.scan_pages(spark, f"{d}/pages.parquet").select("page_id", "url", "site", "status_code", "content_type", "depth", "byte_size")
@@ -144,11 +139,6 @@ def page_resource_counts(spark, d):
     return facts(spark, d).select("page_id", "inline_script_bytes", "inline_style_bytes", "iframes")
 
 
-@query(f"{_F} SELECT page_id, true AS is_html, true AS is_ok, false AS is_noindex, true AS is_indexable FROM facts")
-def page_class_flags(spark, d):
-    return pages.with_flags(facts(spark, d)).select("page_id", "is_html", "is_ok", "is_noindex", "is_indexable")
-
-
 @query(f"{_F} SELECT site, content_hash, count(*) AS pages FROM facts GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_groups(spark, d):
     return pages.duplicates(facts(spark, d), "content_hash")
@@ -258,6 +248,28 @@ shown AS (SELECT site, bool_or(good AND (k % 6 < 4)) AS images, bool_or(good AND
 act AS (SELECT s.site, category, weight FROM shown s, cats WHERE category NOT IN ('images', 'international') OR (category = 'images' AND images) OR (category = 'international' AND (foreign_ OR s.site IN (SELECT site FROM issues WHERE category = 'international')))),
 sc AS (SELECT a.site, a.category, a.weight, greatest(0, least(100, CAST(round_even(round(100 - coalesce(sum(penalty), 0), 9), 0) AS INTEGER))) AS score, count(p.issue_id) FILTER (p.severity <> 'info') AS issues FROM act a LEFT JOIN pen p ON a.site = p.site AND a.category = p.category GROUP BY 1, 2, 3)"""
 _H = f"WITH {b.CRAWL}, {_FACTS.replace('FROM pages)', 'FROM crawled)', 1)}, {_HITS}"
+_CR = f"WITH {b.CRAWL}, {_FACTS.replace('FROM pages)', 'FROM crawled)', 1)}, {b.CRAWL_FLAGS}"
+_ORIGIN = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
+
+
+@query(f"""{_CR} SELECT page_id, site, coalesce(title, '') AS title, nullif(lang, '') AS lang, nullif(charset, '') AS charset,
+ CASE WHEN k % 9 = 0 THEN 'Short text.' WHEN k % 9 = 3 THEN repeat('long ', 40) || 'end' WHEN k % 3 = 0 THEN 'All about the things that are sold on this very page, with prices, sizes and colours of each of them.' END AS meta_description,
+ CASE WHEN k % 11 = 0 THEN 'noindex, follow' ELSE '' END AS meta_robots, CASE WHEN k % 2 = 0 THEN 'width=device-width, initial-scale=1' WHEN k % 10 = 1 THEN 'width=600' END AS viewport,
+ CASE WHEN k % 4 = 0 THEN url WHEN k % 8 = 1 THEN 'https://other.invalid/x' WHEN k % 8 = 3 THEN {_ORIGIN} || '/elsewhere/1' END AS canonical,
+ CASE WHEN k % 5 = 0 THEN 'og:title=t' WHEN k % 5 = 1 THEN 'og:image=/i.png og:title=t' ELSE '' END AS og, CASE WHEN k % 13 = 0 THEN 'en=' || url || ' x-default=' || url WHEN k % 13 = 1 THEN 'english_1=' || {_ORIGIN} || '/x' ELSE '' END AS alternates FROM f3""")
+def page_head_facts(spark, d):
+    """Facts of the heads of the crawl's pages."""
+    found = pages.page_facts(pages.with_defaults(b.crawl(spark, d)))
+    pairs = lambda rows, k, v: F.array_join(F.transform(rows, lambda x: F.concat_ws("=", x[k], x[v])), " ")
+    return found.select("page_id", "site", F.coalesce("title", F.lit("")).alias("title"), "lang", "charset", "meta_description", "meta_robots", "viewport", "canonical", pairs(F.array_sort(F.map_entries("og")), "key", "value").alias("og"), pairs(F.col("hreflang"), "code", "href").alias("alternates"))
+
+
+@query(f"{_CR} SELECT page_id, is_html, error IS NULL AND status = 200 AS is_ok, is_noindex, idx AS is_indexable FROM f3")
+def page_class_flags(spark, d):
+    """Of the crawl, whose pages answer with errors, other types and noindex by their number."""
+    return pages.with_flags(pages.page_facts(pages.with_defaults(b.crawl(spark, d)))).select("page_id", "is_html", "is_ok", "is_noindex", "is_indexable")
+
+
 _RULES = ("pages", "duplicates", "stuffing", "canonical", "reciprocity", "anchors", "trust", "structured", "sites", "sitemaps", "robots_conflicts", "external", "vitals")
 
 
