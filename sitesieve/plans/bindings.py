@@ -88,10 +88,10 @@ _HEAD = """concat(
  CASE k % 53 WHEN 0 THEN '<title></title>' WHEN 1 THEN concat('<title>', repeat('Long title ', 7), '</title>') WHEN 2 THEN '<title>Page not found</title>' ELSE '' END,
  CASE WHEN k % 3 = 0 THEN concat('<meta name="description" content="', CASE k % 9 WHEN 0 THEN 'Short text.' WHEN 3 THEN concat(repeat('long ', 40), 'end') ELSE 'All about the things that are sold on this very page, with prices, sizes and colours of each of them.' END, '">') ELSE '' END,
  CASE WHEN k % 2 = 0 THEN '<meta name="viewport" content="width=device-width, initial-scale=1">' WHEN k % 10 = 1 THEN '<meta name="viewport" content="width=600">' ELSE '' END,
- CASE WHEN k % 4 = 0 THEN concat('<link rel="canonical" href="', url, '">') WHEN k % 8 = 1 THEN '<link rel="canonical" href="https://other.invalid/x">' WHEN k % 8 = 3 THEN '<link rel="canonical" href="/elsewhere/1">' ELSE '' END,
+ CASE WHEN k % 4 = 0 THEN concat('<link rel="canonical" href="', url, '">') WHEN k % 8 = 1 THEN '<link rel="canonical" href="https://other.invalid/x">' WHEN k % 8 = 3 AND length(site) % 3 = 0 THEN '<link rel="canonical" href="/hidden">' WHEN k % 8 = 3 THEN '<link rel="canonical" href="/elsewhere/1">' ELSE '' END,
  CASE WHEN k % 11 = 0 THEN '<meta name="robots" content="noindex, follow">' ELSE '' END,
  CASE WHEN k % 5 = 0 THEN '<meta property="og:title" content="t">' WHEN k % 5 = 1 THEN '<meta property="og:title" content="t"><meta property="og:image" content="/i.png">' ELSE '' END,
- CASE WHEN k % 13 = 0 THEN concat('<link rel="alternate" hreflang="en" href="', url, '"><link rel="alternate" hreflang="x-default" href="', url, '">') WHEN k % 13 = 1 THEN '<link rel="alternate" hreflang="english_1" href="/x">' ELSE '' END,
+ CASE WHEN k % 13 = 0 THEN concat('<link rel="alternate" hreflang="en" href="', url, '"><link rel="alternate" hreflang="x-default" href="', url, '"><link rel="alternate" hreflang="de" href="/alt">') WHEN k % 13 = 1 THEN '<link rel="alternate" hreflang="english_1" href="/x">' ELSE '' END,
  CASE WHEN k % 7 < 5 THEN concat('<script type="application/ld+json">', CASE k % 7 WHEN 0 THEN '{"@type":"Article","headline":"x"}' WHEN 1 THEN '{"@type":"Article"}' WHEN 2 THEN '{"@type":"FAQPage"}' WHEN 3 THEN '{"name":"x"}' ELSE '{broken' END, '</script>') ELSE '' END,
  CASE WHEN k % 17 = 0 THEN repeat('<script async src="/s.js"></script>', 16) WHEN k % 17 = 1 THEN concat(repeat('<script src="/s.js"></script>', 2), repeat('<link rel="stylesheet" href="/s.css">', 2)) ELSE '' END,
  CASE WHEN k % 19 = 0 THEN concat('<script>', repeat('x', 100001), '</script>') ELSE '' END,
@@ -110,9 +110,11 @@ _MARKUP = (
     ("k % 51 = 0", "<article>", "<template>"), ("k % 51 = 0", "</article>", "</template>"), ("k % 51 <> 0 AND k % 14 = 5", "<article>", "<main><p>" + "same words again " * 60 + "</p></main><section>"), ("k % 51 <> 0 AND k % 14 = 5", "</article>", "</section>"),
 )
 _SITE = "regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)"
-#: Urls with capitals and underscores, with three parameters, and long ones.
-_URL = f"""CASE k % 71 WHEN 0 THEN replace(url, {_SITE}, concat({_SITE}, '/Some_Path')) WHEN 1 THEN concat(split_part(url, '#', 1), CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'a=1&b=2&c=3')
- WHEN 2 THEN replace(url, {_SITE}, concat({_SITE}, '/', repeat('long-', 25))) ELSE url END"""
+_ROOT = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
+#: A noindex page that canonicals of some sites name, a page that alternates name and that names none back; urls with capitals and underscores,
+#: with three parameters, and long ones.
+_URL = f"""CASE WHEN k % 22 = 11 THEN concat({_ROOT}, '/hidden') WHEN k % 26 = 14 THEN concat({_ROOT}, '/alt') ELSE CASE k % 71 WHEN 0 THEN replace(url, {_SITE}, concat({_SITE}, '/Some_Path')) WHEN 1 THEN concat(split_part(url, '#', 1), CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'a=1&b=2&c=3')
+ WHEN 2 THEN replace(url, {_SITE}, concat({_SITE}, '/', repeat('long-', 25))) ELSE url END END"""
 
 
 def _with_markup(html: str) -> str:
@@ -142,7 +144,7 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: What the crawl puts behind a body's tag, of the tables page_id and url.
 BODY_BY_PAGE = _BODY.replace("k %", "page_id %")
-CRAWL = f"""raw_ AS (SELECT page_id, page_id AS k, {_URL.replace("k %", "page_id %")} AS url, html FROM pages), raw1 AS (SELECT *, {_SITE} AS site FROM raw_), raw0 AS (SELECT page_id, k, url, {_with_markup("html")} AS html FROM raw1), crawled AS (SELECT page_id, k, url, replace(replace(html, '<head>', '<head>' || {_HEAD}), '<body>', '<body>' || {_BODY}) AS html FROM raw0)"""
+CRAWL = f"""raw_ AS (SELECT page_id, page_id AS k, {_URL.replace("k %", "page_id %")} AS url, html FROM pages), raw1 AS (SELECT *, {_SITE} AS site FROM raw_), raw0 AS (SELECT page_id, k, url, site, {_with_markup("html")} AS html FROM raw1), crawled AS (SELECT page_id, k, url, replace(replace(html, '<head>', '<head>' || {_HEAD}), '<body>', '<body>' || {_BODY}) AS html FROM raw0)"""
 #: Fetch facts and flags of the crawl, by the number of the page.
 CRAWL_FLAGS = f"""f1 AS (SELECT *, {_STATUS} AS status, {_ERROR} AS error, k % 47 <> 0 AS is_html, k % 11 = 0 AS is_noindex, k % 43 < 2 AS redirected, k * 37 % 1000 AS elapsed FROM facts),
 f2 AS (SELECT *, is_html AND error IS NULL AND status = 200 AS good FROM f1), f3 AS (SELECT *, good AND NOT is_noindex AS idx FROM f2)"""

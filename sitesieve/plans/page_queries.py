@@ -228,10 +228,12 @@ maps_ AS (SELECT DISTINCT site, CASE WHEN length(site) % 7 = 1 THEN u_ || '-gone
 absent AS (SELECT r.site, r.url FROM rows1 r JOIN maps m ON m.site = r.site AND m.locs > 0 WHERE r.idx AND NOT EXISTS (SELECT 1 FROM maps_ x WHERE x.site = r.site AND x.url = r.u_)),
 many AS (SELECT site FROM absent JOIN counts USING (site) GROUP BY site, idx HAVING count(*) > greatest(2, 0.2 * idx)),
 tk AS (SELECT site, url, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_'']{{3,}}')) AS term FROM rows1 WHERE idx AND words >= 150), tc AS (SELECT site, url, term, count(*) AS hits FROM tk GROUP BY 1, 2, 3), dn AS (SELECT site, url, min((-hits, term)) AS m, sum(hits) AS tokens FROM tc GROUP BY 1, 2),
+to_hidden AS (SELECT site, url FROM rows1 WHERE idx AND k % 8 = 3 AND length(site) % 3 = 0 AND site IN (SELECT site FROM rows1 WHERE good AND k % 22 = 11)),
 hits0 AS (SELECT site, url, key FROM page_hits WHERE NOT EXISTS (SELECT 1 FROM failed f WHERE f.site = page_hits.site AND f.i = string_split(key, '|')[1])
  {_DUPLICATE.format("title-duplicate|high|content", "lower(title)", "title <> ''")} {_DUPLICATE.format("meta-description-duplicate|low|content", "k % 9", _DESC)} {_DUPLICATE.format("duplicate-content|high|indexing", "content_hash", "words >= 100")}
  UNION ALL SELECT site, url, 'keyword-stuffing|high|content' FROM dn WHERE tokens >= 80 AND -m[1]::DOUBLE / tokens > 0.06 AND -m[1] >= 15 AND regexp_matches(m[2], '\p{{L}}')
- UNION ALL SELECT site, url, 'canonical-mismatch|medium|indexing' FROM rows1 WHERE idx AND k % 8 = 3
+ UNION ALL SELECT site, url, 'canonical-mismatch|medium|indexing' FROM rows1 WHERE idx AND k % 8 = 3 AND site NOT IN (SELECT site FROM to_hidden) UNION ALL SELECT site, url, 'canonical-to-noindex|high|indexing' FROM to_hidden
+ UNION ALL SELECT DISTINCT site, url, 'hreflang-not-reciprocal|high|international' FROM rows1 WHERE good AND k % 13 = 0 AND site IN (SELECT site FROM rows1 WHERE good AND k % 26 = 14)
  UNION ALL SELECT DISTINCT site, url, 'schema-missing-required|medium|structured_data' FROM rows1 WHERE good AND k % 7 = 1 UNION ALL SELECT DISTINCT site, url, 'schema-deprecated-type|info|structured_data' FROM rows1 WHERE good AND k % 7 = 2 UNION ALL SELECT DISTINCT site, url, 'schema-no-type|medium|structured_data' FROM rows1 WHERE good AND k % 7 = 3
  UNION ALL SELECT site, 'https://' || site || '/sitemap-2.xml', 'sitemap-invalid|medium|indexing' FROM maps WHERE locs > 0 AND length(site) % 2 = 0
  UNION ALL SELECT site, url, 'sitemap-bad-entries|medium|indexing' FROM rows1 WHERE EXISTS (SELECT 1 FROM maps_ x WHERE x.site = rows1.site AND x.url = rows1.u_) AND (error IS NOT NULL OR status >= 400 OR redirected OR is_noindex)
@@ -255,8 +257,8 @@ _ORIGIN = "regexp_extract(url, '^([^:/?#]+://[^/?#]*)', 1)"
 @query(f"""{_CR} SELECT page_id, site, coalesce(title, '') AS title, nullif(lang, '') AS lang, nullif(charset, '') AS charset,
  CASE WHEN k % 9 = 0 THEN 'Short text.' WHEN k % 9 = 3 THEN repeat('long ', 40) || 'end' WHEN k % 3 = 0 THEN 'All about the things that are sold on this very page, with prices, sizes and colours of each of them.' END AS meta_description,
  CASE WHEN k % 11 = 0 THEN 'noindex, follow' ELSE '' END AS meta_robots, CASE WHEN k % 2 = 0 THEN 'width=device-width, initial-scale=1' WHEN k % 10 = 1 THEN 'width=600' END AS viewport,
- CASE WHEN k % 4 = 0 THEN url WHEN k % 8 = 1 THEN 'https://other.invalid/x' WHEN k % 8 = 3 THEN {_ORIGIN} || '/elsewhere/1' END AS canonical,
- CASE WHEN k % 5 = 0 THEN 'og:title=t' WHEN k % 5 = 1 THEN 'og:image=/i.png og:title=t' ELSE '' END AS og, CASE WHEN k % 13 = 0 THEN 'en=' || url || ' x-default=' || url WHEN k % 13 = 1 THEN 'english_1=' || {_ORIGIN} || '/x' ELSE '' END AS alternates FROM f3""")
+ CASE WHEN k % 4 = 0 THEN url WHEN k % 8 = 1 THEN 'https://other.invalid/x' WHEN k % 8 = 3 THEN {_ORIGIN} || CASE WHEN length(site) % 3 = 0 THEN '/hidden' ELSE '/elsewhere/1' END END AS canonical,
+ CASE WHEN k % 5 = 0 THEN 'og:title=t' WHEN k % 5 = 1 THEN 'og:image=/i.png og:title=t' ELSE '' END AS og, CASE WHEN k % 13 = 0 THEN 'en=' || url || ' x-default=' || url || ' de=' || {_ORIGIN} || '/alt' WHEN k % 13 = 1 THEN 'english_1=' || {_ORIGIN} || '/x' ELSE '' END AS alternates FROM f3""")
 def page_head_facts(spark, d):
     """Facts of the heads of the crawl's pages."""
     found = pages.page_facts(pages.with_defaults(b.crawl(spark, d)))
