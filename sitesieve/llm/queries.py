@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,7 +64,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get(PSEUDONYM_KEY, "a key for tests only")
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    if key is None:
+        warnings.warn(f"{PSEUDONYM_KEY} is not set: the pseudonyms are made with a key that anyone knows", stacklevel=2)
+        key = "a key for tests only"
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), key).select("doc_id", "text", "n_found", "n_replaced")
 
 
