@@ -68,14 +68,16 @@ def words(text: Column, compose: bool = False) -> Column:
     return F.filter(F.split(normalise(text, compose), " +"), _is_word)
 
 
-def with_words(df: DataFrame, text: Column, name: str) -> DataFrame:
-    """``df`` with the normalised words of ``text``, NFKC and casefold applied, without a text going through Python.
+def with_words(df: DataFrame, text: Column, name: str, distinct: bool = False) -> DataFrame:
+    """``df`` with the normalised words of ``text`` (with ``distinct`` each once), NFKC and casefold applied, without a text going through Python.
 
     Words of ASCII need neither. Of all others each distinct spelling is folded once and joined back, in place. A table
     whose texts are ASCII has no such spellings, and nothing is shuffled but its few rows that have any.
     """
     plain = f"_{name}_plain"
     rows = df.withColumn(plain, F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u00A0\u2000-\u200A\u3000]+", " ")), " "))
+    if distinct:
+        rows = rows.withColumn(plain, F.array_distinct(plain))
     rows = rows.withColumn("_row", F.monotonically_increasing_id()).checkpoint()  # the number has to stay the same when rows are read again
     odd = F.exists(plain, lambda w: w.rlike(NOT_ASCII))
     native = rows.filter(~odd).withColumn(name, F.filter(F.flatten(F.transform(plain, lambda w: F.split(normalise(w), " +"))), _is_word)).drop(plain, "_row")
@@ -83,7 +85,8 @@ def with_words(df: DataFrame, text: Column, name: str) -> DataFrame:
     folded = spelled.filter(F.col("_raw").rlike(NOT_ASCII)).select("_raw").distinct().withColumn("_words", F.split(normalise(F.col("_raw"), True), " +"))
     each = spelled.join(folded, "_raw", "left").select("_row", "_at", F.coalesce("_words", F.split(normalise(F.col("_raw")), " +")).alias("_words"))
     again = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_words"))), lambda x: x["_words"]).alias("_all"))
-    return native.unionByName(rows.filter(odd).join(again, "_row").withColumn(name, F.filter(F.flatten("_all"), _is_word)).drop(plain, "_row", "_all"))
+    out = native.unionByName(rows.filter(odd).join(again, "_row").withColumn(name, F.filter(F.flatten("_all"), _is_word)).drop(plain, "_row", "_all"))
+    return out.withColumn(name, F.array_distinct(name)) if distinct else out
 
 
 def _is_word(word: Column) -> Column:
