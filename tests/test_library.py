@@ -540,3 +540,14 @@ def test_change_feed_has_a_row_for_each_page_of_a_shared_url(spark, shared_urls)
 def test_external_links_are_found_on_the_page_that_has_them(spark, shared_urls):
     """Page 1 has none of the links of page 12, which has its url."""
     assert {r.href: r.found_on for r in source_queries.external_probe_sample(spark, shared_urls).collect()} == {"https://x.com/us": "https://a.org/q", "http://old.example/p": "https://a.org/q"}
+
+
+def test_alternates_and_canonicals_of_both_schemes(spark):
+    """A page of a site is the same by http and https, so an alternate that doesn't name the page back is found by either."""
+    head = lambda *links: "<html><head>" + "".join(f'<link rel="alternate" hreflang="{c}" href="{h}">' for c, h in links) + "</head><body>x</body></html>"
+    rows = [("http://a.org/p", head(("en", "http://a.org/p"), ("de", "/alt"))), ("https://a.org/alt", head(("en", "/x"))), ("http://a.org/q", head(("de", "/both"))), ("https://a.org/both", head(("en", "/q")))]
+    facts = pages.with_flags(pages.page_facts(pages.with_defaults(spark.createDataFrame(rows, "url string, html string"))))
+    assert [r.url for r in audit.hreflang_hits({"pages": facts}).collect()] == ["http://a.org/p"]
+    shown = [("http://a.org/c", '<html><head><link rel="canonical" href="/hidden"></head><body>x</body></html>'), ("https://a.org/hidden", '<html><head><meta name="robots" content="noindex"></head><body>x</body></html>')]
+    facts = pages.with_flags(pages.page_facts(pages.with_defaults(spark.createDataFrame(shown, "url string, html string"))))
+    assert [(r.url, r.issue_id) for r in audit.canonical_hits({"pages": facts}).collect()] == [("http://a.org/c", "canonical-to-noindex")]
