@@ -90,7 +90,7 @@ def terms(pages: DataFrame, text: Column) -> DataFrame:
     """Pages of each site that declare a term: site, term, pages."""
     shared_folder(pages.sparkSession)
     found = F.filter("_t", lambda w: F.length(w) >= MIN_TERM)
-    rows = with_words(pages.filter("indexable").select("site", text.alias("_text")), F.col("_text"), "_t", distinct=True)
+    rows = with_words(pages.filter("indexable"), text, "_t", distinct=True, kept=["site"])
     return rows.select("site", F.explode(found).alias("term")).groupBy("site", "term").agg(F.count(F.lit(1)).alias("pages"))
 
 

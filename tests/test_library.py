@@ -551,3 +551,28 @@ def test_alternates_and_canonicals_of_both_schemes(spark):
     shown = [("http://a.org/c", '<html><head><link rel="canonical" href="/hidden"></head><body>x</body></html>'), ("https://a.org/hidden", '<html><head><meta name="robots" content="noindex"></head><body>x</body></html>')]
     facts = pages.with_flags(pages.page_facts(pages.with_defaults(spark.createDataFrame(shown, "url string, html string"))))
     assert [(r.url, r.issue_id) for r in audit.canonical_hits({"pages": facts}).collect()] == [("http://a.org/c", "canonical-to-noindex")]
+
+
+def test_pairs_are_made_without_a_shuffle_of_pages(spark, monkeypatch):
+    """In one part or in several: a page meets the keywords' index where it is, and each pair is made once."""
+    rows = [("s", f"u{k}", f"common t{k % 7} t{k % 5} t{k % 3}", None, [], 9, True, k) for k in range(60)]
+    frame = spark.createDataFrame(rows, PAGE_ROW)
+    kw = spark.createDataFrame([(f"t{a} t{b}", a, "i", 10 * a + b) for a in range(7) for b in range(7)], "keyword string, demand int, intent string, seq bigint")
+    found = {}
+    for size in (100_000, 9):
+        monkeypatch.setattr(coverage, "BROADCAST_TERMS", size)
+        pairs = coverage.overlaps(frame, kw, coverage.declared(), 0.5)
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        found[size] = sorted(map(tuple, pairs.select("url", "keyword", "hits").collect()))
+        best = {r.url: (r.keyword, r.demand) for r in coverage.best_keyword(frame, kw).collect()}
+        for url in best:
+            of = max((h / 2, 2, int(k[1]), -int(k[1] + k[-1]), k) for u, k, h in found[size] if u == url)
+            assert best[url] == (of[-1], of[2])
+    assert found[9] == found[100_000] and len(set(found[9])) == len(found[9]) and any(h == 1 for *_, h in found[9])
+
+
+def test_covered_keywords_are_folded_and_texts_are_not(spark):
+    """As the SQL of the fixes has it."""
+    both = lambda text, keyword: one(spark, coverage.covers(F.col("t"), F.col("k")), t=text, k=keyword)
+    assert both("das strasse Haus", "straße haus") and not both("die Straße und Haus", "Straße Haus") and both("Haus am See", "haus see")
