@@ -576,3 +576,24 @@ def test_covered_keywords_are_folded_and_texts_are_not(spark):
     """As the SQL of the fixes has it."""
     both = lambda text, keyword: one(spark, coverage.covers(F.col("t"), F.col("k")), t=text, k=keyword)
     assert both("das strasse Haus", "straße haus") and not both("die Straße und Haus", "Straße Haus") and both("Haus am See", "haus see")
+
+
+def test_few_pages_are_python_objects_at_once(spark):
+    """However long an Arrow batch is: the facts are those of the whole batch, and no more pages are read before the first are put away."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    kind, most = StructType.fromDDL(markup.FACTS), []
+    html = [f"<title>{k}</title><img src=/{k}.png>" if k % 9 else None for k in range(1000)]
+
+    class Slices:
+        def __len__(self):
+            return len(html)
+
+        def slice(self, at, n):
+            most.append(n)
+            return pa.array(html[at : at + n], pa.string())
+
+    got = pages.facts_array(Slices(), kind).to_pylist()
+    assert [x["title"] for x in got] == [str(k) if k % 9 else None for k in range(1000)] and max(most) <= 64
+    assert pages.facts_array(pa.array([], pa.string()), kind).to_pylist() == []
