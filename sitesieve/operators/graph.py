@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitesieve.functions.selection import kth
-from sitesieve.functions.shared import shared_folder
+from sitesieve.functions.shared import once, shared_folder
 from sitesieve.functions.urls import normalise_node
 
 DAMPING, ROUNDS, CONVERGED = 0.85, 40, 1e-9
@@ -33,7 +33,9 @@ def build_graph(pages: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
     """Normalised nodes and edges; self links and blank ends go, edges to unknown pages and parallel edges stay."""
     nodes = pages.withColumn("url", normalise_node(F.col("url"))).filter("url <> ''")
     edges = links.withColumns({"source": normalise_node(F.col("source")), "target": normalise_node(F.col("target")), "anchor": F.trim(F.coalesce("anchor", F.lit("")))})
-    return nodes, edges.filter("source <> '' and target <> '' and source <> target")
+    # the filter reads both ends several times: it would be put beneath, with all that makes a node's spelling in each place
+    edges = once(edges, {"source": F.col("source"), "target": F.col("target")})
+    return nodes, edges.filter("source <> '' and target <> '' and source <> target").select(*links.columns)
 
 
 def with_target(edges: DataFrame, nodes: DataFrame, how: str = "left") -> DataFrame:

@@ -597,3 +597,22 @@ def test_few_pages_are_python_objects_at_once(spark):
     got = pages.facts_array(Slices(), kind).to_pylist()
     assert [x["title"] for x in got] == [str(k) if k % 9 else None for k in range(1000)] and max(most) <= 64
     assert pages.facts_array(pa.array([], pa.string()), kind).to_pylist() == []
+
+
+@pytest.mark.parametrize(
+    ("raw", "node"),
+    [("", "/"), (" /a/#top ", "/a"), ("/a?", "/a"), ("/a/?b/#c?d", "/a?b/"), ("//Host.org", "//host.org/"), ("Http:", "http:/"), ("MAILTO:A@b", "mailto:A@b"), ("a/B:c/", "a/B:c"), ("?Q", "/?Q"), ("a//", "a/"), ("12", "12"), ("/é/ß/", "/é/ß"), (None, None)],
+)
+def test_nodes_of_odd_urls(spark, raw, node):
+    rows = spark.createDataFrame([(raw,)], "x string")
+    assert rows.select(u.normalise_node(F.col("x"))).first()[0] == node
+
+
+def test_nodes_are_spelled_once_for_each_edge(spark):
+    """The filter of self links reads both ends and doesn't make them anew."""
+    rows = [("s", "http://A.org/x/", "http://a.org/x#y", "self", False), ("s", "http://A.org/x/", "/y", " to y ", True), ("s", "/y", "/y?a", None, False), ("s", None, "/y", "", False)]
+    links = spark.createDataFrame(rows, "site string, source string, target string, anchor string, nofollow boolean")
+    edges = graph.build_graph(links.select("site", F.col("source").alias("url")), links)[1]
+    assert sorted(map(tuple, edges.collect())) == [("s", "/y", "/y?a", "", False), ("s", "http://a.org/x", "/y", "to y", True)]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" in plan and not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line]
