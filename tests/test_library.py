@@ -12,7 +12,7 @@ from sitesieve.functions import markup, selection
 from sitesieve.functions import text as t
 from sitesieve.functions import urls as u
 from sitesieve.operators import audit, compare, coverage, graph, keywords, pages, rankings, schedules, trends
-from sitesieve.plans import keyword_queries, source_queries
+from sitesieve.plans import keyword_queries, page_queries, source_queries
 from sitesieve.sources import tables
 from sitesieve.streaming import batches, events
 
@@ -616,3 +616,16 @@ def test_nodes_are_spelled_once_for_each_edge(spark):
     assert sorted(map(tuple, edges.collect())) == [("s", "/y", "/y?a", "", False), ("s", "http://a.org/x", "/y", "to y", True)]
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" in plan and not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line]
+
+
+def test_duplicate_groups_of_pages_cut_within_a_reference(spark, tmp_path):
+    """Headings are cut anywhere; what is left of a reference is text, so these copies have the hash that the SQL gives them, and not that of the last page."""
+    import duckdb
+
+    page = "<html><head><title>x</title></head><body><article><h1>one&amp;&amp;&{}</h1><p>" + "more words &amp; &quot;words&quot; " * 30 + "</p></article></body></html>"
+    rows = [(k, f"https://a.org/{k}", page.format(cut)) for k, cut in enumerate(("amp", "amp", "am", "am", "quo", "quot", "quot", "amp;"))]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(page_queries.SQL["duplicate_groups"]).fetchall())
+    assert sorted(map(tuple, page_queries.duplicate_groups(spark, str(tmp_path)).collect())) == want and [n for *_, n in want] == [2, 2, 2]
