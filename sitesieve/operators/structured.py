@@ -31,12 +31,13 @@ def jsonld_blocks(facts: DataFrame) -> DataFrame:
     has_graph = is_object & F.coalesce(_is(graph, "ARRAY"), F.lit(False))
     read = raw.filter("v is not null").select("site", "url", "n", "v", has_graph.alias("graph"), F.when(is_list, F.col("v")).when(has_graph, graph).alias("list"), is_object.alias("object"))
     items = read.filter("list is not null").lateralJoin(spark.tvf.variant_explode(F.col("list").outer())).filter(_is(F.col("value"), "OBJECT"))
-    fields = read.filter("graph").lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).filter("key <> '@graph'")
-    quoted = F.to_json(F.array("key"))  # a list of one
-    pair = F.concat(F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(":"), F.to_json("value"))
-    pairs = F.transform(F.array_sort(F.collect_list(F.struct("key", pair.alias("pair")))), lambda x: x["pair"])
-    envelope = fields.groupBy("site", "url", "n").agg(pairs.alias("pairs")).filter("size(pairs) > 1")
-    text = F.concat(F.lit("{"), F.array_join("pairs", ","), F.lit("}"))
+    fields = F.map_filter(F.variant_get("v", "$", "map<string,variant>"), lambda k, _: k != "@graph")
+    quoted = lambda k: F.to_json(F.array(k))  # noqa: E731  a list of one
+    pair = lambda m, k: F.concat(F.substring(quoted(k), F.lit(2), F.length(quoted(k)) - 2), F.lit(":"), F.to_json(m[k]))
+    # of its own script alone: pages may share a url
+    envelope = read.filter("graph").select("site", "url", "n", fields.alias("fields")).filter("size(fields) > 1")
+    pairs = F.transform(F.array_sort(F.map_keys("fields")), lambda k: pair(F.col("fields"), k))
+    text = F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
     part = lambda df, name, block, pos=F.lit(0): df.select("site", "url", "n", F.lit(name).alias("part"), pos.cast("int").alias("pos"), block.alias("block"))
     found = (
         part(raw.filter("v is null"), "error", F.substring("raw", 1, ERROR))

@@ -644,3 +644,18 @@ def test_duplicate_groups_of_pages_without_html(spark, tmp_path):
     for plan, name in ((page_queries, "duplicate_groups"), (source_queries, "page_change_feed")):
         got = sorted(map(str, map(tuple, plan.QUERIES[name](spark, str(tmp_path)).collect())))
         assert got == sorted(map(str, con.execute(plan.SQL[name]).fetchall())) and len(got) == {"duplicate_groups": 3, "page_change_feed": 10}[name]
+
+
+@pytest.mark.parametrize(("name", "rows"), [("page_jsonld_blocks", 33)])
+def test_pages_that_share_a_url(spark, tmp_path, name, rows):
+    """Each has its own structured data and stands for itself in the sitemaps, whether it is in the same file or in another."""
+    import duckdb
+
+    urls = [(k, f"https://a.org/{'shared' if k % 6 in (2, 3, 5) else k}?a&amp;b&c") for k in range(22)]
+    html = "<html><head><title>x</title></head><body><p>words</p></body></html>"
+    spark.createDataFrame([(k, url, html) for k, url in urls], "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    plan = page_queries if name in page_queries.QUERIES else source_queries
+    want = sorted(con.execute(plan.SQL[name]).fetchall())
+    assert sorted(map(tuple, plan.QUERIES[name](spark, str(tmp_path)).collect())) == want and len(want) == rows
