@@ -35,10 +35,10 @@ def explode_report(reports: DataFrame, column: str = "report") -> dict[str, Data
 
 
 def extract_sitemap_locs(bodies: DataFrame) -> DataFrame:
-    """Every <loc> of sitemap bodies (site, seq, body) once, in order: site, loc, child (it names another sitemap)."""
+    """Every <loc> of sitemap bodies (site, seq, body) once, in order: site, loc, child (it names another sitemap), seq, pos, times (how often it is there)."""
     index = F.lower("body").contains("<sitemapindex")
     rows = bodies.select("site", "seq", index.alias("child"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("pos", "loc")).filter("loc <> ''")
-    return rows.groupBy("site", "loc").agg(F.min(F.struct("seq", "pos", "child")).alias("f")).select("site", F.replace("loc", F.lit("&amp;"), F.lit("&")).alias("loc"), F.col("f.child").alias("child"), F.col("f.seq").alias("seq"), F.col("f.pos").alias("pos"))
+    return rows.groupBy("site", "loc").agg(F.min(F.struct("seq", "pos", "child")).alias("f"), F.count(F.lit(1)).alias("times")).select("site", F.replace("loc", F.lit("&amp;"), F.lit("&")).alias("loc"), F.col("f.child").alias("child"), F.col("f.seq").alias("seq"), F.col("f.pos").alias("pos"), "times")
 
 
 def parse_robots(bodies: DataFrame) -> DataFrame:

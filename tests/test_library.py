@@ -646,7 +646,7 @@ def test_duplicate_groups_of_pages_without_html(spark, tmp_path):
         assert got == sorted(map(str, con.execute(plan.SQL[name]).fetchall())) and len(got) == {"duplicate_groups": 3, "page_change_feed": 10}[name]
 
 
-@pytest.mark.parametrize(("name", "rows"), [("page_jsonld_blocks", 33)])
+@pytest.mark.parametrize(("name", "rows"), [("page_jsonld_blocks", 33), ("scan_sitemap_locs", 25)])
 def test_pages_that_share_a_url(spark, tmp_path, name, rows):
     """Each has its own structured data and stands for itself in the sitemaps, whether it is in the same file or in another."""
     import duckdb
