@@ -12,6 +12,9 @@ from the end if the edit is before it. The text on that side is the same in both
 leaves the far end of the word alone as well, and two characters of it join the key. What a key brings together is
 told apart by bits that say which letters a word has an odd number of times, of which an edit changes two at most, and
 verified by the complete edit distance.
+
+All joins are sorted merges, which spill: a word has up to 28 keys and the tables are compressed, so what Spark takes for small enough
+to be broadcast may be many times as large.
 """
 
 from __future__ import annotations
@@ -197,7 +200,7 @@ def near_pairs(found: DataFrame) -> DataFrame:
     probes = rows.mapInArrow(_entries(order, True), _ENTRIES)
     index = rows.mapInArrow(_entries(order, False), _ENTRIES).toDF("key", "other", "m", "ends", "odds")
     near = (F.col("last") <= F.col("ends")) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("odds"))) <= 2) & (F.levenshtein("word", "other", 1) == 1)
-    met = probes.join(index, "key").filter(near)
+    met = probes.join(index.hint("merge"), "key").filter(near)
     first = F.col("word") < F.col("other")
     side = lambda yes, no: F.when(first, F.col(yes)).otherwise(F.col(no))
     return met.select(side("word", "other").alias("a"), side("other", "word").alias("b"), side("n", "m").alias("n_a"), side("m", "n").alias("n_b")).distinct()
@@ -208,7 +211,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = forms.select("word", F.col("form").alias("root"))
     while True:
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = materialise(roots.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        moved = materialise(roots.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         roots = moved.select("word", "root")
         if moved.filter("moved").isEmpty():
             return roots
@@ -231,7 +234,7 @@ def variants(docs: DataFrame, text: str = "text", shortest: int = SHORTEST, seen
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     most = -F.col("best.m")
     enough = most >= F.col("n") * commoner
-    placed = found.join(best, "word", "left").select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(enough, most).alias("form_n"))
+    placed = found.join(best.hint("merge"), "word", "left").select("word", F.when(enough, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"), F.when(enough, most).alias("form_n"))
     placed = materialise(placed, "forms")
     roots = _roots(placed.filter("form is not null").select("word", "form"))
-    return placed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return placed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -104,3 +104,18 @@ def test_all_documents(spark):
         assert k == len(close[word])
         best = min(close[word], key=lambda x: (-n[x], x), default=None)
         assert (form, form_n) == ((best, n[best]) if best and n[best] >= 10 * count else (None, None))
+
+
+def test_no_table_is_broadcast(spark, monkeypatch):
+    """Each word becomes many keys, of which Spark's estimate knows nothing."""
+    plans, kept = [], spelling.materialise
+
+    def recorded(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(spelling, "materialise", recorded)
+    docs = spark.createDataFrame([(k, "sentence " * 40 + "sentense sentense") for k in range(3)], "doc_id bigint, text string")
+    recorded(spelling.variants(docs), "out")
+    joins = [plan for plan in plans if "Join" in plan]
+    assert len(joins) >= 4 and not [plan for plan in joins if "Broadcast" in plan]
